@@ -81,4 +81,5 @@ def hashing_vector(tokens: Column, dims: int = HASH_DIMS) -> Column:
         ends = np.arange(0, rows * dims + 1, dims, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(dense.astype(np.float32)))
 
-    return scatter(_token_codes(tokens))
+    # So marked, a filter on the vector stays above it and no chunk is encoded twice.
+    return scatter.asNondeterministic()(_token_codes(tokens))

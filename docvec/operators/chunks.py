@@ -24,15 +24,15 @@ def chunk_count(tokens: Column, size: int = CHUNK_SIZE) -> Column:
 def chunk_tokens(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """Replace `tokens` by (chunk_id, tokens): runs of `size`, the last one shorter.
 
-    Rows without tokens make no chunk. Each document is cut where it lies, so a very
-    long one costs no more than its own row.
+    Rows without tokens make no chunk; that is said inside the expression, because a
+    filter would be pushed below the tokens and split every text twice. Each document is
+    cut where it lies, so a very long one costs no more than its own row.
     """
     others = [c for c in docs.columns if c != "tokens"]
     tokens = F.col("tokens")
     starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size))
     runs = F.transform(starts, lambda start: F.slice(tokens, start + 1, size))
-    filled = docs.where(F.size(tokens) > 0)
-    return filled.select(*others, F.posexplode(runs).alias("chunk_id", "tokens"))
+    return docs.select(*others, F.posexplode(F.when(F.size(tokens) > 0, runs)).alias("chunk_id", "tokens"))
 
 
 def chunk_label(file_name: Column, chunk_id: Column) -> Column:

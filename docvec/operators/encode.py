@@ -47,7 +47,8 @@ def encoded(make_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE) -
                     vectors[i] = vector
             yield pa.array(vectors, type=pa.list_(pa.float32()))
 
-    return encode
+    # So marked, a filter on the vector stays above it and no chunk is encoded twice.
+    return encode.asNondeterministic()
 
 
 def encode_chunks(

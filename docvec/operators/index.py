@@ -50,17 +50,22 @@ def _one_dimension(widths: DataFrame, expected: int | None) -> tuple[int | None,
     return (low if n else expected), n
 
 
-def _positioned(vectors: DataFrame, keys: list[str], first: int) -> tuple[DataFrame, DataFrame]:
+def _positioned(
+    vectors: DataFrame, keys: list[str], first: int, stored: bool
+) -> tuple[DataFrame, DataFrame]:
     """Dense positions in key order, and the widths seen on the way.
 
-    Rows are range-partitioned by key and stored with their partition and place in it;
+    Cutting a table into ranges reads it twice, once for a sample of its keys, so vectors
+    that are not `stored` are written first: no chunk is encoded twice. Rows are range-partitioned by key and stored with their partition and place in it;
     a row's position is its place plus the rows of the partitions before. No task holds
     more than one range, and a document that makes up much of the table spans several.
     Only one count per partition is ever brought together.
     """
+    if not stored:
+        vectors = materialize(vectors, "vectors")
     ordered = vectors.repartitionByRange(*keys).sortWithinPartitions(*keys)
     slot = F.monotonically_increasing_id()
-    stored = materialize(
+    placed = materialize(
         ordered.select(
             "*",
             F.shiftright(slot, _SLOT_BITS).alias("_range"),
@@ -70,21 +75,21 @@ def _positioned(vectors: DataFrame, keys: list[str], first: int) -> tuple[DataFr
         "positions",
     )
     counts = materialize(
-        stored.groupBy("_range").agg(
+        placed.groupBy("_range").agg(
             F.count("*").alias("n"), F.min("_width").alias("low"), F.max("_width").alias("high")
         ),
         "ranges",
     )
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    placed = stored.join(F.broadcast(starts), "_range")
+    placed = placed.join(F.broadcast(starts), "_range")
     vec_id = (F.col("_start") + F.col("_place") + F.lit(first)).alias("vec_id")
     return placed.select(vec_id, *vectors.columns), counts
 
 
-def index_positions(vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def index_positions(vectors: DataFrame, keys: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Add vec_id: the 0-based position in key order."""
-    return _positioned(vectors, keys or KEYS, 0)[0]
+    return _positioned(vectors, keys or KEYS, 0, stored)[0]
 
 
 def build_index(
@@ -92,11 +97,15 @@ def build_index(
     dimension: int | None = None,
     metric: str = METRIC,
     keys: list[str] | None = None,
+    stored: bool = False,
 ) -> VectorIndex:
-    """Index of all vectors; an error when their widths differ or miss `dimension`."""
+    """Index of all vectors; an error when their widths differ or miss `dimension`.
+
+    `stored` says that `vectors` is read from a table rather than computed.
+    """
     if metric != METRIC:
         raise ValueError(f"metric {metric!r} is not supported, only {METRIC!r}")
-    placed, counts = _positioned(vectors, keys or KEYS, 0)
+    placed, counts = _positioned(vectors, keys or KEYS, 0, stored)
     dimension, n = _one_dimension(counts, dimension)
     if n == 0:
         raise ValueError("no vectors to build an index from")
@@ -121,18 +130,20 @@ def new_vectors(base: DataFrame, delta: DataFrame, keys: list[str] | None = None
 
 
 def _added(
-    index: VectorIndex, delta: DataFrame, keys: list[str]
+    index: VectorIndex, delta: DataFrame, keys: list[str], stored: bool
 ) -> tuple[DataFrame, int | None, int]:
     """Positioned new rows behind the last one, the common width and their number."""
-    fresh = new_vectors(index.vectors, materialize(delta, "delta"), keys)
-    placed, counts = _positioned(fresh, keys, index.n_vectors)
+    fresh = new_vectors(index.vectors, delta if stored else materialize(delta, "delta"), keys)
+    placed, counts = _positioned(fresh, keys, index.n_vectors, stored=False)
     dimension, n = _one_dimension(counts, index.dimension)
     return placed, dimension, n
 
 
-def add_vectors(index: VectorIndex, delta: DataFrame, keys: list[str] | None = None) -> VectorIndex:
+def add_vectors(
+    index: VectorIndex, delta: DataFrame, keys: list[str] | None = None, stored: bool = False
+) -> VectorIndex:
     """Index with the vectors of `delta` behind its own; keys already indexed are left out."""
-    placed, dimension, n = _added(index, delta, keys or KEYS)
+    placed, dimension, n = _added(index, delta, keys or KEYS, stored)
     if n == 0:
         return index
     vectors = index.vectors.unionByName(placed, allowMissingColumns=True)
@@ -156,12 +167,14 @@ def save_index(index: VectorIndex | None, path: str) -> None:
     _write_meta(index, path)
 
 
-def append_to_saved(spark: SparkSession, delta: DataFrame, path: str, keys: list[str] | None = None) -> VectorIndex:
+def append_to_saved(
+    spark: SparkSession, delta: DataFrame, path: str, keys: list[str] | None = None, stored: bool = False
+) -> VectorIndex:
     """Add vectors to a stored index in place: only the new rows are written.
 
     Running it again with the same vectors changes nothing.
     """
-    placed, dimension, n = _added(open_index(spark, path), delta, keys or KEYS)
+    placed, dimension, n = _added(open_index(spark, path), delta, keys or KEYS, stored)
     if n:
         placed.write.mode("append").parquet(f"{path}/vectors")
     index = open_index(spark, path)

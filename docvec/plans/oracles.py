@@ -44,7 +44,7 @@ def _with(*names: str) -> str:
 
 def _chunks(name: str, table: str, key: str) -> str:
     return f"""{name}_tokens AS (SELECT {key} AS doc_id, {_tokens('text')} AS tokens FROM {table}),
-{name} AS (SELECT doc_id, c AS chunk_id, tokens[c * 50 + 1 : c * 50 + 50] AS tokens
+{name} AS (SELECT doc_id, c::INT AS chunk_id, tokens[c * 50 + 1 : c * 50 + 50] AS tokens
   FROM (SELECT doc_id, tokens, unnest(range((len(tokens) + 49) // 50)) AS c FROM {name}_tokens))"""
 
 

@@ -15,6 +15,7 @@ from docvec.functions.text import tokens_of
 from docvec.operators.chunks import chunk_tokens
 from docvec.operators.index import VectorIndex
 from docvec.plans.document_search import chunk_vectors
+from docvec.session import spread
 from docvec.sources.folders import FOLDER_MIME_TYPE
 
 EXTENSIONS = [".txt", ".pdf", ".docx", ".xlsx", ".pptx", ".ppt", ".PDF", ".csv"]
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +163,7 @@ def embedding_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The given vectors, which bring their positions, as an index."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     shape = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    return VectorIndex(vectors, shape[1], shape[0])
+    return VectorIndex(spread(vectors), shape[1], shape[0])
 
 
 def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

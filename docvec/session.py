@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "docvec") -> SparkSession:
@@ -19,3 +19,13 @@ def local_session(cores: int | str = 8, app_name: str = "docvec") -> SparkSessio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out to all cores when its file has too few pieces.
+
+    For a plain table scan only. A table of many pieces, as any large one is, stays as it
+    lies and is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -68,7 +68,8 @@ def _parsed(extra: dict[str, Parser]) -> Callable[[Column, Column], Column]:
             ]
             yield pd.DataFrame(rows, columns=["text", "status"])
 
-    return parsed
+    # So marked, a filter on the text stays above it and no file is parsed twice.
+    return parsed.asNondeterministic()
 
 
 def extract_text(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:

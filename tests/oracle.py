@@ -29,6 +29,10 @@ def _key(row: tuple) -> tuple:
     return tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in row)
 
 
+# Spark type -> the DuckDB type a twin must give.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def differences(spark, con, sf_dir: str, run, sql: str) -> str | None:
     """What differs between the two results, as unordered rows, or None."""
     df = run(spark, sf_dir)
@@ -39,6 +43,10 @@ def differences(spark, con, sf_dir: str, run, sql: str) -> str | None:
     if sorted(columns) != names:
         return f"columns {names} against {sorted(columns)}"
     order = [columns.index(n) for n in names]
+    for name, kind in df.select(*names).dtypes:
+        theirs = str(result.description[columns.index(name)][1])
+        if theirs != TYPES[kind]:
+            return f"{name} is {kind} against {theirs}"
     theirs = Counter(_key(tuple(r[i] for i in order)) for r in result.fetchall())
     if ours == theirs:
         return None
