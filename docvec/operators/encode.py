@@ -87,13 +87,13 @@ def onnx_encoder(model_path: str, vocab_path: str, max_pieces: int = 512) -> Cal
 
         pieces = BertWordPieceTokenizer(vocab_path, lowercase=True)
         pieces.enable_truncation(max_pieces)
-        pieces.enable_padding()
+        pieces.enable_padding(pad_id=pieces.token_to_id("[PAD]"))
         model = onnxruntime.InferenceSession(model_path, providers=onnxruntime.get_available_providers())
         names = [node.name for node in model.get_inputs()]
 
         def encode(batch: Sequence[Sequence[str]]) -> np.ndarray:
             marked = [[START_MARK, *chunk, END_MARK] for chunk in batch]
-            encodings = pieces._tokenizer.encode_batch(marked, is_pretokenized=True)
+            encodings = pieces.encode_batch(marked, is_pretokenized=True)
             columns = {
                 "input_ids": [e.ids for e in encodings],
                 "attention_mask": [e.attention_mask for e in encodings],
