@@ -63,7 +63,8 @@ def _positioned(
     """
     if not stored:
         vectors = materialize(vectors, "vectors")
-    ordered = vectors.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranges = vectors.rdd.getNumPartitions()  # as many as the stored table has pieces to scan
+    ordered = vectors.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     slot = F.monotonically_increasing_id()
     placed = materialize(
         ordered.select(

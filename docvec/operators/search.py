@@ -55,7 +55,8 @@ def search(
 
 def self_query(index: VectorIndex, top_k: int = TOP_K, columns: Sequence[str] = ()) -> DataFrame:
     """Search with the first vector of the index; it finds itself at distance 0."""
-    return search(index, index.vectors.where("vec_id = 0"), top_k, columns)
+    first = index.vectors.where("vec_id = 0").limit(1)  # the scan stops where it is found
+    return search(index, first, top_k, columns)
 
 
 _PARTIAL = "query_id long, vec_id long, distance double"
@@ -110,6 +111,9 @@ def _in_cells(vectors: DataFrame, queries: DataFrame, n_rows: int, n_cols: int,
             nearest.offer(batch["vec_id"].to_numpy(), as_matrix(batch["embedding"]))
         return pa.Table.from_batches([_partial_rows(nearest, queries["query_id"].to_numpy())])
 
+    # A partition per cell, so that no task has to sort more than its cell.
+    tasks = n_rows * n_cols
+    left, right = left.repartition(tasks, "row", "col"), right.repartition(tasks, "row", "col")
     cells = left.groupBy("row", "col").cogroup(right.groupBy("row", "col"))
     return cells.applyInArrow(meet, _PARTIAL)
 
@@ -155,7 +159,8 @@ def attach_metadata(hits: DataFrame, meta: DataFrame, expected: Sequence[str]) -
     brings them to the scan of the metadata instead of shuffling that table.
     """
     hits = materialize(hits, "hits")
-    wanted = meta.select("vec_id", *expected).join(hits.select("vec_id"), "vec_id", "left_semi")
+    named = hits.select("vec_id").distinct()  # a vector may be a hit of most queries
+    wanted = meta.select("vec_id", *expected).join(named, "vec_id", "left_semi")
     complete = F.lit(True)
     for name in expected:
         complete = complete & F.col(name).isNotNull()

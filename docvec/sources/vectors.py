@@ -21,6 +21,10 @@ def listed_vectors(listing: DataFrame, vectors: DataFrame, keys: list[str] | Non
 
 
 def missing_vectors(listing: DataFrame, vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Listed vectors the table does not hold; a build skips them."""
+    """Listed vectors the table does not hold; a build skips them.
+
+    Keys are made distinct in the map tasks first, so one that fills much of the table
+    is sent once per task.
+    """
     on = keys or KEYS
-    return listing.join(vectors.select(*on), on, "left_anti")
+    return listing.join(vectors.select(*on).distinct(), on, "left_anti")
