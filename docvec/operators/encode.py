@@ -51,24 +51,33 @@ def encoded(make_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE) -
     return encode.asNondeterministic()
 
 
-def encode_chunks(
+def with_vectors(
     chunks: DataFrame,
     make_encoder: Callable[[], Encoder] | None = None,
     batch_size: int = BATCH_SIZE,
     dims: int = HASH_DIMS,
 ) -> DataFrame:
-    """Replace `tokens` by `embedding`; chunks whose encoding failed are dropped.
+    """Replace `tokens` by `embedding`, null where the encoding failed.
 
     Without an encoder the vector is signed feature hashing of the bare tokens: a
     lexical stand-in, not a language model.
     """
     others = [c for c in chunks.columns if c != "tokens"]
+    chunks = chunks.where(F.size("tokens") > 0)
     tokens = F.col("tokens")
-    if make_encoder is None:
-        filled = chunks.where(F.size(tokens) > 0)
-        return filled.select(*others, hashing_vector(tokens, dims).alias("embedding"))
-    vector = encoded(make_encoder, batch_size)(tokens)
-    return chunks.select(*others, vector.alias("embedding")).where("embedding is not null")
+    vector = hashing_vector(tokens, dims) if make_encoder is None else encoded(make_encoder, batch_size)(tokens)
+    return chunks.select(*others, vector.alias("embedding"))
+
+
+def encode_chunks(
+    chunks: DataFrame,
+    make_encoder: Callable[[], Encoder] | None = None,
+    batch_size: int = BATCH_SIZE,
+    dims: int = HASH_DIMS,
+) -> DataFrame:
+    """`with_vectors` without the chunks whose encoding failed."""
+    vectors = with_vectors(chunks, make_encoder, batch_size, dims)
+    return vectors if make_encoder is None else vectors.where("embedding is not null")
 
 
 def onnx_encoder(model_path: str, vocab_path: str, max_pieces: int = 512) -> Callable[[], Encoder]:

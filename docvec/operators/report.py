@@ -16,17 +16,20 @@ def file_stats(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     )
 
 
-def run_report(stats: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One row: files, files skipped, tokens, chunks, vectors and their width."""
-    files = stats.agg(
-        F.count("*").alias("files"),
-        F.count_if(F.col("n_tokens") == 0).alias("skipped"),
-        F.sum("n_tokens").alias("tokens"),
-        F.sum("n_chunks").alias("chunks"),
-    )
-    made = vectors.agg(
-        F.struct(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"))
-    ).scalar()
-    return files.withColumn("made", made).select(
-        "files", "skipped", "tokens", "chunks", F.col("made.n").alias("vectors"), F.col("made.width").alias("dimension")
-    )
+def run_report(files: DataFrame, encoded: DataFrame) -> DataFrame:
+    """One row: files, files skipped, tokens, chunks, vectors and their width.
+
+    `files` is the listing, of which only the rows are counted; `encoded` holds chunk_id,
+    n_tokens and embedding (null where encoding failed) of every chunk. The texts are
+    gone through once.
+    """
+    listed = files.agg(F.count("*").alias("files")).scalar()
+    made = encoded.agg(
+        F.count_if(F.col("chunk_id") == 0).alias("filled"),
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
+        F.count("*").alias("chunks"),
+        F.count("embedding").alias("vectors"),
+        F.max(F.size("embedding")).alias("dimension"),
+    ).withColumn("files", listed)
+    skipped = (F.col("files") - F.col("filled")).alias("skipped")
+    return made.select("files", skipped, "tokens", "chunks", "vectors", "dimension")

@@ -13,7 +13,7 @@ from docvec.functions.vectors import l2_squared
 from docvec.operators import chunks as C
 from docvec.operators import index as V
 from docvec.operators import search as K
-from docvec.operators.encode import encode_chunks
+from docvec.operators.encode import encode_chunks, with_vectors
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
 from docvec.plans.document_search import document_search, index_documents
@@ -310,5 +310,5 @@ def file_stats_(spark, sf_dir):
 
 @_query
 def run_report_(spark, sf_dir):
-    stats = file_stats(T.document_tokens(spark, sf_dir))
-    return run_report(stats, T.document_vectors(spark, sf_dir))
+    chunks = T.document_chunks(spark, sf_dir).withColumn("n_tokens", F.size("tokens").cast("long"))
+    return run_report(T.table(spark, sf_dir, "documents"), with_vectors(chunks))

@@ -2,22 +2,23 @@ from docvec.operators.report import file_stats, run_report
 from docvec.plans.document_search import chunk_vectors, document_search
 
 
-def test_report(spark):
+def test_stats(spark):
     rows = [(1, ["a"] * 51), (2, []), (3, None), (4, ["b"])]
     stats = file_stats(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
     assert {tuple(r) for r in stats.collect()} == {(1, 51, 2), (2, 0, 0), (3, 0, 0), (4, 1, 1)}
-    vectors = spark.createDataFrame([([1.0, 2.0],)] * 3, "embedding array<float>")
-    assert run_report(stats, vectors).first().asDict() == {
-        "files": 4, "skipped": 2, "tokens": 52, "chunks": 3, "vectors": 3, "dimension": 2,
-    }
-    assert run_report(stats, vectors.limit(0)).first()["dimension"] is None
 
 
-def test_report_reads_each_side_once(spark):
-    stats = file_stats(spark.createDataFrame([(1, ["a"])], "doc_id long, tokens array<string>"))
-    vectors = spark.createDataFrame([([1.0],)], "embedding array<float>")
-    plan = run_report(stats, vectors)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Subquery") >= 1 and "NestedLoop" not in plan
+def test_report(spark):
+    files = spark.range(4)
+    chunks = [(0, 50, [1.0, 2.0]), (1, 1, None), (0, 1, [3.0, 4.0])]
+    encoded = spark.createDataFrame(chunks, "chunk_id int, n_tokens long, embedding array<float>")
+    assert run_report(files, encoded).first().asDict() == {
+        "files": 4, "skipped": 2, "tokens": 52, "chunks": 3, "vectors": 2, "dimension": 2,
+    }
+    assert run_report(files, encoded.limit(0)).first().asDict() == {
+        "files": 4, "skipped": 4, "tokens": 0, "chunks": 0, "vectors": 0, "dimension": None,
+    }
+    assert "NestedLoop" not in run_report(files, encoded)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_whole_way(spark):
