@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_DIMS = 64
-_CODE_BYTES = 5
 
 
 def l2_squared(a: Column, b: Column) -> Column:
@@ -38,7 +40,7 @@ def exact_l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def l2_squared_to(vector: np.ndarray) -> "callable":
+def l2_squared_to(vector: np.ndarray) -> Callable[[Column], Column]:
     """Column function for the distance to one fixed vector, a whole Arrow batch at a time.
 
     Same values as `l2_squared`, without sending the fixed vector along with every row.
@@ -52,34 +54,32 @@ def l2_squared_to(vector: np.ndarray) -> "callable":
     return distance
 
 
-def _token_codes(tokens: Column) -> Column:
-    """First five md5 bytes of every token, one after the other, in one binary value."""
-    heads = F.transform(tokens, lambda t: F.substring(F.md5(t), 1, 2 * _CODE_BYTES))
-    return F.unhex(F.array_join(heads, ""))
+def _token_codes(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each word."""
+    heads = b"".join(md5(word.as_buffer()).digest()[:5] for word in words)
+    heads = np.frombuffer(heads, dtype=np.uint8).reshape(-1, 5)
+    bucket = np.ascontiguousarray(heads[:, :4]).view(">u4").ravel().astype(np.int64) % dims
+    return bucket, 1.0 - 2.0 * ((heads[:, 4] >> 4) & 1)
 
 
 def hashing_vector(tokens: Column, dims: int = HASH_DIMS) -> Column:
     """Signed feature hashing of a token list: lexical, not semantic.
 
     Bucket: the first 8 hex digits of md5(token), modulo `dims`. Sign: + when the
-    ninth digit is even. Hashing runs in the JVM; the Arrow step only scatters the
-    codes of a batch into a dense matrix, so a chunk needs no shuffle at all.
+    ninth digit is even. A batch hashes each of its distinct tokens once and scatters
+    them into a dense matrix; a chunk is hashed where it lies, without a shuffle.
     """
 
     @F.arrow_udf("array<float>")
-    def scatter(codes: pa.Array) -> pa.Array:
-        codes = codes.cast(pa.large_binary())
-        rows = len(codes)
-        start, end = codes.offset, codes.offset + rows + 1
-        bounds = np.frombuffer(codes.buffers()[1], dtype=np.int64)[start:end]
-        raw = np.frombuffer(codes.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
-        raw = raw.reshape(-1, _CODE_BYTES)
-        bucket = np.ascontiguousarray(raw[:, :4]).view(">u4").ravel().astype(np.int64) % dims
-        sign = 1.0 - 2.0 * ((raw[:, 4] >> 4) & 1)
-        row = np.repeat(np.arange(rows), np.diff(bounds) // _CODE_BYTES)
-        dense = np.bincount(row * dims + bucket, weights=sign, minlength=rows * dims)
+    def scatter(tokens: pa.Array) -> pa.Array:
+        rows = len(tokens)
+        words = tokens.flatten().dictionary_encode()
+        bucket, sign = _token_codes(words.dictionary, dims)
+        word = words.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(rows), np.diff(tokens.offsets.to_numpy()))
+        dense = np.bincount(row * dims + bucket[word], weights=sign[word], minlength=rows * dims)
         ends = np.arange(0, rows * dims + 1, dims, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(dense.astype(np.float32)))
 
     # So marked, a filter on the vector stays above it and no chunk is encoded twice.
-    return scatter.asNondeterministic()(_token_codes(tokens))
+    return scatter.asNondeterministic()(tokens)

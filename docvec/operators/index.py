@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docvec.scratch import materialize
+from docvec.scratch import materialize, staged
 from docvec.sources.vectors import KEYS
 
 # Fixed value: the one metric, squared L2.
@@ -50,21 +51,16 @@ def _one_dimension(widths: DataFrame, expected: int | None) -> tuple[int | None,
     return (low if n else expected), n
 
 
-def _positioned(
-    vectors: DataFrame, keys: list[str], first: int, stored: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Dense positions in key order, and the widths seen on the way.
+def _positioned(vectors: DataFrame, keys: list[str], first: int) -> tuple[DataFrame, DataFrame]:
+    """Dense positions in key order for a stored table, and the widths seen on the way.
 
-    Cutting a table into ranges reads it twice, once for a sample of its keys, so vectors
-    that are not `stored` are written first: no chunk is encoded twice. Rows are range-partitioned by key and stored with their partition and place in it;
+    Rows are range-partitioned by key and stored with their partition and place in it;
     a row's position is its place plus the rows of the partitions before. No task holds
     more than one range, and a document that makes up much of the table spans several.
     Only one count per partition is ever brought together.
     """
-    if not stored:
-        vectors = materialize(vectors, "vectors")
-    ranges = vectors.rdd.getNumPartitions()  # as many as the stored table has pieces to scan
-    ordered = vectors.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    ranges = vectors.rdd.getNumPartitions()  # as many as the table has pieces to scan
+    ordered = vectors.repartitionByRange(max(ranges, 1), *keys).sortWithinPartitions(*keys)
     slot = F.monotonically_increasing_id()
     placed = materialize(
         ordered.select(
@@ -88,9 +84,19 @@ def _positioned(
     return placed.select(vec_id, *vectors.columns), counts
 
 
+def _as_table(vectors: DataFrame, stored: bool) -> AbstractContextManager[DataFrame]:
+    """The vectors as a stored table.
+
+    Cutting into ranges reads its input twice, once for a sample of the keys; without
+    this every chunk would be encoded twice.
+    """
+    return nullcontext(vectors) if stored else staged(vectors, "vectors")
+
+
 def index_positions(vectors: DataFrame, keys: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Add vec_id: the 0-based position in key order."""
-    return _positioned(vectors, keys or KEYS, 0, stored)[0]
+    with _as_table(vectors, stored) as table:
+        return _positioned(table, keys or KEYS, 0)[0]
 
 
 def build_index(
@@ -106,7 +112,8 @@ def build_index(
     """
     if metric != METRIC:
         raise ValueError(f"metric {metric!r} is not supported, only {METRIC!r}")
-    placed, counts = _positioned(vectors, keys or KEYS, 0, stored)
+    with _as_table(vectors, stored) as table:
+        placed, counts = _positioned(table, keys or KEYS, 0)
     dimension, n = _one_dimension(counts, dimension)
     if n == 0:
         raise ValueError("no vectors to build an index from")
@@ -134,8 +141,8 @@ def _added(
     index: VectorIndex, delta: DataFrame, keys: list[str], stored: bool
 ) -> tuple[DataFrame, int | None, int]:
     """Positioned new rows behind the last one, the common width and their number."""
-    fresh = new_vectors(index.vectors, delta if stored else materialize(delta, "delta"), keys)
-    placed, counts = _positioned(fresh, keys, index.n_vectors, stored=False)
+    with _as_table(delta, stored) as table, staged(new_vectors(index.vectors, table, keys), "new") as fresh:
+        placed, counts = _positioned(fresh, keys, index.n_vectors)
     dimension, n = _one_dimension(counts, index.dimension)
     return placed, dimension, n
 

@@ -41,17 +41,17 @@ def walk_folders(items: DataFrame, root_id: str) -> DataFrame:
     at the end. Every level is stored, so the plan stays flat, a lost executor costs
     nothing but its own tasks, and Catalyst sees the true size before it broadcasts.
     """
-    spark = items.sparkSession
-    folders = items.where(is_folder()).select("id", "parent_id")
-    folders = materialize(folders.where("id is not null").distinct(), "folders")
+    folders = items.where(is_folder() & F.col("id").isNotNull()).select("id", "parent_id")
+    folders = materialize(folders.distinct(), "folders")
+    root = items.sparkSession.range(1).select(F.lit(root_id).alias("id"))
 
-    frontier = spark.range(1).select(F.lit(root_id).alias("id"))
-    visited = materialize(frontier, "visited")
-    frontier = visited
+    children = folders.where((F.col("parent_id") == root_id) & (F.col("id") != root_id))
+    frontier = materialize(children.select("id").distinct(), "level")
+    visited = root.unionByName(frontier)
     while not frontier.isEmpty():
         children = folders.join(frontier.select(F.col("id").alias("parent_id")), "parent_id")
         fresh = children.select("id").distinct().join(visited, "id", "left_anti")
-        frontier = materialize(fresh, "visited")
+        frontier = materialize(fresh, "level")
         visited = visited.unionByName(frontier)
 
     reached = visited.select(F.col("id").alias("parent_id"))
