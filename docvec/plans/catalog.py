@@ -16,7 +16,7 @@ from docvec.operators import search as K
 from docvec.operators.encode import encode_chunks, with_vectors
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
-from docvec.plans.document_search import document_search, index_documents
+from docvec.plans.document_search import document_search, index_documents, index_files
 from docvec.scratch import scratch_path
 from docvec.sources import files as S
 from docvec.sources import folders as D
@@ -190,7 +190,7 @@ def dimension_check(spark, sf_dir):
 
 def _listing_and_vectors(spark, sf_dir):
     """Every document is listed; the vector table holds some of their ids."""
-    listing = T.documents(spark, sf_dir).select("doc_id")
+    listing = T.table(spark, sf_dir, "documents").select("doc_id")
     vectors = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return listing, vectors
 
@@ -291,6 +291,12 @@ def document_search_(spark, sf_dir):
     return document_search(T.documents(spark, sf_dir).select("doc_id", name, "text"))
 
 
+@_query
+def index_files_(spark, sf_dir):
+    """Files of every format to a stored index."""
+    return _index_rows(index_files(T.files(spark, sf_dir), scratch_path(spark, "run"), parsers={"pdf": _plain_pdf}))
+
+
 @_query
 def passage_search(spark, sf_dir):
     """The three chunks nearest to every chunk of the benchmark texts, with their place."""

@@ -11,8 +11,10 @@ from docvec.functions.text import tokens_of
 from docvec.functions.vectors import HASH_DIMS
 from docvec.operators.chunks import CHUNK_SIZE, chunk_tokens
 from docvec.operators.encode import Encoder, encode_chunks
-from docvec.operators.index import VectorIndex, build_index
+from docvec.operators.index import VectorIndex, build_index, open_index, save_index
 from docvec.operators.search import self_query
+from docvec.sources.files import Parser, extract_text, tokenize_files
+from docvec.sources.vectors import read_vectors, write_vectors
 
 # Fixed value: neighbours the closing self query shows.
 SHOWN = 3
@@ -34,6 +36,34 @@ def index_documents(documents: DataFrame, make_encoder: Callable[[], Encoder] |
     return build_index(chunk_vectors(documents, make_encoder))
 
 
+def file_vectors(
+    files: DataFrame,
+    make_encoder: Callable[[], Encoder] | None = None,
+    parsers: dict[str, Parser] | None = None,
+) -> DataFrame:
+    """doc_id (the path), file_name, chunk_id, embedding of every chunk of files(path, content)."""
+    texts = extract_text(files.select("path", "content"), parsers)
+    texts = texts.select(F.col("path").alias("doc_id"), "path", "text")
+    return encode_chunks(chunk_tokens(tokenize_files(texts)), make_encoder)
+
+
+def index_files(
+    files: DataFrame,
+    path: str,
+    make_encoder: Callable[[], Encoder] | None = None,
+    parsers: dict[str, Parser] | None = None,
+) -> VectorIndex:
+    """The full run over files(path, content): text, tokens, chunks, vectors, index.
+
+    The vectors are kept under `path`/chunks and the index under `path`/index; a run
+    replaces what an earlier one left there.
+    """
+    spark = files.sparkSession
+    write_vectors(file_vectors(files, make_encoder, parsers), f"{path}/chunks", "overwrite")
+    save_index(build_index(read_vectors(spark, f"{path}/chunks"), stored=True), f"{path}/index")
+    return open_index(spark, f"{path}/index")
+
+
 def document_search(
     documents: DataFrame, make_encoder: Callable[[], Encoder] | None = None, top_k: int = SHOWN
 ) -> DataFrame:

@@ -89,6 +89,8 @@ _CTES = {
     "vectors": _vectors("vectors", "chunks"),
     "index": """placed AS (
   SELECT row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS vec_id, * FROM vectors)""",
+    "file_chunks": _chunks("file_chunks", "texts", "path"),
+    "file_vectors": _vectors("file_vectors", "file_chunks"),
     "questions": _chunks("q_chunks", "benchmark", "item_id") + ", " + _vectors("questions", "q_chunks"),
     "neighbours": f"""pairs AS (
   SELECT q.vec_id AS query_id, e.vec_id, {_distance('e.embedding', 'q.embedding')} AS distance
@@ -173,6 +175,9 @@ FROM neighbours LEFT JOIN labels ON doc_id = vec_id""",
     + f"""SELECT p.vec_id, p.doc_id, 'doc_' || p.doc_id || '.txt' AS file_name, p.chunk_id,
   {_distance('p.embedding', 'q.embedding')} AS distance
 FROM placed p, (SELECT embedding FROM placed WHERE vec_id = 0) q ORDER BY distance, p.vec_id LIMIT 3""",
+    "index_files": _with("paths", "texts", "file_chunks", "file_vectors")
+    + f"""SELECT row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS vec_id, doc_id, chunk_id, {_NUMBERS} AS embedding
+FROM file_vectors""",
     "passage_search": _with("chunks", "vectors", "index", "questions")
     + f"""SELECT q.doc_id * 1000 + q.chunk_id AS query_id,
   row_number() OVER (PARTITION BY q.doc_id, q.chunk_id

@@ -43,7 +43,7 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folder listing: root, a folder per language, one per language and source, a file per document."""
-    docs = documents(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
     lang_id = F.concat(F.lit("f:"), "lang")
     source_id = F.concat(F.lit("f:"), "lang", F.lit("/"), "source")
     folder = F.lit(FOLDER_MIME_TYPE).alias("mime_type")
@@ -65,7 +65,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference per document; documents without a label have no id."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").cast("string").alias("id"))
-    names = documents(spark, sf_dir).select("doc_id", F.concat("lang", F.lit("_"), "doc_id").alias("name"))
+    names = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("_"), "doc_id").alias("name"))
     return names.join(labels, "doc_id", "left").select("id", "name")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 KEYS = ["doc_id", "chunk_id"]
 
 
-def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("append").parquet(path)
+def write_vectors(vectors: DataFrame, path: str, mode: str = "append") -> None:
+    vectors.write.mode(mode).parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docvec.operators.chunks import chunk_tokens
-from docvec.operators.encode import Encoder, encode_chunks
-from docvec.sources.files import Parser, extract_text, tokenize_files
+from docvec.operators.encode import Encoder
+from docvec.plans.document_search import file_vectors
+from docvec.sources.files import Parser
 
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -21,17 +20,6 @@ def landing_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -
     return reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
-def file_vectors(
-    files: DataFrame,
-    make_encoder: Callable[[], Encoder] | None = None,
-    parsers: dict[str, Parser] | None = None,
-) -> DataFrame:
-    """doc_id (the path), file_name, chunk_id, embedding of every chunk of files(path, content)."""
-    texts = extract_text(files.select("path", "content"), parsers)
-    texts = texts.select(F.col("path").alias("doc_id"), "path", "text")
-    return encode_chunks(chunk_tokens(tokenize_files(texts)), make_encoder)
-
-
 def ingest(
     files: DataFrame,
     table: str,

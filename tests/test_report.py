@@ -1,5 +1,9 @@
+from docvec.operators.index import open_index
 from docvec.operators.report import file_stats, run_report
-from docvec.plans.document_search import chunk_vectors, document_search
+from docvec.operators.search import search, self_query
+from docvec.plans.document_search import chunk_vectors, document_search, index_files
+from docvec.plans.tables import docx_bytes, xlsx_bytes
+from docvec.sources.files import read_files
 
 
 def test_stats(spark):
@@ -28,3 +32,20 @@ def test_whole_way(spark):
     hits = document_search(documents, top_k=5).collect()
     assert [(r["vec_id"], r["file_name"], r["chunk_id"]) for r in hits][:2] == [(0, "a.txt", 0), (1, "b.txt", 0)]
     assert [r["distance"] for r in hits][:2] == [0.0, 0.0] and hits[2]["distance"] > 0 and len(hits) == 3
+
+
+def test_files_to_a_stored_index(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.docx").write_bytes(docx_bytes(["um dois", "três"]))
+    (folder / "b.xlsx").write_bytes(xlsx_bytes(["um", "dois três"]))
+    (folder / "c.txt").write_text(" ".join(f"w{i}" for i in range(120)))
+    (folder / "d.csv").write_text("not read")
+    index = index_files(read_files(spark, str(folder)), f"{tmp_path}/out")
+    assert (index.n_vectors, index.dimension) == (5, 64)
+    again = open_index(spark, f"{tmp_path}/out/index")
+    hits = self_query(again, 2, ["file_name", "chunk_id"]).collect()
+    assert [(r["file_name"], r["chunk_id"], r["distance"]) for r in hits] == [("a.docx", 0, 0.0), ("b.xlsx", 0, 0.0)]
+    third = again.vectors.where("vec_id = 4").first()
+    assert (third["file_name"], third["chunk_id"]) == ("c.txt", 2)
+    assert search(again, third["embedding"], 1).first()["vec_id"] == 4

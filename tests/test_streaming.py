@@ -1,9 +1,10 @@
 from docvec.operators.index import build_index
 from docvec.operators.search import self_query
+from docvec.plans.document_search import file_vectors
 from docvec.plans.tables import docx_bytes, pptx_bytes
 from docvec.sources.files import read_files
 from docvec.sources.vectors import read_vectors
-from docvec.streaming.ingest import file_vectors, ingest, landing_files
+from docvec.streaming.ingest import ingest, landing_files
 
 
 def rows_of(df):
