@@ -38,6 +38,7 @@ class NearestRows:
 
     def __init__(self, queries: np.ndarray, k: int):
         self._queries = queries
+        self._widened = np.c_[queries, np.ones(len(queries))]
         self._norms = np.einsum("ij,ij->i", queries, queries)
         self._k = k
         self._worst = np.full(len(queries), np.inf)  # k-th best distance so far
@@ -51,25 +52,30 @@ class NearestRows:
         kept = _lowest_copies(ids, vectors, self._k)
         ids, vectors = ids[kept], vectors[kept]
         norms = np.einsum("ij,ij->i", vectors, vectors)
+        # Widened rows multiply to half the distance without the query's own norm.
+        widened = np.c_[-vectors, norms / 2].T
+        slack = 8.0 * (vectors.shape[1] + 4) * _UNIT * (self._norms + norms.max())
         found = []
         step = max(1, _BLOCK_CELLS // len(ids))
         for start in range(0, len(self._queries), step):
-            found += self._candidates(start, start + step, ids, vectors, norms)
+            found += self._candidates(slice(start, start + step), ids, vectors, widened, slack)
         self._merge(found)
 
-    def _candidates(self, start: int, stop: int, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> list:
-        queries, query_norms = self._queries[start:stop], self._norms[start:stop, None]
-        estimate = query_norms + norms - 2.0 * (queries @ vectors.T)
-        slack = 8.0 * (queries.shape[1] + 4) * _UNIT * (query_norms + norms.max())
-        limit = self._worst[start:stop, None]
-        if len(ids) >= self._k:
-            batch_kth = np.partition(estimate, self._k - 1, axis=1)[:, self._k - 1, None]
-            limit = np.minimum(limit, batch_kth + slack)
-        rows, cols = np.nonzero(estimate <= limit + slack)
+    def _candidates(
+        self, block: slice, ids: np.ndarray, vectors: np.ndarray, widened: np.ndarray, slack: np.ndarray
+    ) -> list:
+        """Pairs that may be among the k best: (place of the query, id, distance) arrays."""
+        queries, slack = self._queries[block], slack[block]
+        half = self._widened[block] @ widened
+        limit = (self._worst[block] - self._norms[block] + slack) / 2
+        if len(ids) >= self._k and np.isinf(limit).any():
+            kth = np.partition(half, self._k - 1, axis=1)[:, self._k - 1]
+            limit = np.minimum(limit, kth + slack)
+        hits = np.flatnonzero(half <= limit[:, None])
         found = []
-        for at in range(0, len(rows), _PAIRS):
-            row, col = rows[at : at + _PAIRS], cols[at : at + _PAIRS]
-            found.append((start + row, ids[col], exact_l2(queries[row], vectors[col])))
+        for at in range(0, len(hits), _PAIRS):
+            row, col = np.divmod(hits[at : at + _PAIRS], len(ids))
+            found.append((block.start + row, ids[col], exact_l2(queries[row], vectors[col])))
         return found
 
     def _merge(self, found: list) -> None:
