@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docvec.functions.text import file_stem
@@ -35,8 +35,12 @@ def chunk_tokens(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return docs.select(*others, F.posexplode(F.when(F.size(tokens) > 0, runs)).alias("chunk_id", "tokens"))
 
 
+def _label(stem: Column, chunk_id: Column) -> Column:
+    return F.concat(stem, F.lit("_part_"), chunk_id.cast("string"))
+
+
 def chunk_label(file_name: Column, chunk_id: Column) -> Column:
-    return F.concat(file_stem(file_name), F.lit("_part_"), chunk_id.cast("string"))
+    return _label(file_stem(file_name), chunk_id)
 
 
 def encoder_input(tokens: Column) -> Column:
@@ -45,9 +49,20 @@ def encoder_input(tokens: Column) -> Column:
     return F.slice(marked, 1, MAX_INPUT)
 
 
-def label_collisions(labels: DataFrame) -> DataFrame:
-    """Labels that more than one chunk would share, with their number.
+def label_collisions(files: DataFrame) -> DataFrame:
+    """Labels that chunks of several files(file_name, n_chunks) share, with their number.
 
-    Counted in the map tasks first, so a label that fills most of the table is sent once per task.
+    Chunk i of a stem is there once per file of more than i chunks, so files are counted
+    by stem and length and no chunk is shuffled. A stem that most files share is one row
+    per length and task.
     """
-    return labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    stem = file_stem(F.col("file_name")).alias("stem")
+    lengths = files.groupBy(stem, "n_chunks").agg(F.count("*").alias("files"))
+    longest_first = Window.partitionBy("stem").orderBy(F.desc("n_chunks"))
+    shorter = F.coalesce(F.lead("n_chunks").over(longest_first), F.lit(0))
+    reach = lengths.select(
+        "stem", "n_chunks", shorter.alias("shorter"), F.sum("files").over(longest_first).alias("n")
+    )
+    ids = F.explode(F.sequence(F.col("shorter"), F.col("n_chunks") - 1)).alias("chunk_id")
+    shared = reach.where("n > 1 AND n_chunks > 0").select("stem", "n", ids)
+    return shared.select(_label(F.col("stem"), F.col("chunk_id")).alias("label"), "n")

@@ -20,7 +20,10 @@ Encoder = Callable[[list[list[str]]], np.ndarray]
 def _encode_batch(encoder: Encoder, batch: list[list[str]]) -> list[np.ndarray | None]:
     """One vector per chunk. When a batch fails its chunks are tried alone, so only bad ones are lost."""
     try:
-        return list(np.asarray(encoder(batch), dtype=np.float32))
+        vectors = np.asarray(encoder(batch), dtype=np.float32)
+        if vectors.ndim != 2 or len(vectors) != len(batch):
+            raise ValueError(f"{len(batch)} chunks gave vectors of shape {vectors.shape}")
+        return list(vectors)
     except Exception:
         if len(batch) == 1:
             return [None]
@@ -56,14 +59,17 @@ def with_vectors(
     make_encoder: Callable[[], Encoder] | None = None,
     batch_size: int = BATCH_SIZE,
     dims: int = HASH_DIMS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Replace `tokens` by `embedding`, null where the encoding failed.
 
     Without an encoder the vector is signed feature hashing of the bare tokens: a
-    lexical stand-in, not a language model.
+    lexical stand-in, not a language model. All chunks of a document start in the task
+    that read it; for an encoder slower than a shuffle, `tasks` deals them out first.
     """
     others = [c for c in chunks.columns if c != "tokens"]
     chunks = chunks.where(F.size("tokens") > 0)
+    chunks = chunks.repartition(tasks) if tasks else chunks
     tokens = F.col("tokens")
     vector = hashing_vector(tokens, dims) if make_encoder is None else encoded(make_encoder, batch_size)(tokens)
     return chunks.select(*others, vector.alias("embedding"))
@@ -74,9 +80,10 @@ def encode_chunks(
     make_encoder: Callable[[], Encoder] | None = None,
     batch_size: int = BATCH_SIZE,
     dims: int = HASH_DIMS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """`with_vectors` without the chunks whose encoding failed."""
-    vectors = with_vectors(chunks, make_encoder, batch_size, dims)
+    vectors = with_vectors(chunks, make_encoder, batch_size, dims, tasks)
     return vectors if make_encoder is None else vectors.where("embedding is not null")
 
 

@@ -144,8 +144,10 @@ def knn_join(
     if n_queries * row_bytes <= broadcast_bytes:
         partial = _scan_with(vectors, queries.toArrow(), top_k)
     else:
-        n_rows = -(-max(index.n_vectors, 1) * row_bytes // cell_bytes)
         n_cols = -(-n_queries * row_bytes // cell_bytes)
+        n_rows = -(-max(index.n_vectors, 1) * row_bytes // cell_bytes)
+        tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n_rows = max(n_rows, -(-tasks // n_cols))  # no fewer cells than tasks
         partial = _in_cells(vectors, queries, n_rows, n_cols, top_k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     ranked = partial.withColumn("rank", rank).where(F.col("rank") <= top_k)

@@ -159,9 +159,8 @@ def encoder_input(spark, sf_dir):
 def label_collisions(spark, sf_dir):
     """Documents of one source share a file name here."""
     docs = T.documents(spark, sf_dir).select("source", tokens_of(F.col("text")).alias("tokens"))
-    name = F.concat("source", F.lit(".txt"))
-    label = C.chunk_label(name, F.col("chunk_id")).alias("label")
-    return C.label_collisions(C.chunk_tokens(docs).select(label))
+    name = F.concat("source", F.lit(".txt")).alias("file_name")
+    return C.label_collisions(docs.select(name, C.chunk_count(F.col("tokens")).alias("n_chunks")))
 
 
 # --- vectors ----------------------------------------------------------------------

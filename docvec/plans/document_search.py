@@ -25,11 +25,15 @@ def chunk_vectors(
     make_encoder: Callable[[], Encoder] | None = None,
     size: int = CHUNK_SIZE,
     dims: int = HASH_DIMS,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """One vector per chunk of documents(doc_id, ..., text); other columns stay. No shuffle."""
+    """One vector per chunk of documents(doc_id, ..., text); other columns stay.
+
+    No shuffle, unless `tasks` asks to deal the chunks out to a slow encoder.
+    """
     others = [c for c in documents.columns if c != "text"]
     tokens = documents.select(*others, tokens_of(F.col("text")).alias("tokens"))
-    return encode_chunks(chunk_tokens(tokens, size), make_encoder, dims=dims)
+    return encode_chunks(chunk_tokens(tokens, size), make_encoder, dims=dims, tasks=tasks)
 
 
 def index_documents(documents: DataFrame, make_encoder: Callable[[], Encoder] | None = None) -> VectorIndex:
@@ -40,11 +44,12 @@ def file_vectors(
     files: DataFrame,
     make_encoder: Callable[[], Encoder] | None = None,
     parsers: dict[str, Parser] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """doc_id (the path), file_name, chunk_id, embedding of every chunk of files(path, content)."""
     texts = extract_text(files.select("path", "content"), parsers)
     texts = texts.select(F.col("path").alias("doc_id"), "path", "text")
-    return encode_chunks(chunk_tokens(tokenize_files(texts)), make_encoder)
+    return encode_chunks(chunk_tokens(tokenize_files(texts)), make_encoder, tasks=tasks)
 
 
 def index_files(
@@ -52,6 +57,7 @@ def index_files(
     path: str,
     make_encoder: Callable[[], Encoder] | None = None,
     parsers: dict[str, Parser] | None = None,
+    tasks: int | None = None,
 ) -> VectorIndex:
     """The full run over files(path, content): text, tokens, chunks, vectors, index.
 
@@ -59,7 +65,7 @@ def index_files(
     replaces what an earlier one left there.
     """
     spark = files.sparkSession
-    write_vectors(file_vectors(files, make_encoder, parsers), f"{path}/chunks", "overwrite")
+    write_vectors(file_vectors(files, make_encoder, parsers, tasks), f"{path}/chunks", "overwrite")
     save_index(build_index(read_vectors(spark, f"{path}/chunks"), stored=True), f"{path}/index")
     return open_index(spark, f"{path}/index")
 

@@ -52,5 +52,6 @@ def test_encoder_input(spark):
 
 
 def test_label_collisions(spark):
-    labels = spark.createDataFrame([("a",), ("a",), ("b",), ("a",)], "label string")
-    assert [tuple(r) for r in C.label_collisions(labels).collect()] == [("a", 3)]
+    files = [("a.txt", 3), ("a.pdf", 1), ("a.docx", 3), ("b.txt", 9), ("c.txt", 0), ("c.pdf", 0), ("c.docx", 2), ("c.x", 1)]
+    found = C.label_collisions(spark.createDataFrame(files, "file_name string, n_chunks long")).collect()
+    assert sorted(tuple(r) for r in found) == [("a_part_0", 3), ("a_part_1", 2), ("a_part_2", 2), ("c_part_0", 2)]

@@ -63,6 +63,18 @@ def test_plugin_drops_only_failed_and_empty_chunks(spark, chunks):
     }
 
 
+def test_chunks_can_be_dealt_out(chunks):
+    dealt = encode_chunks(chunks.coalesce(1), dims=8, tasks=5)
+    assert dealt.select(F.spark_partition_id()).distinct().count() == 5
+    assert sorted(dealt.collect()) == sorted(encode_chunks(chunks, dims=8).collect())
+
+
+def test_an_encoder_that_loses_rows_is_an_error(chunks):
+    """The batch fails and its chunks are tried alone."""
+    vectors = encode_chunks(chunks, lambda: lambda batch: np.ones((1, 2)))
+    assert vectors.count() == 79
+
+
 # --- a model file, written field by field ------------------------------------------
 
 
