@@ -41,10 +41,9 @@ class NearestRows:
         self._widened = np.c_[queries, np.ones(len(queries))]
         self._norms = np.einsum("ij,ij->i", queries, queries)
         self._k = k
-        self._worst = np.full(len(queries), np.inf)  # k-th best distance so far
-        self._query = np.empty(0, dtype=np.int64)
-        self._id = np.empty(0, dtype=np.int64)
-        self._distance = np.empty(0)
+        self._count = np.zeros(len(queries), dtype=np.int64)
+        self._id = np.zeros((len(queries), k), dtype=np.int64)
+        self._distance = np.full((len(queries), k), np.inf)  # nearest first
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if len(ids) == 0 or len(self._queries) == 0:
@@ -55,39 +54,41 @@ class NearestRows:
         # Widened rows multiply to half the distance without the query's own norm.
         widened = np.c_[-vectors, norms / 2].T
         slack = 8.0 * (vectors.shape[1] + 4) * _UNIT * (self._norms + norms.max())
-        found = []
         step = max(1, _BLOCK_CELLS // len(ids))
         for start in range(0, len(self._queries), step):
-            found += self._candidates(slice(start, start + step), ids, vectors, widened, slack)
-        self._merge(found)
+            self._offer_to(slice(start, start + step), ids, vectors, widened, slack)
 
-    def _candidates(
+    def _offer_to(
         self, block: slice, ids: np.ndarray, vectors: np.ndarray, widened: np.ndarray, slack: np.ndarray
-    ) -> list:
-        """Pairs that may be among the k best: (place of the query, id, distance) arrays."""
+    ) -> None:
+        """Find and keep the pairs of one block of queries that may be among the k best."""
         queries, slack = self._queries[block], slack[block]
         half = self._widened[block] @ widened
-        limit = (self._worst[block] - self._norms[block] + slack) / 2
+        worst = self._distance[block, -1]  # infinite until a query has k rows
+        limit = (worst - self._norms[block] + slack) / 2
         if len(ids) >= self._k and np.isinf(limit).any():
             kth = np.partition(half, self._k - 1, axis=1)[:, self._k - 1]
             limit = np.minimum(limit, kth + slack)
         hits = np.flatnonzero(half <= limit[:, None])
-        found = []
         for at in range(0, len(hits), _PAIRS):
             row, col = np.divmod(hits[at : at + _PAIRS], len(ids))
-            found.append((block.start + row, ids[col], exact_l2(queries[row], vectors[col])))
-        return found
-
-    def _merge(self, found: list) -> None:
-        query = np.concatenate([self._query, *(f[0] for f in found)])
-        vec_id = np.concatenate([self._id, *(f[1] for f in found)])
-        distance = np.concatenate([self._distance, *(f[2] for f in found)])
-        order = np.lexsort((vec_id, distance, query))
-        best = order[_place_in_run(query[order]) < self._k]
-        self._query, self._id, self._distance = query[best], vec_id[best], distance[best]
-        full = _place_in_run(self._query) == self._k - 1
-        self._worst[self._query[full]] = self._distance[full]
+            self._keep(block.start + row, ids[col], exact_l2(queries[row], vectors[col]))
+
+    def _keep(self, query: np.ndarray, vec_id: np.ndarray, distance: np.ndarray) -> None:
+        """Put new pairs among the kept ones of their queries; only these queries are touched."""
+        touched, row = np.unique(query, return_inverse=True)
+        kept = np.arange(self._k) < self._count[touched, None]
+        row = np.concatenate([np.nonzero(kept)[0], row])
+        vec_id = np.concatenate([self._id[touched][kept], vec_id])
+        distance = np.concatenate([self._distance[touched][kept], distance])
+        order = np.lexsort((vec_id, distance, row))
+        place = _place_in_run(row[order])
+        order, place = order[place < self._k], place[place < self._k]
+        at = touched[row[order]]
+        self._id[at, place], self._distance[at, place] = vec_id[order], distance[order]
+        self._count[touched] = np.bincount(row[order])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the query, id and distance of every kept pair."""
-        return self._query, self._id, self._distance
+        kept = np.arange(self._k) < self._count[:, None]
+        return np.nonzero(kept)[0], self._id[kept], self._distance[kept]
