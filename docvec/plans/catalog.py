@@ -111,7 +111,7 @@ def tokenize_turns(spark, sf_dir):
 
 @_query
 def tokenize_pages(spark, sf_dir):
-    """Raw markup as text: the rows with apostrophes and dashes."""
+    """Raw markup as text: the rows with double dashes."""
     pages = T.table(spark, sf_dir, "pages")
     return pages.select("page_id", _words(tokens_of(F.col("html"))).alias("tokens"))
 

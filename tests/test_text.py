@@ -85,6 +85,33 @@ def test_file_stem(spark, name, stem):
     assert values(spark, X.file_stem, [name]) == [stem]
 
 
+def by_the_rules(text):
+    """The public Treebank word rules that can apply to cleaned text, one after the other."""
+    text = re.sub(r"([ (\[{<])('{2})", r"\1 `` ", text)
+    text = re.sub(r"(')(?!re|ve|ll|m|t|s|d|n)(\w)\b", r"\1 \2", text)
+    text = re.sub(r"([^'])' ", r"\1 ' ", text)
+    text = " " + re.sub(r"--", " -- ", text) + " "
+    text = re.sub(r"\s+", " ", re.sub(r"''", " '' ", text))
+    text = re.sub(r"([^' ])('s|'m|'d|') ", r"\1 \2 ", text)
+    text = re.sub(r"([^' ])('ll|'re|'ve|n't) ", r"\1 \2 ", text)
+    for first, last in [("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me")]:
+        text = re.sub(rf"\b({first})({last})\b", r" \1 \2 ", text)
+    text = re.sub(r"\b(more)('n)\b", r" \1 \2 ", text)
+    text = re.sub(r"\b(wan)(na)(?=\s)", r" \1 \2 ", text)
+    text = re.sub(r" ('t)(is)\b", r" \1 \2 ", text)
+    return re.sub(r" ('t)(was)\b", r" \1 \2 ", text).split()
+
+
+PIECES = ["'", "''", "-", "--", " ", "\n", "\xa0", "a", "s", "t", "n't", "'ll", "é", "1", "x", "dog", "can", "not", "cannot"]
+PIECES += ["gonna", "wanna", "gimme", "d'ye", "more'n", "'tis", "'twas", "'s", "'re", "'ve", "'m", "'d", "lemme", "gotta"]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=1, max_size=150))
+def test_words_follow_the_rules(spark, texts):
+    assert values(spark, X.split_words, texts) == [by_the_rules(t) for t in texts]
+
+
 def test_base_name_and_preview(spark):
     assert values(spark, X.base_name, ["a/b/c.txt", "c.txt"]) == ["c.txt", "c.txt"]
     many = " ".join(f"w{i}" for i in range(30))
