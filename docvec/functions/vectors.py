@@ -24,9 +24,12 @@ def l2_squared(a: Column, b: Column) -> Column:
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
-    """A list<float> Arrow column without nulls and of one width as a float64 matrix."""
+    """A list<float> Arrow column without nulls as a float64 matrix; an error when widths differ."""
     if len(column) == 0:
         return np.empty((0, 0))
+    widths = np.diff(column.offsets.to_numpy())
+    if (widths != widths[0]).any():
+        raise ValueError(f"vectors of width {widths.min()} to {widths.max()}, expected one width")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -49,7 +52,10 @@ def l2_squared_to(vector: np.ndarray) -> Callable[[Column], Column]:
 
     @F.arrow_udf("double")
     def distance(embedding: pa.Array) -> pa.Array:
-        return pa.array(exact_l2(as_matrix(embedding), target))
+        vectors = as_matrix(embedding)
+        if len(vectors) and vectors.shape[1] != len(target):
+            raise ValueError(f"vectors of width {vectors.shape[1]}, query of width {len(target)}")
+        return pa.array(exact_l2(vectors, target))
 
     return distance
 

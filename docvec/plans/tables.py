@@ -160,10 +160,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
-    """The given vectors, which bring their positions, as an index."""
+    """The given vectors, which bring their positions, as an index.
+
+    The first one gives the width; a scan fails on any other.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    shape = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    return VectorIndex(spread(vectors), shape[1], shape[0])
+    width = vectors.select(F.size("embedding")).first()[0]
+    return VectorIndex(spread(vectors), width, vectors.count())
 
 
 def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,17 @@ def test_query_rows(spark):
     assert K.knn_join(index, two.where("query_id > 5")).count() == 0
 
 
+def test_a_scan_fails_on_other_widths(spark):
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    index = VectorIndex(vectors.coalesce(1), 2, 2)
+    with pytest.raises(Exception, match="width 1 to 3"):
+        K.search(index, [0.0, 1.0]).collect()
+    with pytest.raises(Exception, match="vectors of width 1, query of width 2"):
+        K.search(VectorIndex(vectors.where("vec_id = 0"), 2, 1), [0.0, 1.0]).collect()
+    with pytest.raises(Exception, match="width 1 to 3"):
+        K.knn_join(index, queries_of(spark, [[0.0, 1.0]])).collect()
+
+
 def test_metadata(spark):
     hits = K.search(index_of(spark, [[0.0], [1.0], [2.0]]), [0.0], 3)
     meta = spark.createDataFrame([(0, "a", 1), (1, None, 2), (9, "c", 3)], "vec_id long, name string, doc int")
