@@ -181,6 +181,21 @@ def encode_with_plugin(spark, sf_dir):
     return vectors.select("doc_id", "chunk_id", _numbers("embedding").alias("embedding"))
 
 
+def _picky_encoder():
+    def encode(batch):
+        if min(map(len, batch)) < C.CHUNK_SIZE:
+            raise ValueError("only full chunks")
+        return np.array([[len(chunk)] for chunk in batch])
+
+    return encode
+
+
+@_query
+def encode_with_failures(spark, sf_dir):
+    """Chunks the encoder fails on are dropped, the others of their batch are kept."""
+    return encode_chunks(T.document_chunks(spark, sf_dir), _picky_encoder).select("doc_id", "chunk_id")
+
+
 @_query
 def dimension_check(spark, sf_dir):
     widths = V.dimension_check(T.table(spark, sf_dir, "embeddings"))

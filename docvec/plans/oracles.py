@@ -149,6 +149,7 @@ FROM chunks JOIN documents USING (doc_id) GROUP BY ALL HAVING n > 1""",
     "encode_with_plugin": _with("chunks")
     + """SELECT doc_id, chunk_id, len(tokens) || ' ' || list_sum(list_transform(tokens, lambda t: length(t))) || ' '
   || list_max(list_transform(tokens, lambda t: length(t))) AS embedding FROM chunks""",
+    "encode_with_failures": _with("chunks") + "SELECT doc_id, chunk_id FROM chunks WHERE len(tokens) = 50",
     "dimension_check": "SELECT len(embedding) AS dimension, count(*) AS n FROM embeddings GROUP BY ALL",
     "missing_vectors": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "listed_vectors": """SELECT doc_id, len(embedding) AS dimension
