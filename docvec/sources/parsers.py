@@ -71,34 +71,47 @@ def docx_text(content: bytes) -> Iterator[str]:
 
 # --- workbooks -----------------------------------------------------------------
 
-# Number formats that every workbook knows as dates or times.
-_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+# Number formats that every workbook knows as dates or times, and as a duration.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 47}
+_DURATION_FORMATS = {46}
+# Day 0 of the two calendars.
+_EPOCH_1900 = datetime(1899, 12, 30)
+_EPOCH_1904 = datetime(1904, 1, 1)
 
 
-def _date_styles(package: zipfile.ZipFile, relations: dict) -> set[int]:
-    """Positions of the cell styles that show a number as a date."""
+def _format_kind(number: int, code: str) -> str | None:
+    """Whether a number format shows a date or a duration; only its first section counts."""
+    code = re.sub(r'"[^"]*"', "", code.split(";")[0])
+    if number in _DURATION_FORMATS or re.search(r"\[(h+|m+|s+)\]", code, re.I):
+        return "duration"
+    bare = re.sub(r"\[[^\]]*\]|\\.|_.", "", code)
+    return "date" if number in _DATE_FORMATS or re.search("[dmyhs]", bare, re.I) else None
+
+
+def _time_styles(package: zipfile.ZipFile, relations: dict) -> dict[int, str]:
+    """Position of a cell style -> date or duration, for the styles that show one."""
     part = next((target for kind, target in relations.values() if kind == "styles"), None)
     if part is None or part not in package.namelist():
-        return set()
+        return {}
     styles = ET.fromstring(package.read(part))
-    formats = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_S}numFmt")}
-
-    def is_date(fmt: int) -> bool:
-        bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", formats.get(fmt, ""))
-        return fmt in _DATE_FORMATS or re.search("[dmyhsDMYHS]", bare) is not None
-
+    codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_S}numFmt")}
     cells = styles.find(f"{_S}cellXfs")
-    kinds = [] if cells is None else [int(c.get("numFmtId", 0)) for c in cells]
-    return {i for i, fmt in enumerate(kinds) if is_date(fmt)}
+    numbers = [] if cells is None else [int(c.get("numFmtId", 0)) for c in cells]
+    kinds = {i: _format_kind(number, codes.get(number, "")) for i, number in enumerate(numbers)}
+    return {i: kind for i, kind in kinds.items() if kind}
 
 
-def _date_text(serial: float) -> str:
-    moment = datetime(1899, 12, 30) + timedelta(days=serial)
-    if serial < 60:
-        moment += timedelta(days=1)  # day 60 never existed, so earlier days sit one off
-    if 0 <= serial < 1:
-        return str(moment.time())
-    return str(moment)
+def _time_text(serial: float, kind: str, epoch: datetime) -> str:
+    """A day number as date, time of day or duration, to the millisecond."""
+    days, fraction = divmod(serial, 1)
+    rest = timedelta(milliseconds=round(fraction * 86_400_000))
+    if kind == "duration":
+        return str(timedelta(days=days) + rest)
+    if 0 <= serial < 1 and not rest.days:
+        return str((epoch + rest).time())
+    if 0 < serial < 60 and epoch == _EPOCH_1900:
+        days += 1  # day 60 never existed, so earlier days sit one off
+    return str(epoch + timedelta(days=days) + rest)
 
 
 def _shared_strings(package: zipfile.ZipFile, relations: dict) -> list[str]:
@@ -114,7 +127,7 @@ def _plain_string(item: ET.Element) -> str:
     return "".join(node.text or "" for node in nodes)
 
 
-def _cell_text(cell: ET.Element, strings: list[str], dates: set[int]) -> str | None:
+def _cell_text(cell: ET.Element, strings: list[str], times: dict[int, str], epoch: datetime) -> str | None:
     formula = cell.find(f"{_S}f")
     if formula is not None:
         return "=" + (formula.text or "")
@@ -129,10 +142,13 @@ def _cell_text(cell: ET.Element, strings: list[str], dates: set[int]) -> str | N
         return strings[int(value)]
     if kind == "b":
         return str(bool(int(value)))
+    if kind == "d":
+        return value.rstrip("Z").replace("T", " ")
     if kind != "n":
         return value
     number = float(value) if re.search("[.eE]", value) else int(value)
-    return _date_text(number) if int(cell.get("s", 0)) in dates else str(number)
+    shown_as = times.get(int(cell.get("s", 0)))
+    return _time_text(number, shown_as, epoch) if shown_as else str(number)
 
 
 def xlsx_text(content: bytes) -> Iterator[str]:
@@ -141,8 +157,12 @@ def xlsx_text(content: bytes) -> Iterator[str]:
         book = _main_part(package)
         relations = _relations(package, book)
         strings = _shared_strings(package, relations)
-        dates = _date_styles(package, relations)
-        for sheet in ET.fromstring(package.read(book)).iter(f"{_S}sheet"):
+        times = _time_styles(package, relations)
+        workbook = ET.fromstring(package.read(book))
+        settings = workbook.find(f"{_S}workbookPr")
+        late = settings is not None and settings.get("date1904") in ("1", "true")
+        epoch = _EPOCH_1904 if late else _EPOCH_1900
+        for sheet in workbook.iter(f"{_S}sheet"):
             kind, part = relations[sheet.get(_R_ID)]
             if kind != "worksheet":
                 continue
@@ -153,7 +173,7 @@ def xlsx_text(content: bytes) -> Iterator[str]:
                         continue
                     place = int(row.get("r", seen + 1))
                     yield "\n" * (place - seen - 1)
-                    cells = (_cell_text(cell, strings, dates) for cell in row.findall(f"{_S}c"))
+                    cells = (_cell_text(cell, strings, times, epoch) for cell in row.findall(f"{_S}c"))
                     yield " ".join(text for text in cells if text is not None) + "\n"
                     seen = place
                     row.clear()

@@ -20,9 +20,8 @@ def package(parts, tmp_path, links=None):
     with zipfile.ZipFile(path, "w") as out:
         for name, targets in (links or {}).items():
             rows = "".join(f'<Relationship Id="{i}" Type="{REL}/{k}" Target="{t}"/>' for i, k, t in targets)
-            out.writestr(
-                name, f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rows}</Relationships>'
-            )
+            kind = "http://schemas.openxmlformats.org/package/2006/relationships"
+            out.writestr(name, f'<Relationships xmlns="{kind}">{rows}</Relationships>')
         for name, xml in parts.items():
             out.writestr(name, xml)
     return path.read_bytes()
@@ -77,6 +76,20 @@ def test_xlsx(tmp_path):
     )
 
 
+def test_xlsx_times(tmp_path):
+    styles = (
+        '<numFmts><numFmt numFmtId="164" formatCode="[h]:mm"/><numFmt numFmtId="165" formatCode="0;[Red]d"/></numFmts>'
+        '<cellXfs><xf numFmtId="22"/><xf numFmtId="46"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs>'
+    )
+    cells = [(0, "45292.1"), (0, "1"), (0, "59.5"), (0, "61"), (1, "1.5"), (2, "0.25"), (3, "7"), (0, "0.999999999")]
+    row = "".join(f'<c s="{s}"><v>{v}</v></c>' for s, v in cells) + '<c t="d"><v>2024-01-02T03:04:05Z</v></c>'
+    assert text(P.xlsx_text, workbook(tmp_path, [f"<row>{row}</row>"], styles=styles)) == (
+        "2024-01-01 02:24:00 1900-01-01 00:00:00 1900-02-28 12:00:00 1900-03-01 00:00:00 "
+        "1 day, 12:00:00 6:00:00 7 1900-01-01 00:00:00 2024-01-02 03:04:05\n"
+    )
+    assert P._time_text(1, "date", P._EPOCH_1904) == "1904-01-02 00:00:00"
+
+
 def test_text_before_an_error_is_kept(tmp_path):
     content = workbook(tmp_path, ["<row><c><v>1</v></c></row>", "<row><c><v>no number</v></c></row>"])
     assert S._read_one(P.xlsx_text, content) == ("1\n", "error")
