@@ -4,7 +4,9 @@ A document's set are its distinct runs of five words. Documents of equal sets fo
 each goes on. Its 250 minimum hashes make 50 bands of five; two sets of similarity 0.75 share no band once in 700,000
 pairs, more alike ones far less. The minimum hashes are also folded into a bitmap of 512 bits, each toggling one: the
 bits that differ between two such odd sketches tell how many samples do, precisely so for high similarity, and
-rule out pairs that only share a band. What is left is decided on the whole sets.
+rule out pairs that only share a band. A second odd sketch, of all shingles in 2048 bits, never has more differing
+bits than two sets have differing shingles, and rules out pairs that are nearly similar enough without losing any.
+What is left is decided on the whole sets.
 
 No pair within a bucket is made that the result does not need. First every set is held against one other: the
 first of the bucket that it shares most bands with. Confirmed links give components. Then only sets of different
@@ -31,14 +33,14 @@ from docvec.scratch import materialize
 WORDS = 5
 BANDS, ROWS = 50, 5
 SAMPLES = BANDS * ROWS
-BITS = 512
+BITS, WHOLE_BITS = 512, 2048
 DIFFERENT_BITS = 160  # 99 are expected at similarity 0.75, with a deviation of 11
 NO_ID = 1 << 62  # nodes of classes without an id lie above, and so never name a component that has one
 FILTER_BITS = 1 << 25
 _odd = mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _FACTORS = (_odd[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _TERMS = (_odd[SAMPLES:] >> np.uint64(32)).astype(np.uint32)
-SUMMARY = "n_shingles long, set_id binary, bands array<long>, sketch array<long>"
+SUMMARY = "n_shingles long, set_id binary, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -74,13 +76,17 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     places = mixed(least.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
-    odd = np.bincount(places.astype(np.int64), minlength=BITS) & 1
+    return folded(places, BITS)
+
+
+def folded(places: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 @F.arrow_udf(SUMMARY)
 def _summary(column: pa.Array) -> pa.Array:
-    n, ids, band, sketch = [], [], [], []
+    n, ids, band, sketch, parity = [], [], [], [], []
     for text in raw_bytes(column):
         hashes = shingle_set(text)
         n.append(len(hashes))
@@ -89,13 +95,15 @@ def _summary(column: pa.Array) -> pa.Array:
             ids.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
             band.append(bands(least))
             sketch.append(odd_sketch(least))
+            parity.append(folded(hashes % np.uint64(WHOLE_BITS), WHOLE_BITS))
         else:
             ids.append(None)
             band.append(None)
             sketch.append(None)
+            parity.append(None)
     longs = pa.list_(pa.int64())
-    columns = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(band, longs), pa.array(sketch, longs)]
-    return pa.StructArray.from_arrays(columns, ["n_shingles", "set_id", "bands", "sketch"])
+    columns = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(band, longs), pa.array(sketch, longs), pa.array(parity, longs)]
+    return pa.StructArray.from_arrays(columns, ["n_shingles", "set_id", "bands", "sketch", "parity"])
 
 
 @F.arrow_udf("array<long>")
@@ -123,12 +131,26 @@ def connected(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _alike(n: Column, m: Column, x: Column, y: Column) -> Column:
-    """Whether sets of n and m shingles with these sketches can be similar enough."""
-    differ = F.lit(0)
-    for i in range(BITS // 64):
-        differ = differ + F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1)))
-    return (100 * F.least(n, m) >= 75 * F.greatest(n, m)) & (differ <= DIFFERENT_BITS)
+def _differing(x: Column, y: Column, bits: int) -> Column:
+    n = F.lit(0)
+    for i in range(bits // 64):
+        n = n + F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1)))
+    return n
+
+
+def _alike() -> Column:
+    """Whether the sets a and b can be similar enough, by their sizes and sketches.
+
+    Of n + m shingles, at most a seventh may differ.
+    """
+    n, m = F.col("n_a"), F.col("n_b")
+    sizes = 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+    sketches = _differing(F.col("sketch_a"), F.col("sketch_b"), BITS) <= DIFFERENT_BITS
+    return sizes & sketches & (7 * _differing(F.col("parity_a"), F.col("parity_b"), WHOLE_BITS) <= n + m)
+
+
+def _side(sketches: DataFrame, side: str) -> DataFrame:
+    return sketches.withColumnsRenamed({"node": side, **{c: f"{c}_{side}" for c in ("n", "sketch", "parity")}})
 
 
 def _may_be_among(nodes: DataFrame, id_col: Column) -> Column:
@@ -195,16 +217,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = materialize(classes.select("set_id", "least", F.coalesce("least", unnamed).alias("node")), "classes")
     members = summaries.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes.select("set_id", "node"), "set_id", "left")
     one = summaries.join(classes, "set_id").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = materialize(one.select("node", "n_shingles", "bands", "sketch"), "sets")
+    sets = materialize(one.select("node", "n_shingles", "bands", "sketch", "parity"), "sets")
 
     entries = sets.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
     live = materialize(entries.join(shared, "band"), "live")
     votes = live.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     first = votes.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("b"))
-    sketches = sets.select("node", F.col("n_shingles").alias("n"), "sketch")
-    x, y = sketches.withColumnsRenamed({"node": "a", "n": "n_a", "sketch": "x"}), sketches.withColumnsRenamed({"node": "b", "n": "n_b", "sketch": "y"})
-    pairs = materialize(first.join(x, "a").join(y, "b").where(_alike(*map(F.col, ("n_a", "n_b", "x", "y")))).select("a", "b"), "pairs")
+    sketches = sets.select("node", F.col("n_shingles").alias("n"), "sketch", "parity")
+    met = first.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
+    pairs = materialize(met.where(_alike()).select("a", "b"), "pairs")
 
     # the text of a class is that of its member with the least id, or any of them where there is none
     hashed = docs.select(ids.alias("doc_id"), raw.alias("raw"))
@@ -220,10 +242,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = placed.join(mixed_up, "band")
     largest = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     rest = materialize(placed.join(largest, "band").join(sketches, "node"), "rest")
-    outside = rest.where("root != main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
-    others = rest.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("is_main"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
-    can_be = _alike(*map(F.col, ("n_a", "n_b", "x", "y")))
-    apart = outside.join(others, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & can_be)
+    outside = _side(rest.where("root != main").drop("main"), "a").withColumnRenamed("root", "root_a")
+    others = _side(rest.withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "b").withColumnRenamed("root", "root_b")
+    apart = outside.join(others, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _alike())
     late = materialize(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "late")
     if not late.isEmpty():
         links = links.unionByName(_confirmed(late, texts))
