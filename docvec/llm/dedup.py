@@ -131,11 +131,9 @@ def connected(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _differing(x: Column, y: Column, bits: int) -> Column:
-    n = F.lit(0)
-    for i in range(bits // 64):
-        n = n + F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1)))
-    return n
+def _differing(x: Column, y: Column) -> Column:
+    """Bits that differ between two bitmaps. Written out, the many terms would be too long a method to be compiled."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
 
 
 def _alike() -> Column:
@@ -145,8 +143,8 @@ def _alike() -> Column:
     """
     n, m = F.col("n_a"), F.col("n_b")
     sizes = 100 * F.least(n, m) >= 75 * F.greatest(n, m)
-    sketches = _differing(F.col("sketch_a"), F.col("sketch_b"), BITS) <= DIFFERENT_BITS
-    return sizes & sketches & (7 * _differing(F.col("parity_a"), F.col("parity_b"), WHOLE_BITS) <= n + m)
+    sketches = _differing(F.col("sketch_a"), F.col("sketch_b")) <= DIFFERENT_BITS
+    return sizes & sketches & (7 * _differing(F.col("parity_a"), F.col("parity_b")) <= n + m)
 
 
 def _side(sketches: DataFrame, side: str) -> DataFrame:
