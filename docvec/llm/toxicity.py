@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from docvec.llm.common import strings, whole
 
-PER_CLASS = 4_000
+PER_CLASS = 3_000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, LANDMARKS_HARD = 192, 64, 128
-NEGATIVES = 20_000
+NEGATIVES = 8_000
 DECAY = 0.6
 ROUNDS = 3
 ENRICHED = 2.5  # logarithm of how many times more often a telling word stands in toxic texts
