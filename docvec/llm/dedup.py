@@ -84,8 +84,7 @@ def folded(places: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-@F.arrow_udf(SUMMARY)
-def _summary(column: pa.Array) -> pa.Array:
+def _summaries(column: pa.Array) -> pa.Array:
     n, ids, band, sketch, parity = [], [], [], [], []
     for text in raw_bytes(column):
         hashes = shingle_set(text)
@@ -106,11 +105,18 @@ def _summary(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(columns, ["n_shingles", "set_id", "bands", "sketch", "parity"])
 
 
-@F.arrow_udf("array<long>")
-def _sets(column: pa.Array) -> pa.Array:
+def _shingles(column: pa.Array) -> pa.Array:
     return pa.array([shingle_set(t).view(np.int64) for t in raw_bytes(column)], pa.list_(pa.int64()))
 
 
+def _summary(raw: Column) -> Column:
+    return F.arrow_udf(_summaries, SUMMARY)(raw)
+
+
+def _sets(raw: Column) -> Column:
+    return F.arrow_udf(_shingles, "array<long>")(raw)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, root: the least node of the component of each node with a link (a, b).
 
@@ -178,7 +184,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     asked = texts.where(_may_be_among(nodes, F.col("node"))).join(nodes, "node", "left_semi")
-    sets = materialize(asked.select("node", _sets("raw").alias("set")).dropDuplicates(["node"]), "sets")
+    sets = materialize(asked.select("node", _sets(F.col("raw")).alias("set")).dropDuplicates(["node"]), "sets")
     left, right = sets.withColumnsRenamed({"node": "a", "set": "x"}), sets.withColumnsRenamed({"node": "b", "set": "y"})
     both = F.size(F.array_intersect("x", "y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
@@ -229,7 +235,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the text of a class is that of its member with the least id, or any of them where there is none
     hashed = docs.select(ids.alias("doc_id"), raw.alias("raw"))
     named = hashed.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "raw")
-    nameless = hashed.where(F.col("doc_id").isNull()).select(_summary("raw")["set_id"].alias("set_id"), "raw")
+    nameless = hashed.where(F.col("doc_id").isNull()).select(_summary(F.col("raw"))["set_id"].alias("set_id"), "raw")
     nameless = nameless.join(classes.where(F.col("least").isNull()), "set_id").select("node", "raw")
     texts = named.unionByName(nameless)
     links = materialize(_confirmed(pairs, texts), "links")

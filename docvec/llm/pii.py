@@ -106,8 +106,7 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
     return out
 
 
-@F.arrow_udf(FOUND)
-def _found(column: pa.Array) -> pa.Array:
+def _find(column: pa.Array) -> pa.Array:
     rows = []
     for text in strings(column):
         spans = base_spans(text)
@@ -123,6 +122,10 @@ def _found(column: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("spans", pa.list_(span)), ("values", pa.list_(pa.string())), ("near", pa.list_(near))]))
 
 
+def _found(text: Column) -> Column:
+    return F.arrow_udf(_find, FOUND)(text)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts each word stands, added up over the task as far as memory allows."""
     counts: Counter[str] = Counter()
@@ -216,8 +219,7 @@ def sanitised_text(text: str, terms: list[dict], remove: float = REMOVE) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.arrow_udf("string")
-def _sanitised(text: pa.Array, terms: pa.Array) -> pa.Array:
+def _sanitise(text: pa.Array, terms: pa.Array) -> pa.Array:
     return pa.array([sanitised_text(t or "", x or []) for t, x in zip(text.to_pylist(), terms.to_pylist(), strict=True)], pa.string())
 
 
@@ -233,5 +235,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hashed = held.where(F.col("__found") > 0).withColumn("__hash", F.xxhash64(text))
     terms = terms.withColumnsRenamed({"_id": "__id", "_hash": "__of", "terms": "__terms"})
     met = hashed.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
-    clean = met.withColumn(text_col, _sanitised(F.col(text_col), F.col("__terms"))).select(docs.columns)
+    clean = met.withColumn(text_col, F.arrow_udf(_sanitise, "string")(F.col(text_col), F.col("__terms"))).select(docs.columns)
     return held.where(F.col("__found") == 0).select(docs.columns).unionByName(clean)
