@@ -23,6 +23,12 @@ def l2_squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda total, v: total + v)
 
 
+def finite(name: str) -> Column:
+    """Whether a vector column is there and holds numbers only: no null, NaN or infinity."""
+    numbers = F.forall(F.col(name), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(name).isNotNull() & F.coalesce(numbers, F.lit(False))
+
+
 def as_matrix(column: pa.Array) -> np.ndarray:
     """A list<float> Arrow column without nulls as a float64 matrix; an error when widths differ."""
     if len(column) == 0:

@@ -44,9 +44,10 @@ def chunk_label(file_name: Column, chunk_id: Column) -> Column:
 
 
 def encoder_input(tokens: Column) -> Column:
-    """Tokens between the two marks, cut to the longest input."""
+    """Tokens between the two marks; an error for more than the longest input holds, since a cut would lose them."""
     marked = F.concat(F.array(F.lit(START_MARK)), tokens, F.array(F.lit(END_MARK)))
-    return F.slice(marked, 1, MAX_INPUT)
+    too_long = F.raise_error(F.concat(F.lit(f"an encoder input holds {MAX_INPUT} tokens with its marks, not "), F.size(marked)))
+    return F.when(F.size(marked) > MAX_INPUT, too_long).otherwise(marked)
 
 
 def label_collisions(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,16 +31,28 @@ def _encode_batch(encoder: Encoder, batch: list[list[str]]) -> list[np.ndarray |
         return [vector for chunk in batch for vector in _encode_batch(encoder, [chunk])]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _kept(key: str, make_encoder: Callable[[], Encoder]) -> Encoder:
+    """The encoder of this worker process; the last one only, since models are large."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = make_encoder()
+    return _encoders[key]
+
+
 def encoded(make_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE) -> Callable[[Column], Column]:
     """Column function tokens -> vector; null for an empty chunk or a failed one.
 
-    `make_encoder` runs once per task and returns a function from a list of token
-    lists to a matrix with one row each.
+    `make_encoder` returns a function from a list of token lists to a matrix with one row each. It runs once
+    per worker process, which Spark keeps for its next tasks.
     """
+    key = uuid.uuid4().hex
 
     @F.arrow_udf("array<float>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = make_encoder()
+        encoder = _kept(key, make_encoder)
         for tokens in batches:
             chunks = tokens.to_pylist()
             filled = [i for i, chunk in enumerate(chunks) if chunk]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docvec.scratch import materialize, staged
+from docvec.sources import versions
 from docvec.sources.vectors import KEYS
 
 # Fixed value: the one metric, squared L2.
@@ -127,21 +127,30 @@ def empty_index(spark: SparkSession, dimension: int | None) -> VectorIndex:
 
 
 def new_vectors(base: DataFrame, delta: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows of `delta` whose key is not in `base` yet.
+    """One row of `delta` for each key that is not in `base` yet; null counts as a key like others.
 
-    Finding the known keys first lets Spark broadcast a small delta to the scan of a
-    large base instead of shuffling the base.
+    Of the rows of a key the one with the least vector stays, then the least of its other columns. They are
+    reduced in the map tasks, before a shuffle. Finding the known keys first lets Spark broadcast a small
+    delta to the scan of a large base instead of shuffling the base.
     """
     on = keys or KEYS
-    known = base.select(*on).join(delta.select(*on), on, "left_semi")
-    return delta.join(known, on, "left_anti")
+    rest = ["embedding", *(c for c in delta.columns if c not in on and c != "embedding")]
+    single = delta.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_row")).select(*on, "_row.*").select(*delta.columns)
+    wanted = delta.select(*(F.col(k).alias(f"_{k}") for k in on)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on]
+    known = base.select(*on).join(wanted, same, "left_semi").select(*(F.col(k).alias(f"_{k}") for k in on))
+    return single.join(known, same, "left_anti")
 
 
 def _added(
     index: VectorIndex, delta: DataFrame, keys: list[str], stored: bool
 ) -> tuple[DataFrame, int | None, int]:
-    """Positioned new rows behind the last one, the common width and their number."""
-    with _as_table(delta, stored) as table, staged(new_vectors(index.vectors, table, keys), "new") as fresh:
+    """Positioned new rows behind the last one, the common width and their number.
+
+    An index without vectors has no keys yet: their types are those of the delta.
+    """
+    base = index.vectors if index.n_vectors else delta.limit(0)
+    with _as_table(delta, stored) as table, staged(new_vectors(base, table, keys), "new") as fresh:
         placed, counts = _positioned(fresh, keys, index.n_vectors)
     dimension, n = _one_dimension(counts, index.dimension)
     return placed, dimension, n
@@ -154,25 +163,28 @@ def add_vectors(
     placed, dimension, n = _added(index, delta, keys or KEYS, stored)
     if n == 0:
         return index
-    vectors = index.vectors.unionByName(placed, allowMissingColumns=True)
+    vectors = index.vectors.unionByName(placed, allowMissingColumns=True) if index.n_vectors else placed
     return VectorIndex(vectors, dimension, index.n_vectors + n, index.metric)
 
 
-def _write_meta(index: VectorIndex, path: str) -> None:
-    meta = index.vectors.sparkSession.range(1).select(
-        F.lit(index.dimension).cast("int").alias("dimension"),
-        F.lit(index.metric).alias("metric"),
-        F.lit(index.n_vectors).cast("long").alias("n_vectors"),
-    )
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+def _note(index: VectorIndex, folders: list[str]) -> dict:
+    return {"dimension": index.dimension, "metric": index.metric, "n_vectors": index.n_vectors, "folders": folders}
 
 
 def save_index(index: VectorIndex | None, path: str) -> None:
-    """Write the vectors and a one-row table with dimension, metric and count."""
+    """Write the vectors to a folder of their own, then the note that makes it the current version.
+
+    The index may be read from the same path: what it replaces goes last, after the note. A run that is lost
+    before leaves the old index as it was.
+    """
     if index is None:
         raise RuntimeError("the index was not built")
-    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    _write_meta(index, path)
+    spark = index.vectors.sparkSession
+    number, old = versions.latest(spark, path) or (0, {"folders": []})
+    folder = versions.new_folder(path)
+    index.vectors.write.parquet(folder)
+    versions.commit(spark, path, number, _note(index, [folder]))
+    versions.drop(spark, old["folders"])
 
 
 def append_to_saved(
@@ -180,30 +192,28 @@ def append_to_saved(
 ) -> VectorIndex:
     """Add vectors to a stored index in place: only the new rows are written.
 
-    Running it again with the same vectors changes nothing.
+    Running it again with the same vectors changes nothing, and files that a lost run left are not seen. Of two
+    writers at a time the second one fails.
     """
-    placed, dimension, n = _added(open_index(spark, path), delta, keys or KEYS, stored)
-    if n:
-        placed.write.mode("append").parquet(f"{path}/vectors")
+    found = versions.latest(spark, path)
     index = open_index(spark, path)
-    _write_meta(VectorIndex(index.vectors, dimension, index.n_vectors, index.metric), path)
-    return index
+    placed, dimension, n = _added(index, delta, keys or KEYS, stored)
+    if n:
+        number, note = found
+        folder = versions.new_folder(path)
+        placed.write.parquet(folder)
+        grown = VectorIndex(index.vectors, dimension, index.n_vectors + n, index.metric)
+        versions.commit(spark, path, number, _note(grown, [*(note["folders"] if index.n_vectors else []), folder]))
+    return open_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str, dimension: int | None = None) -> VectorIndex:
-    """Stored index, with its own dimension; a new empty one where nothing is stored.
-
-    The count comes from the vector files' own footers, so it is right even when a run
-    was lost between writing the vectors and the one-row table.
-    """
-    try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        vectors = spark.read.parquet(f"{path}/vectors")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """Stored index, with its own dimension; a new empty one where nothing is stored."""
+    found = versions.latest(spark, path)
+    if found is None:
         return empty_index(spark, dimension)
-    return VectorIndex(vectors, meta["dimension"], vectors.count(), meta["metric"])
+    note = found[1]
+    return VectorIndex(spark.read.parquet(*note["folders"]), note["dimension"], note["n_vectors"], note["metric"])
 
 
 def open_index(spark: SparkSession, path: str) -> VectorIndex:

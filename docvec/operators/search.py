@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvec.functions.vectors import as_matrix, l2_squared_to
+from docvec.functions.vectors import as_matrix, finite, l2_squared_to
 from docvec.operators.index import VectorIndex
 from docvec.operators.topk import NearestRows
 from docvec.scratch import materialize
@@ -44,11 +44,12 @@ def search(
     """The `top_k` nearest vectors to one query: vec_id, distance and wanted columns, nearest first.
 
     One scan of the index; each task keeps its own best rows and only those meet.
-    Distance is squared L2; equal ones are ordered by vec_id. A small index gives what it has.
+    Distance is squared L2; equal ones are ordered by vec_id. A small index gives what it has. Vectors that are
+    null or hold a null, a NaN or an infinity have no distance and take no part.
     """
     vector = _query_vector(query, index.dimension)
     distance = l2_squared_to(vector)(F.col("embedding"))
-    vectors = index.vectors.where("embedding is not null")
+    vectors = index.vectors.where(finite("embedding"))
     scored = vectors.select("vec_id", *columns, distance.alias("distance"))
     return scored.orderBy("distance", "vec_id").limit(top_k)
 
@@ -127,20 +128,24 @@ def knn_join(
 ) -> DataFrame:
     """`search` for every row of queries(query_id, embedding): query_id, rank, vec_id, distance.
 
-    The size of the queries is counted first. Up to `broadcast_bytes` they go to the
+    The queries are stored, so that an encoder behind them runs once, and counted; a query_id that comes twice is
+    an error. Vectors and queries that `search` would leave out take no part. Up to `broadcast_bytes` they go to the
     tasks that scan the index, which stays where it is. More of them, of any number, are
     met in cells of both sides. Either way a task gives `top_k` rows per query, never a
     row per pair, and the result is exact.
     """
-    queries = queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null")
-    widths = queries.agg(
-        F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))
-    ).first()
-    n_queries, low, high = widths
+    asked = materialize(queries.select(F.col("query_id").cast("long"), "embedding").where(finite("embedding")), "queries")
+    per_id = asked.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")
+    )
+    n_queries, most, low, high = per_id.agg(F.sum("n"), F.max("n"), F.min("low"), F.max("high")).first()
+    queries, n_queries = asked, n_queries or 0
+    if n_queries and most > 1:
+        raise ValueError("several queries have one query_id")
     if n_queries and (low != high or (index.dimension is not None and low != index.dimension)):
         raise ValueError(f"queries of width {low} to {high}, expected {index.dimension}")
     row_bytes = 8 * (high or 1)
-    vectors = index.vectors.where("embedding is not null")
+    vectors = index.vectors.where(finite("embedding"))
     if n_queries * row_bytes <= broadcast_bytes:
         partial = _scan_with(vectors, queries.toArrow(), top_k)
     else:

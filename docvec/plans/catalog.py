@@ -17,6 +17,7 @@ from docvec.operators.encode import encode_chunks, with_vectors
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
 from docvec.plans.document_search import document_search, index_documents, index_files
+from docvec.sources.versions import new_folder
 from docvec.scratch import scratch_path
 from docvec.sources import files as S
 from docvec.sources import folders as D
@@ -48,6 +49,37 @@ def list_folder(spark, sf_dir):
     return D.list_folder(T.items(spark, sf_dir), "f:en/src0")
 
 
+@_query
+def list_folder_pages(spark, sf_dir):
+    """The second page of a folder of all English documents."""
+    name = F.concat(F.lit("d"), F.col("doc_id"))
+    items = T.table(spark, sf_dir, "documents").select(
+        name.alias("id"), name.alias("name"), F.lit("text/plain").alias("mime_type"), F.col("lang").alias("parent_id")
+    )
+    rows = D.list_every_folder(items.where("parent_id = 'en'"), page=2)
+    return rows.select(F.col("place").cast("long").alias("place"), "id")
+
+
+@_query
+def walk_deep_tree(spark, sf_dir):
+    """A chain of folders, one in the other, that holds all documents in 20 levels."""
+    docs = T.table(spark, sf_dir, "documents")
+    level = F.col("doc_id") % 20
+    files = docs.select(
+        F.concat(F.lit("file"), F.col("doc_id")).alias("id"),
+        F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"),
+        F.lit(None).cast("string").alias("mime_type"),
+        F.concat(F.lit("level"), level).alias("parent_id"),
+    )
+    chain = docs.select(level.alias("n")).distinct().select(
+        F.concat(F.lit("level"), F.col("n")).alias("id"),
+        F.concat(F.lit("level"), F.col("n")).alias("name"),
+        F.lit(D.FOLDER_MIME_TYPE).alias("mime_type"),
+        F.when(F.col("n") == 0, "root").otherwise(F.concat(F.lit("level"), F.col("n") - 1)).alias("parent_id"),
+    )
+    return D.walk_folders(files.unionByName(chain), "root")
+
+
 @_query
 def list_every_folder(spark, sf_dir):
     pages = D.list_every_folder(T.items(spark, sf_dir))
@@ -241,6 +273,42 @@ def saved_index(spark, sf_dir):
     return _index_rows(V.open_index(spark, path))
 
 
+def _by_turns(spark, sf_dir):
+    """Vectors of the documents of even and of odd ids."""
+    vectors = T.document_vectors(spark, sf_dir)
+    return vectors.where("doc_id % 2 = 0"), vectors.where("doc_id % 2 = 1")
+
+
+@_query
+def resaved_index(spark, sf_dir):
+    """Load, add, and save to the place it was loaded from."""
+    first, second = _by_turns(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    V.save_index(V.build_index(first), path)
+    V.save_index(V.add_vectors(V.open_index(spark, path), second), path)
+    return V.open_index(spark, path).vectors.select("vec_id", "doc_id", "chunk_id")
+
+
+@_query
+def append_after_lost_run(spark, sf_dir):
+    """A run that was lost has left part of its files; the next one adds all rows once."""
+    first, second = _by_turns(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    V.save_index(V.build_index(first), path)
+    left = second.where("doc_id % 4 = 1").withColumn("vec_id", F.lit(0).cast("long"))
+    left.write.parquet(new_folder(path))
+    return V.append_to_saved(spark, second, path).vectors.select("vec_id", "doc_id", "chunk_id")
+
+
+@_query
+def append_to_empty_index(spark, sf_dir):
+    """An empty index takes keys of any type, and a repeated key once."""
+    vectors = T.document_vectors(spark, sf_dir)
+    named = vectors.withColumn("doc_id", F.concat(F.lit("f"), F.col("doc_id")))
+    index = V.add_vectors(V.empty_index(spark, 64), named.unionByName(named))
+    return index.vectors.select("vec_id", "doc_id", "chunk_id")
+
+
 @_query
 def append_vectors(spark, sf_dir):
     """Chunks of the documents go behind the given vectors, which already hold some of their keys."""
@@ -292,6 +360,17 @@ def knn_join_in_cells(spark, sf_dir):
     return _knn(spark, sf_dir, broadcast_bytes=0, cell_bytes=100_000)
 
 
+@_query
+def knn_join_with_bad_vectors(spark, sf_dir):
+    """A seventh of the vectors hold a NaN; the others' neighbours are what they are without them."""
+    index = T.embedding_index(spark, sf_dir)
+    bad = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 2, 1 << 20))
+    vectors = index.vectors.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, bad).otherwise(F.col("embedding")))
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = K.knn_join(V.VectorIndex(vectors, index.dimension, index.n_vectors), queries)
+    return hits.withColumn("rank", F.col("rank").cast("long"))
+
+
 @_query
 def hits_with_metadata(spark, sf_dir):
     """Hits beside the labels, which cover some of the vectors."""

@@ -180,7 +180,7 @@ FROM placed p, (SELECT embedding FROM placed WHERE vec_id = 0) q ORDER BY distan
     + f"""SELECT row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS vec_id, doc_id, chunk_id, {_NUMBERS} AS embedding
 FROM file_vectors""",
     "passage_search": _with("chunks", "vectors", "index", "questions")
-    + f"""SELECT q.doc_id * 1000 + q.chunk_id AS query_id,
+    + f"""SELECT q.doc_id * 4294967296 + q.chunk_id AS query_id,
   row_number() OVER (PARTITION BY q.doc_id, q.chunk_id
     ORDER BY {_distance('p.embedding', 'q.embedding')}, p.vec_id) AS rank,
   p.vec_id, {_distance('p.embedding', 'q.embedding')} AS distance, p.doc_id, p.chunk_id, true AS meta_complete
@@ -193,3 +193,17 @@ SELECT count(*) AS files, count(*) FILTER (n = 0) AS skipped, sum(n)::BIGINT AS
 }
 ORACLES["knn_join_in_cells"] = ORACLES["knn_join"]
 ORACLES["saved_index"] = ORACLES["build_index"]
+ORACLES["append_after_lost_run"] = _with("chunks") + """, parts AS (
+  SELECT doc_id, chunk_id, doc_id % 2 AS late FROM chunks)
+SELECT row_number() OVER (ORDER BY late, doc_id, chunk_id) - 1 AS vec_id, doc_id, chunk_id FROM parts"""
+ORACLES["resaved_index"] = ORACLES["append_after_lost_run"]
+ORACLES["append_to_empty_index"] = _with("chunks") + """SELECT row_number() OVER (ORDER BY name, chunk_id) - 1 AS vec_id,
+  name AS doc_id, chunk_id FROM (SELECT 'f' || doc_id AS name, chunk_id FROM chunks)"""
+ORACLES["list_folder_pages"] = f"""SELECT place, id FROM (
+  SELECT 'd' || doc_id AS id, row_number() OVER (ORDER BY 'd' || doc_id) AS place FROM documents WHERE lang = 'en')
+WHERE place > 100 AND place <= 200"""
+ORACLES["walk_deep_tree"] = """SELECT 'file' || doc_id AS id, 'doc_' || doc_id AS name FROM documents"""
+ORACLES["knn_join_with_bad_vectors"] = f"""WITH good AS (SELECT * FROM embeddings WHERE vec_id % 7 <> 0)
+SELECT q.vec_id AS query_id, e.vec_id, {_distance('e.embedding', 'q.embedding')} AS distance,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_distance('e.embedding', 'q.embedding')}, e.vec_id) AS rank
+FROM good e, good q QUALIFY rank <= 5"""

@@ -174,7 +174,7 @@ def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query per chunk of every benchmark text; query_id is item_id * 1000 + chunk_id."""
+    """A query per chunk of every benchmark text; query_id holds the item above 32 bits and the chunk in them."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    query_id = (F.col("doc_id") * 1000 + F.col("chunk_id")).alias("query_id")
+    query_id = (F.shiftleft("doc_id", 32) + F.col("chunk_id")).alias("query_id")
     return chunk_vectors(items).select(query_id, "embedding")

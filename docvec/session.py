@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +19,8 @@ def local_session(cores: int | str = 8, app_name: str = "docvec") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine, so its own folder is shared
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docvec-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

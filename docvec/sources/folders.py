@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvec.scratch import materialize
+from docvec.scratch import scratch_path, staged
 
 # Fixed value: how a listing marks a folder.
 FOLDER_MIME_TYPE = "application/vnd.google-apps.folder"
@@ -14,47 +14,52 @@ PAGE_SIZE = 100
 
 
 def is_folder() -> Column:
-    return F.col("mime_type") == FOLDER_MIME_TYPE
+    """An item without a type is a file."""
+    return F.col("mime_type").eqNullSafe(FOLDER_MIME_TYPE)
 
 
-def list_folder(items: DataFrame, folder_id: str, page_size: int = PAGE_SIZE) -> DataFrame:
-    """First page of the files directly in one folder, by id."""
-    inside = items.where((F.col("parent_id") == folder_id) & ~is_folder())
-    return inside.select("id", "name").orderBy("id", "name").limit(page_size)
+def list_folder(items: DataFrame, folder_id: str, page_size: int = PAGE_SIZE, page: int | None = 1) -> DataFrame:
+    """One page (from 1) of the files directly in one folder, by id; all of them if `page` is None."""
+    inside = items.where((F.col("parent_id") == folder_id) & ~is_folder()).select("id", "name").orderBy("id", "name")
+    return inside if page is None else inside.offset((page - 1) * page_size).limit(page_size)
 
 
-def list_every_folder(items: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """First page of every folder at once.
+def list_every_folder(items: DataFrame, page_size: int = PAGE_SIZE, page: int | None = 1) -> DataFrame:
+    """One page (from 1) of every folder at once, with the place of each file; all files if `page` is None.
 
-    Spark cuts each folder to its page inside the map tasks (WindowGroupLimit), so a
-    folder that holds most of the files sends no more than a page per task.
+    Spark cuts each folder to its pages so far inside the map tasks (WindowGroupLimit), so a folder that holds
+    most of the files sends no more than them per task. Without a page no place is needed and nothing is shuffled.
     """
-    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("id", "name"))
     files = items.where(~is_folder()).select("parent_id", "id", "name")
-    return files.withColumn("place", place).where(F.col("place") <= page_size)
+    if page is None:
+        return files
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("id", "name"))
+    upto = files.withColumn("place", place).where(F.col("place") <= page * page_size)
+    return upto.where(F.col("place") > (page - 1) * page_size)
 
 
 def walk_folders(items: DataFrame, root_id: str) -> DataFrame:
-    """All files at any depth under `root_id`, each folder and each file id once.
+    """All files at any depth under `root_id`, each folder once and each (id, name) once.
 
-    Only the folder rows take part in the loop, one step per level; files are met once,
-    at the end. Every level is stored, so the plan stays flat, a lost executor costs
-    nothing but its own tasks, and Catalyst sees the true size before it broadcasts.
+    Only the folder rows take part in the loop, one step per level; files are met once, at the end. The levels are
+    parts of one stored table, so that every step and the last plan read one relation however deep the tree is,
+    a lost executor costs nothing but its own tasks, and Catalyst sees the true size before it broadcasts.
     """
+    spark = items.sparkSession
     folders = items.where(is_folder() & F.col("id").isNotNull()).select("id", "parent_id")
-    folders = materialize(folders.distinct(), "folders")
-    root = items.sparkSession.range(1).select(F.lit(root_id).alias("id"))
-
-    children = folders.where((F.col("parent_id") == root_id) & (F.col("id") != root_id))
-    frontier = materialize(children.select("id").distinct(), "level")
-    visited = root.unionByName(frontier)
-    while not frontier.isEmpty():
-        children = folders.join(frontier.select(F.col("id").alias("parent_id")), "parent_id")
-        fresh = children.select("id").distinct().join(visited, "id", "left_anti")
-        frontier = materialize(fresh, "level")
-        visited = visited.unionByName(frontier)
-
-    reached = visited.select(F.col("id").alias("parent_id"))
+    path = scratch_path(spark, "visited")
+    read = spark.read.schema("id string, level int").parquet
+    with staged(folders.distinct(), "folders") as folders:
+        start = spark.range(1).select(F.lit(root_id).cast("string").alias("id"))
+        level = 0
+        start.write.parquet(f"{path}/level=0")
+        while not spark.read.parquet(f"{path}/level={level}").isEmpty():
+            visited = read(path)
+            frontier = visited.where(F.col("level") == level).select(F.col("id").alias("parent_id"))
+            fresh = folders.join(frontier, "parent_id").select("id").distinct().join(visited, "id", "left_anti")
+            level += 1
+            fresh.write.parquet(f"{path}/level={level}")
+    reached = read(path).select(F.col("id").alias("parent_id"))
     files = items.where(~is_folder()).join(reached, "parent_id", "left_semi")
     return files.select("id", "name").distinct()
 

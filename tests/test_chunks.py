@@ -45,10 +45,12 @@ def test_label(spark):
 
 
 def test_encoder_input(spark):
-    long = F.array(*[F.lit("t")] * 600)
-    marked, cut = spark.range(1).select(C.encoder_input(F.array(F.lit("a"))), C.encoder_input(long)).first()
+    full = F.array(*[F.lit("t")] * 510)
+    marked, longest = spark.range(1).select(C.encoder_input(F.array(F.lit("a"))), C.encoder_input(full)).first()
     assert marked == ["[CLS]", "a", "[SEP]"]
-    assert len(cut) == 512 and cut[0] == "[CLS]" and cut[-1] == "t"
+    assert len(longest) == 512 and longest[0] == "[CLS]" and longest[-1] == "[SEP]"
+    with pytest.raises(Exception, match="holds 512 tokens"):
+        spark.range(1).select(C.encoder_input(F.array(*[F.lit("t")] * 511))).collect()
 
 
 def test_label_collisions(spark):

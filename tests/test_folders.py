@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import pytest
 
 from docvec.sources import folders as D
@@ -38,6 +40,10 @@ def test_list_folder_gives_one_page(spark):
     items = listing(spark, rows)
     assert [r["id"] for r in D.list_folder(items, "root/").collect()] == [f"f{i:03d}" for i in range(100)]
     assert D.list_folder(items, "root/", 200).count() == 150
+    assert [r["id"] for r in D.list_folder(items, "root/", page=2).collect()] == [f"f{i:03d}" for i in range(100, 150)]
+    assert D.list_folder(items, "root/", page=None).count() == 150
+    untyped = items.withColumn("mime_type", F.lit(None).cast("string"))
+    assert D.list_folder(untyped, "root/", page=None).count() >= 150
     pages = D.list_every_folder(items)
     assert pages.groupBy("parent_id").count().collect() and pages.count() == 101
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docvec.operators import index as V
+from docvec.sources import versions
 from docvec.sources import vectors as R
 
 
@@ -74,6 +75,35 @@ def test_save_load_append(spark, tmp_path):
     assert keyed(index.vectors) == {(1, 0): 0, (2, 0): 1, (0, 0): 2}
 
 
+def test_save_back_and_failures(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    V.save_index(V.build_index(vectors(spark, [(1, 0, [1.0]), (2, 0, [2.0])])), path)
+    V.save_index(V.add_vectors(V.open_index(spark, path), vectors(spark, [(3, 0, [3.0])])), path)
+    assert keyed(V.open_index(spark, path).vectors) == {(1, 0): 0, (2, 0): 1, (3, 0): 2}
+    broken = V.open_index(spark, path)
+    broken = V.VectorIndex(broken.vectors.withColumn("bad", F.raise_error(F.lit("lost"))), 1, 3)
+    with pytest.raises(Exception, match="lost"):
+        V.save_index(broken, path)
+    assert V.open_index(spark, path).vectors.count() == 3  # the old one is still there
+    number, note = versions.latest(spark, path)
+    versions.commit(spark, path, number, note)
+    with pytest.raises(RuntimeError, match="another writer"):
+        versions.commit(spark, path, number, note)
+    with open(f"{path}/versions/{number + 2}", "w") as f:
+        f.write('{"dimen')  # a writer lost in the middle
+    assert versions.latest(spark, path)[0] == number + 1
+    assert V.append_to_saved(spark, vectors(spark, [(4, 0, [4.0])]), path).n_vectors == 4
+
+
+def test_repeated_and_null_keys_in_a_delta(spark):
+    index = V.build_index(vectors(spark, [(1, 0, [1.0])]))
+    delta = vectors(spark, [(2, 0, [5.0]), (2, 0, [4.0]), (None, 0, [7.0]), (None, 0, [6.0]), (1, 0, [9.0])])
+    for _ in range(2):
+        index = V.add_vectors(index, delta)
+        assert {(r["doc_id"], r["embedding"][0]) for r in index.vectors.collect()} == {(1, 1.0), (2, 4.0), (None, 6.0)}
+        assert sorted(r["vec_id"] for r in index.vectors.collect()) == [0, 1, 2]
+
+
 def test_nothing_saved(spark, tmp_path):
     path = f"{tmp_path}/none"
     with pytest.raises(RuntimeError, match="build one first"):

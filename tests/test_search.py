@@ -174,3 +174,21 @@ def test_plans(spark, tmp_path):
     for plan in (one, many):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
         assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
+def test_vectors_without_a_distance_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(100)] + [(100, [float("nan"), 1.0]), (101, [float("inf"), 0.0]), (102, [None, 1.0]), (103, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = VectorIndex(table, 2, 104)
+    one = [(r["vec_id"], r["distance"]) for r in K.search(index, [3.0, 1.0]).collect()]
+    queries = spark.createDataFrame([(7, [3.0, 1.0]), (8, [float("nan"), 0.0])], "query_id long, embedding array<float>")
+    for sizes in ({}, {"broadcast_bytes": 0}):
+        many = K.knn_join(index, queries, **sizes).orderBy("rank").collect()
+        assert [(r["vec_id"], r["distance"]) for r in many] == one and len(one) == 5
+
+
+def test_a_query_id_that_comes_twice_is_an_error(spark):
+    table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    twice = spark.createDataFrame([(5, [1.0]), (5, [2.0])], "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="query_id"):
+        K.knn_join(VectorIndex(table, 1, 2), twice)
