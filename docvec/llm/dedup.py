@@ -205,8 +205,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     gone = materialize(gone.distinct(), "gone")
     text_hash = F.xxhash64(whole(text_col).cast("binary"))
     marked = docs.withColumn("__may_go", _may_be_among(gone, text_hash))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("node"))
-    asked = marked.where("__may_go").withColumn("__hash", text_hash).join(gone, same, "left_anti")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of"))
+    asked = marked.where("__may_go").withColumn("__hash", text_hash).join(gone.withColumnRenamed("node", "__of"), same, "left_anti")
     return marked.where("not __may_go").select(docs.columns).unionByName(asked.select(docs.columns))
 
 

@@ -183,6 +183,10 @@ def _same() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
 
 
+def number_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def written(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
@@ -195,7 +199,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     terms = term_spans(found, disclosing_terms(docs, found, text_col))
     plain = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     extra = F.coalesce(plain, F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(TERM)]
+    n = [number_of(F.col("spans"), k).alias(f"n_{KINDS[k]}") for k in range(TERM)]
     rows = found.select("doc_id", "text_hash", "spans").join(terms, _same(), "left")
     return rows.select(
         "doc_id",

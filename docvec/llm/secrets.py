@@ -132,6 +132,10 @@ def secret_spans(text: Column) -> tuple[Column, Column]:
     return F.array_sort(fixed), _located(text, CANDIDATE, _entropy_kind, extra=bits)
 
 
+def number_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def written(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
@@ -142,7 +146,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per document the numbers of fixed spans, their digest, and all spans as a string."""
     fixed, added = secret_spans(F.col("_text"))
     found = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).select("doc_id", fixed.alias("_fixed"), added.alias("_added"))
-    n = [F.size(F.filter("_fixed", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    n = [number_of(F.col("_fixed"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select(
         "doc_id",
         *n,
