@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from docvec.llm.common import strings, whole
 
-PER_CLASS = 3_000
+PER_CLASS = 2_000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, LANDMARKS_HARD = 192, 64, 128
 NEGATIVES = 8_000
 DECAY = 0.6
@@ -120,15 +120,16 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of words with the landmarks."""
-        word, code, value = subsequences(words)
         out = np.zeros((len(words), self.table.shape[1]))
-        near = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        known = self.codes[near] == code
-        word, value, near = word[known], value[known], near[known]
-        for s in range(0, len(word), 50_000):
-            at = word[s : s + 50_000]
-            begin = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), at[1:] != at[:-1])))
-            out[at[begin]] += np.add.reduceat(value[s : s + 50_000, None] * self.table[near[s : s + 50_000]], begin, axis=0)
+        for first in range(0, len(words), 2_000):
+            word, code, value = subsequences(words[first : first + 2_000])
+            near = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[near] == code
+            word, value, near = word[known] + first, value[known], near[known]
+            for s in range(0, len(word), 5_000):  # each step holds a row of the table per subsequence
+                at = word[s : s + 5_000]
+                begin = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), at[1:] != at[:-1])))
+                out[at[begin]] += np.add.reduceat(value[s : s + 5_000, None] * self.table[near[s : s + 5_000]], begin, axis=0)
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
@@ -212,8 +213,8 @@ class Model:
             self.spread[self.codes] = self.values
         out = np.full(len(words), -np.inf)
         pieces = [(i, p) for i, w in enumerate(words) if len(w) > 2 for p in parts(w)]
-        for s in range(0, len(pieces), 20_000):
-            some = pieces[s : s + 20_000]
+        for s in range(0, len(pieces), 5_000):
+            some = pieces[s : s + 5_000]
             word, code, value = subsequences([p for _, p in some])
             sums = np.bincount(word, weights=value * self.spread[code], minlength=len(some))
             np.maximum.at(out, np.array([i for i, _ in some], dtype=np.int64), sums)
