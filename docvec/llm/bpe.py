@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import strings, whole
+from docvec.llm.common import bounded_batches, strings, whole
 
 END = "</w>"  # fixed value: the mark of a word's last byte in the vocabulary
 LATIN = 0x300  # below it no character joins with another one when composed
@@ -198,6 +198,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     The hashes are made beside the encoder, so that ids and decoded texts do not travel.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(column: pa.Array) -> pa.Array:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import mixed, raw_bytes, run_hashes, whole
+from docvec.llm.common import bounded_batches, mixed, raw_bytes, run_hashes, whole
 from docvec.scratch import materialize
 
 WORDS = 5
@@ -212,6 +212,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """near_duplicates with the text_hash of each row, which tells rows of one id, or of none, apart."""
+    bounded_batches(docs.sparkSession)
     raw = whole(text_col).cast("binary")
     ids = F.col(id_col).cast("long")
     made = docs.select(ids.alias("doc_id"), F.xxhash64(raw).alias("text_hash"), _summary(raw).alias("s")).select("doc_id", "text_hash", "s.*")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import strings, whole
+from docvec.llm.common import bounded_batches, strings, whole
 from docvec.scratch import materialize
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -145,6 +145,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: text_hash, spans of the fixed patterns, its protected values and the terms near them."""
+    bounded_batches(docs.sparkSession)
     text = whole(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _found(text).alias("f"))
     return rows.select("doc_id", "text_hash", "f.spans", "f.values", "f.near")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvec.llm.common import strings, whole
+from docvec.llm.common import bounded_batches, strings, whole
 
 PER_CLASS = 2_000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, LANDMARKS_HARD = 192, 64, 128
@@ -39,7 +39,7 @@ DECAY = 0.6
 ROUNDS = 3
 ENRICHED = 2.5  # logarithm of how many times more often a telling word stands in toxic texts
 LONGEST = 48  # letters of a word compared at once; a longer one is looked at in overlapping parts
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 # Digits and signs that are read as letters.
 READ_AS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _OTHER = re.compile(r"[\W\d_]+")
@@ -306,6 +306,7 @@ def train(
     docs: DataFrame, labels: DataFrame, of_training: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """Fit on labelled texts whose id passes `of_training`, a condition on the column doc_id of labels(doc_id, toxic)."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(of_training)
     known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     present = docs.select(F.col(id_col).alias("_id")).distinct().join(known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")), "_id")
