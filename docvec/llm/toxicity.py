@@ -40,6 +40,7 @@ ROUNDS = 3
 ENRICHED = 2.5  # logarithm of how many times more often a telling word stands in toxic texts
 LONGEST = 48  # letters of a word compared at once; a longer one is looked at in overlapping parts
 KEPT_WORDS = 200_000
+BLOCK = 2_000  # words whose features are worked on at once
 # Digits and signs that are read as letters.
 READ_AS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _OTHER = re.compile(r"[\W\d_]+")
@@ -133,7 +134,11 @@ class Landmarks:
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
-        return self.kernel(words) @ self.whiten
+        """A row per word; the last column is 1, for the bias."""
+        out = np.ones((len(words), self.whiten.shape[1] + 1))
+        for s in range(0, len(words), BLOCK):
+            out[s : s + BLOCK, :-1] = self.kernel(words[s : s + BLOCK]) @ self.whiten
+        return out
 
     def collapsed(self, w: np.ndarray) -> np.ndarray:
         """What each subsequence of the landmarks counts in the direction w."""
@@ -174,16 +179,21 @@ def telling_words(bags: list[list[str]], odds: dict[str, float], cover: int = 3)
     return chosen
 
 
-def linear_svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-6) -> np.ndarray:
-    """Squared-hinge support vector machine by Newton steps on the rows inside the margin; the last entry is the bias."""
-    x = np.column_stack((z, np.ones(len(z))))
+def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-6) -> np.ndarray:
+    """Squared-hinge support vector machine by Newton steps on the rows inside the margin; the last column of x is 1, its entry the bias."""
     reg = penalty * weight.sum() * np.eye(x.shape[1])
     reg[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
     inside = np.ones(len(x), dtype=bool)
     for _ in range(30):
-        a = x[inside] * weight[inside, None]
-        w = np.linalg.solve(reg + a.T @ x[inside], a.T @ y[inside])
+        square, right = reg.copy(), np.zeros(x.shape[1])
+        for s in range(0, len(x), BLOCK):
+            within = inside[s : s + BLOCK]
+            rows = x[s : s + BLOCK][within]
+            a = rows * weight[s : s + BLOCK][within, None]
+            square += a.T @ rows
+            right += a.T @ y[s : s + BLOCK][within]
+        w = np.linalg.solve(square, right)
         now = y * (x @ w) < 1
         if (now == inside).all():
             break
@@ -288,6 +298,7 @@ def fit(texts: list[list[str]], toxic: np.ndarray) -> Model:
         marks = Landmarks(list(dict.fromkeys([*telling, *usual, *hardest])))
         w = linear_svm(marks.features([*positive, *negative]), y, weight)
         model = Model(marks.codes, marks.collapsed(w[:-1]), float(w[-1]), 1.0, 0.0)
+        del marks  # its table is large, and the next round makes another
         margins = model.word_margins(clean)
         order = np.argsort(-margins, kind="stable")
         hardest = [clean[i] for i in order[:LANDMARKS_HARD]]
@@ -320,7 +331,12 @@ def train(
     # at most 2 * per_class rows of two numbers
     sample = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     found = sample.select("_id", "_toxic", bare_words("_text").alias("words")).toArrow().sort_by([("_id", "ascending")])
-    return fit(found.column("words").to_pylist(), found.column("_toxic").to_numpy() > 0)
+    words = found.column("words").combine_chunks()
+    codes = words.flatten().dictionary_encode()  # so that texts share their words
+    names, at = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+    end = np.cumsum(words.value_lengths().to_numpy())
+    texts = [[names[i] for i in some.tolist()] for some in np.split(at, end[:-1])] if len(end) else []
+    return fit(texts, found.column("_toxic").to_numpy() > 0)
 
 
 def scored(text: Column, model: Model) -> Column:
