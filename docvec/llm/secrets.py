@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and windows of high Shannon entropy in candidate strings.
 
-A candidate is a run of 20 or more characters of keys and encodings. A window of 20 characters slides over it; the
+A candidate is a run of 20 or more characters of keys and encodings. Path parts of letters and a name with its equals
+sign before 20 such characters are candidates of their own, so that what follows is judged without them. A window of 20 characters slides over it; the
 counts of the character that leaves and of the one that enters give the next window's entropy from the last one's.
 The candidate is a secret if its highest window passes the threshold of its character class, unless it fits the
-allow list. Everything is a DataFrame expression on the row's own text: no shuffle, no Python.
+allow list, which knows whole candidates only. Everything is a DataFrame expression on the row's own text: no shuffle, no Python.
 
 Edge cases: null and empty texts have no spans. Positions count code points. Long candidates are slid over in
 blocks that overlap by a window, so that nothing is cut. Repeated rows give equal rows, an empty table none; other
@@ -19,25 +20,30 @@ from pyspark.sql import functions as F
 
 from docvec.llm.common import whole
 
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_upper", "entropy_mixed"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_upper", "entropy_mixed", "entropy_lower"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+_RUN = r"[A-Za-z0-9+/_=-]{20"
+# the first two hold no digits beside letters of both cases, and so are in no class
+CANDIDATE = rf"/?(?:[A-Za-z_-]+/){{2,}}+(?={_RUN}}})|(?:[A-Za-z_-]+|[a-z_-]+[0-9]{{1,4}}|[A-Z_-]+[0-9]{{1,4}})=(?={_RUN}}})|{_RUN},}}"
 WINDOW = 20
 BLOCK = 256
 # class: what a candidate must look like, and the bits per character that make it a secret
 CLASSES = {
     "entropy_hex": (r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
     "entropy_upper": (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", 3.3),
+    "entropy_lower": (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", 3.5),
     "entropy_mixed": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).+$", 3.7),
 }
 # identifiers and samples that look random but are no secrets
 ALLOWED = [
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^[0-9_=/+-]+$",
-    r"(?i)example|sample|placeholder|changeme|dummy",
-    r"^/?([A-Za-z_-]+/){2,}",
+    r"(?i)^(?:example|sample|placeholder|changeme|dummy)(?![_/=-])",
+    r"(?i)(?:example|sample|placeholder|changeme|dummy)(?:key)?$",
+    r"(?i)^[a-z_-]*(?:example|sample|placeholder|changeme|dummy)[a-z_-]*[0-9]{0,4}$",
+    r"^/?(?:[A-Za-z_-]{0,19}[0-9]{0,4}/){2,}[A-Za-z_-]{0,15}[0-9]{0,4}[A-Za-z]?$",
 ]
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
