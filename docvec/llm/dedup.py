@@ -14,8 +14,9 @@ components that share a bucket are compared, those outside a bucket's largest co
 
 Edge cases: null and empty texts and texts of blanks have an empty set and stay alone; with fewer than five words the
 whole sequence is the only shingle. Rows that repeat an id count as one document, which has the links of all their
-texts, and stay or go together. A row without an id is linked like others; its component has the smallest id there is
-in it, else null. Rows without ids are kept where no row of the component has one. An empty table gives no rows.
+texts, and stay or go together. So an id with several sets is a node of its own, linked to them all. A row without an id is linked like others; its component has the smallest id there is
+in it, else null. Rows without ids are kept where no row of the component has one. Of such rows, and of those of a kept id,
+`one_of_each` keeps one a component, that of the least text hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (smallest id reachable over links) and kept."""
-    return components(docs, id_col, text_col).drop("text_hash")
+    return components(docs, id_col, text_col).drop("text_hash", "root")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,28 +202,62 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Only rows that may have to go meet the list of those that do; all others are passed on where they are read.
     """
-    gone = components(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("node"))
-    gone = materialize(gone.distinct(), "gone")
+    return _without(docs, components(docs, id_col, text_col).where(~F.col("kept")), None, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """without_near_duplicates with one row of each component, also where rows repeat an id or have none."""
+    rows = materialize(components(docs, id_col, text_col), "components")
+    kept = rows.where(F.col("kept") & F.col("root").isNotNull()).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    several = kept.groupBy("root").agg(F.min("text_hash").alias("least"), F.sum("n").alias("rows")).where("rows > 1")
+    met = materialize(kept.join(several, "root"), "several")
+    gone = rows.where(~F.col("kept")).select("doc_id", "text_hash").unionByName(met.where("text_hash != least").select("doc_id", "text_hash"))
+    return _without(docs, gone, met.where("text_hash = least and n > 1"), id_col, text_col)
+
+
+def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows `gone` by doc_id and text_hash, and with one of the rows of each that is `repeated`."""
+
+    def listed(rows: DataFrame, label: str) -> DataFrame:
+        return materialize(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of")).distinct(), label)
+
+    gone = listed(gone, "gone")
+    again = listed(repeated, "again") if repeated is not None else None
+    nodes = (gone if again is None else gone.unionByName(again)).select(F.col("__of").alias("node"))
     text_hash = F.xxhash64(whole(text_col).cast("binary"))
-    marked = docs.withColumn("__may_go", _may_be_among(gone, text_hash))
+    marked = docs.withColumn("__may_go", _may_be_among(nodes, text_hash))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of"))
-    asked = marked.where("__may_go").withColumn("__hash", text_hash).join(gone.withColumnRenamed("node", "__of"), same, "left_anti")
-    return marked.where("not __may_go").select(docs.columns).unionByName(asked.select(docs.columns))
+    asked = marked.where("__may_go").withColumn("__hash", text_hash).join(gone, same, "left_anti")
+    out = marked.where("not __may_go").select(docs.columns)
+    if again is None:
+        return out.unionByName(asked.select(docs.columns))
+    one = asked.join(again, same, "left_semi").dropDuplicates([id_col, "__hash"])
+    return out.unionByName(asked.join(again, same, "left_anti").select(docs.columns)).unionByName(one.select(docs.columns))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_duplicates with the text_hash of each row, which tells rows of one id, or of none, apart."""
+    """near_duplicates with the text_hash of each row, which tells rows of one id, or of none, apart, and the root of its component."""
     bounded_batches(docs.sparkSession)
     raw = whole(text_col).cast("binary")
     ids = F.col(id_col).cast("long")
     made = docs.select(ids.alias("doc_id"), F.xxhash64(raw).alias("text_hash"), _summary(raw).alias("s")).select("doc_id", "text_hash", "s.*")
     summaries = materialize(made, "summaries")
-    classes = summaries.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    of_id = F.coalesce(F.xxhash64("set_id"), F.lit(0))  # an empty set is one, too
+    several = summaries.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(of_id).alias("lo"), F.max(of_id).alias("hi"))
+    several = materialize(several.where("lo < hi").select("doc_id"), "several_sets")
+    classes = summaries.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
+    classes = classes.join(several.select(F.col("doc_id").alias("least"), F.lit(True).alias("shared")), "least", "left")
+    # the least id names a class if all texts of that id are in it, else its set does
     unnamed = F.xxhash64("set_id").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
-    classes = materialize(classes.select("set_id", "least", F.coalesce("least", unnamed).alias("node")), "classes")
+    node = F.when(F.col("shared").isNull(), F.col("least"))
+    classes = materialize(classes.select("set_id", "least", "text_hash", F.coalesce(node, unnamed).alias("node")), "classes")
     members = summaries.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes.select("set_id", "node"), "set_id", "left")
-    one = summaries.join(classes, "set_id").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = materialize(one.select("node", "n_shingles", "bands", "sketch", "parity"), "sets")
+    members = members.withColumn("node", F.coalesce("node", "doc_id"))
+    of_ids = members.join(several, "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
+    of_ids = materialize(of_ids, "id_links")
+    one = summaries.drop("text_hash").join(classes, "set_id").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    one = one.select("node", "n_shingles", "bands", "sketch", "parity")
+    sets = materialize(one.where(F.col("node") < NO_ID).unionByName(one.where(F.col("node") >= NO_ID).dropDuplicates(["node"])), "sets")
 
     entries = sets.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
@@ -233,13 +268,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = first.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
     pairs = materialize(met.where(_alike()).select("a", "b"), "pairs")
 
-    # the text of a class is that of its member with the least id, or any of them where there is none
-    hashed = docs.select(ids.alias("doc_id"), raw.alias("raw"))
-    named = hashed.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "raw")
-    nameless = hashed.where(F.col("doc_id").isNull()).select(_summary(F.col("raw"))["set_id"].alias("set_id"), "raw")
-    nameless = nameless.join(classes.where(F.col("least").isNull()), "set_id").select("node", "raw")
-    texts = named.unionByName(nameless)
-    links = materialize(_confirmed(pairs, texts), "links")
+    # all texts of an id that names a class have its set; of any other class one text is found by its hash
+    raws = docs.select(ids.alias("doc_id"), raw.alias("raw"))
+    named = raws.select(F.col("doc_id").alias("node"), "raw").where(F.col("node").isNotNull())
+    others = classes.where(F.col("node") >= NO_ID).select("node", "text_hash")
+    hashed = raws.where(_may_be_among(others.select(F.col("text_hash").alias("node")), F.xxhash64("raw"))).select(F.xxhash64("raw").alias("text_hash"), "raw")
+    texts = named.unionByName(hashed.dropDuplicates(["text_hash"]).join(others, "text_hash").select("node", "raw"))
+    links = materialize(_confirmed(pairs, texts).unionByName(of_ids), "links")
     roots = materialize(connected(links), "roots")
 
     placed = live.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
@@ -256,7 +291,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         roots = connected(links)
 
     root = F.coalesce("root", "node")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(root < NO_ID, root)
-    rows = members.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+    rows = members.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", root.alias("root"))
+    rows = rows.withColumn("component_id", F.when(F.col("root") < NO_ID, F.col("root")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return rows.select("doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"))
+    return rows.select("doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"), "root")
