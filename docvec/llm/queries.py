@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, dedup, fingerprint, licenses, mixing, neighbours, packing, pii, secrets, toxicity
+from docvec.llm import bpe, dedup, fingerprint, licenses, mixing, neighbours, packing, pii, secrets, toxicity, whitening
 from docvec.llm.common import fold, table
 
 
@@ -60,6 +60,10 @@ def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_odd_sketch_dedup,
         op9_diagonal_licenses,
         op10_disclosure_pii,
+        op11_polarised_whitening,
     )
 }
 
