@@ -47,6 +47,11 @@ def raw_bytes(column: pa.Array):
     return (v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column)
 
 
+def table_of_terms(kept: bytes) -> bytes:
+    """A table for bytes.translate: A-Z as a-z, other kept bytes as they are, the rest as blanks."""
+    return bytes(b if b in kept else 32 for b in range(256)).translate(bytes(range(256)).lower())
+
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bpe, dedup, fingerprint, licenses, mixing, neighbours, packing, pii, secrets, toxicity, whitening
+from docvec.llm import bitslices, bpe, dedup, fingerprint, licenses, mixing, neighbours, packing, pii, secrets, toxicity, whitening
 from docvec.llm.common import fold, table
 
 
@@ -64,6 +64,11 @@ def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = bitslices.build(table(spark, sf_dir, "documents"))
+    return bitslices.search(index, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,7 +83,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_diagonal_licenses,
         op10_disclosure_pii,
         op11_polarised_whitening,
+        op12_bitsliced_search,
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Fixed values, spelled out again: the characters of a term after A-Z are lower-cased.
+_TERM = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+
+def _terms(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '{_TERM}')"
+
+
+ORACLES: dict[str, str] = {
+    "op12_bitsliced_search": f"""WITH held AS (
+  SELECT r, doc_id, t, count(*) AS tf FROM (
+    SELECT row_number() OVER () AS r, doc_id, unnest({_terms('text')}) AS t FROM documents) GROUP BY ALL),
+sizes AS (SELECT r, doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, totals GROUP BY t, docs),
+asked AS (SELECT DISTINCT i, item_id, t FROM (
+  SELECT row_number() OVER () AS i, item_id, unnest({_terms('text')}) AS t FROM benchmark)),
+scores AS (
+  SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN held USING (t) JOIN sizes USING (r, doc_id), totals GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
+}
