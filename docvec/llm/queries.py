@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm import bitslices, bpe, dedup, fingerprint, licenses, mixing, neighbours, packing, pii, secrets, toxicity, whitening
+from docvec.llm import bitslices, bpe, dedup, fingerprint, licenses, mixing, neighbours, packing, pii, secrets, toxicity, warc, whitening
 from docvec.llm.common import fold, table
+from docvec.scratch import scratch_path
 
 
 def tokenizer_path() -> str:
@@ -69,6 +70,10 @@ def op12_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.search(index, table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_disclosure_pii,
         op11_polarised_whitening,
         op12_bitsliced_search,
+        op13_warc_members,
     )
 }
 
@@ -111,4 +117,11 @@ scores AS (
   FROM asked JOIN weights USING (t) JOIN held USING (t) JOIN sizes USING (r, doc_id), totals GROUP BY ALL)
 SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
 FROM scores WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_warc_members": """WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(first, page_id) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(first, page_id) THEN first END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)""",
 }

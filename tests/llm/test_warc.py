@@ -1,0 +1,122 @@
+"""Archives against the standard library's gzip, plain grouping and damaged streams."""
+
+import gzip
+import hashlib
+import json
+import os
+
+import pytest
+
+from docvec.llm import queries as Q
+from docvec.llm import warc
+
+BIG, OTHER = "é" * 60, "payload " * 40
+
+
+def pages(spark, rows):
+    full = [(i, u, h, "x", 1) for i, u, h in rows]
+    return spark.createDataFrame(full, "page_id long, url string, html string, digest string, _salt int").repartition(3)
+
+
+def plain(rows):
+    least = {}
+    for i, _, h in rows:
+        if i is not None and len((h or "").encode()) >= 100:
+            least[h] = min(i, least.get(h, i))
+    out = []
+    for i, _, h in rows:
+        data = (h or "").encode()
+        first = least.get(h)
+        revisit = first is not None and i != first
+        out.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    return sorted(out, key=str)
+
+
+ODD = [
+    (5, "http://a/", BIG), (3, "http://b/", BIG), (9, None, BIG), (None, "http://c/", BIG), (1, "http://d/\r\nWARC-Type: x", OTHER),
+    (1, "http://d/", OTHER), (2, "http://e/", OTHER), (4, "u", None), (6, "u", ""), (7, "u", "short"), (8, "u", "short"),
+    (10, "u", "a" * 99), (11, "u", "a" * 99), (12, "u", "a" * 100), (13, "u", "a" * 100), (14, "u", "line\r\n\r\nWARC/1.1\r\n" * 30),
+    (None, "u", "z" * 200), (None, "u", "z" * 200), (15, "u", "long " * 600_000), (16, "ü 中", "\u0000\u0001🙂" * 50),
+]
+
+
+def test_round_trip_of_odd_pages(spark, tmp_path):
+    found = warc.archived(pages(spark, ODD), f"file://{tmp_path}/w")
+    assert found.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain(ODD)
+
+
+def test_no_pages(spark, tmp_path):
+    assert warc.archived(pages(spark, []), f"file://{tmp_path}/w").collect() == []
+
+
+def test_every_member_stands_alone(spark, tmp_path):
+    """A stream in, members out: each sidecar line cuts out one gzip member, and all members together are the stream."""
+    folder = f"file://{tmp_path}/w"
+    streams = warc.write_archives(pages(spark, ODD).coalesce(1), f"{folder}/streams", archive_bytes=1 << 20)
+    files = warc.normalise(streams, f"{folder}/members")
+    (tmp_path / "w/members/lost.warc.gz.idx").write_text('{"archive": "lost", "offset": 0, "length": 9, "type": "response"}\n')
+    inflated = []
+    for row in files.collect():
+        data = open(row["archive"].removeprefix("file://"), "rb").read()
+        lines = [json.loads(x) for x in open(row["sidecar"].removeprefix("file://"))]
+        assert len(lines) == row["records"] and not row["damaged"]
+        assert [x["offset"] for x in lines] + [len(data)] == [0, *(x["offset"] + x["length"] for x in lines)]
+        for x in lines:
+            record = gzip.decompress(data[x["offset"] : x["offset"] + x["length"]])
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"WARC-Type: {x['type']}".encode() in record
+        inflated.append(gzip.decompress(data))
+    before = [gzip.decompress(open(r["archive"].removeprefix("file://"), "rb").read()) for r in streams.collect()]
+    assert sorted(inflated) == sorted(before) and len(before) > 1
+    index = warc.read_index(spark, files, f"{folder}/members")
+    assert index.count() == len(ODD) + len(before)  # with an info record each, without the lost file
+    records = warc.read_records(index).collect()
+    assert all(r["intact"] for r in records) and {r["uri"] for r in records if r["page_id"] == "1"} == {"http://d/", "http://d/%0D%0AWARC-Type:%20x"}
+
+
+def one(spark, tmp_path, name, data):
+    os.makedirs(f"{tmp_path}/in", exist_ok=True)
+    path = f"{tmp_path}/in/{name}"
+    with open(path, "wb") as f:
+        f.write(data)
+    folder = f"file://{tmp_path}/{name}.out"
+    files = warc.normalise(spark.createDataFrame([(f"file://{path}",)], "archive string"), folder)
+    (row,) = files.collect()
+    return row, warc.read_records(warc.read_index(spark, files, folder)).collect()
+
+
+@pytest.fixture(scope="module")
+def records():
+    made = [warc.page_record(str(i), f"http://x/{i}", bytes([65 + i]) * 5000, hashlib.sha256(bytes([65 + i]) * 5000).hexdigest(), None, "2020-01-01T00:00:00Z") for i in range(4)]
+    return [head + block + b"\r\n\r\n" for head, block in made]
+
+
+def test_archives_of_other_shapes(spark, tmp_path, records):
+    for name, data in (
+        ("stream", gzip.compress(b"".join(records))),
+        ("members", b"".join(map(gzip.compress, records))),
+        ("plain", b"".join(records)),
+    ):
+        row, found = one(spark, tmp_path, name, data)
+        assert (row["records"], row["damaged"]) == (4, False)
+        assert sorted(r["page_id"] for r in found) == ["0", "1", "2", "3"] and all(r["intact"] and r["payload_bytes"] == 5000 for r in found)
+
+
+def test_damaged_archives_give_what_comes_before(spark, tmp_path, records):
+    cut = b"".join(map(gzip.compress, records))[:-30]
+    unsized = gzip.compress(records[0] + b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")
+    for name, data, n in (("cut", cut, 3), ("junk", gzip.compress(records[0] + b"no record\r\n\r\n"), 1), ("unsized", unsized, 1), ("empty", b"", 0)):
+        row, found = one(spark, tmp_path, name, data)
+        assert (row["records"], row["damaged"], len(found)) == (n, name != "empty", n)
+
+
+def test_a_wrong_digest_is_told(spark, tmp_path, records):
+    _, found = one(spark, tmp_path, "wrong", gzip.compress(records[0].replace(b"AAAA", b"BBBB", 1) + records[1]))
+    assert sorted((r["page_id"], r["intact"]) for r in found) == [("0", False), ("1", True)]
+
+
+def test_equal_to_its_sql(spark):
+    from oracle import connect, differences
+
+    sf_dir, name = "/root/testdata/sf0.001", "op13_warc_members"
+    assert differences(spark, connect(sf_dir), sf_dir, Q.QUERIES[name], Q.ORACLES[name]) is None
