@@ -38,7 +38,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvec.llm.common import bounded_batches, whole
+from docvec.llm.common import bounded_batches, partitions, whole
 from docvec.scratch import materialize
 
 # Fixed value: payloads of fewer bytes are always written whole.
@@ -114,7 +114,8 @@ def with_originals(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame
     rows = pages.withColumn("_payload", whole(payload_col).cast("binary"))
     rows = rows.withColumns({"_digest": F.sha2("_payload", 256), "_bytes": F.octet_length("_payload").cast("long")})
     shared = rows.where(F.col("_bytes") >= SHORT).groupBy("_digest").agg(F.count("*").alias("n"), F.min(id_col).alias("_least"))
-    shared = shared.where((F.col("n") > 1) & F.col("_least").isNotNull())
+    # stored, so that its size is known: payloads move only where it is too large to be sent to them
+    shared = materialize(shared.where((F.col("n") > 1) & F.col("_least").isNotNull()), "shared")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     shared = shared.select("_digest", "_least", salts)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
@@ -358,7 +359,8 @@ def read_records(index: DataFrame) -> DataFrame:
 
     places = index.select("archive", "offset", "length")
     segment = F.floor(F.col("offset") / SEGMENT_BYTES)
-    return places.repartition("archive", segment).sortWithinPartitions("archive", "offset").mapInArrow(run, RECORDS)
+    # with a number, since Spark would join partitions of so few bytes, which stand for many more
+    return places.repartition(partitions(index.sparkSession), "archive", segment).sortWithinPartitions("archive", "offset").mapInArrow(run, RECORDS)
 
 
 def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
