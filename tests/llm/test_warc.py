@@ -53,7 +53,7 @@ def test_no_pages(spark, tmp_path):
 def test_every_member_stands_alone(spark, tmp_path):
     """A stream in, members out: each sidecar line cuts out one gzip member, and all members together are the stream."""
     folder = f"file://{tmp_path}/w"
-    streams = warc.write_archives(pages(spark, ODD).coalesce(1), f"{folder}/streams", archive_bytes=4000)
+    streams = warc.write_archives(pages(spark, ODD).coalesce(1), f"{folder}/streams", archive_bytes=500)
     files = warc.normalise(streams, f"{folder}/members")
     (tmp_path / "w/members/lost.warc.gz.idx").write_text('{"archive": "lost", "offset": 0, "length": 9, "type": "response"}\n')
     inflated = []
