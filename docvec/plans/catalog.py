@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from docvec.operators.encode import encode_chunks, with_vectors
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
 from docvec.plans.document_search import document_search, index_documents, index_files
-from docvec.sources.versions import new_folder
+from docvec.sources.versions import ConcurrentWrite, new_folder
 from docvec.scratch import scratch_path
 from docvec.sources import files as S
 from docvec.sources import folders as D
@@ -300,6 +301,56 @@ def append_after_lost_run(spark, sf_dir):
     return V.append_to_saved(spark, second, path).vectors.select("vec_id", "doc_id", "chunk_id")
 
 
+@_query
+def append_by_two_writers(spark, sf_dir):
+    """Both have read version 1; the one that commits first wins, the other raises and runs again."""
+    vectors = T.document_vectors(spark, sf_dir)
+    base, winner, other = (vectors.where(F.col("doc_id") % 3 == i) for i in range(3))
+    path = scratch_path(spark, "index")
+    V.save_index(V.build_index(base), path)
+    V.append_to_saved(spark, winner, path, after=1)
+    try:
+        V.append_to_saved(spark, other, path, after=1)
+    except ConcurrentWrite:
+        return V.append_to_saved(spark, other, path).vectors.select("vec_id", "doc_id", "chunk_id")
+    raise RuntimeError("two writers made one version")
+
+
+@_query
+def read_while_saved(spark, sf_dir):
+    """A reader that opened the index before it was saved anew still reads its version."""
+    first, second = _by_turns(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    V.save_index(V.build_index(first), path)
+    reader = V.open_index(spark, path)
+    V.save_index(V.build_index(second), path)
+    rows = {"before": reader, "after": V.open_index(spark, path)}
+    parts = (i.vectors.select(F.lit(name).alias("opened"), "vec_id", "doc_id", "chunk_id") for name, i in rows.items())
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query
+def compacted_index(spark, sf_dir):
+    """Six appends, merged on the way and at the end; positions stay as they were given."""
+    vectors = T.document_vectors(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    V.save_index(V.build_index(vectors.where("doc_id % 7 = 0")), path)
+    for i in range(1, 7):
+        V.append_to_saved(spark, vectors.where(F.col("doc_id") % 7 == i), path, max_folders=3)
+    V.compact(spark, path)
+    return V.open_index(spark, path).vectors.select("vec_id", "doc_id", "chunk_id")
+
+
+@_query
+def lookup_positions(spark, sf_dir):
+    """Keys of every eleventh position of a stored index, and of one behind its end."""
+    path = scratch_path(spark, "index")
+    V.save_index(V.build_index(T.document_vectors(spark, sf_dir)), path)
+    index = V.open_index(spark, path)
+    wanted = spark.range(0, index.n_vectors + 11, 11).withColumnRenamed("id", "vec_id")
+    return V.lookup(index, wanted, ["doc_id", "chunk_id"])
+
+
 @_query
 def append_to_empty_index(spark, sf_dir):
     """An empty index takes keys of any type, and a repeated key once."""

@@ -209,3 +209,15 @@ ORACLES["knn_join_with_bad_vectors"] = f"""WITH good AS (SELECT * FROM embedding
 SELECT q.vec_id AS query_id, e.vec_id, {_distance('e.embedding', 'q.embedding')} AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY {_distance('e.embedding', 'q.embedding')}, e.vec_id) AS rank
 FROM good e, good q QUALIFY rank <= 5"""
+
+
+def _by_remainder(n: int) -> str:
+    return _with("chunks") + f"""SELECT row_number() OVER (ORDER BY doc_id % {n}, doc_id, chunk_id) - 1 AS vec_id, doc_id, chunk_id
+FROM chunks"""
+
+
+ORACLES["append_by_two_writers"] = _by_remainder(3)
+ORACLES["compacted_index"] = _by_remainder(7)
+ORACLES["read_while_saved"] = _with("chunks") + """SELECT CASE doc_id % 2 WHEN 0 THEN 'before' ELSE 'after' END AS opened,
+  row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id, chunk_id) - 1 AS vec_id, doc_id, chunk_id FROM chunks"""
+ORACLES["lookup_positions"] = f"SELECT * FROM ({ORACLES['index_positions']}) WHERE vec_id % 11 = 0"
