@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docvec.functions.vectors import as_matrix, finite, l2_squared_to
-from docvec.operators.index import VectorIndex
+from docvec.operators.index import VectorIndex, lookup
 from docvec.operators.topk import NearestRows
 from docvec.scratch import materialize
 
@@ -19,8 +22,8 @@ TOP_K = 5
 
 # Queries are sent to every task up to this size, counted as float64.
 BROADCAST_BYTES = 64 << 20
-# Beyond it both sides are cut into cells; one cell holds at most this much of each side.
-CELL_BYTES = 128 << 20
+# Beyond it they are cut into blocks of this size, one of which a task holds.
+BLOCK_BYTES = 128 << 20
 
 
 def _query_vector(query: DataFrame | Sequence[float] | np.ndarray, dimension: int | None) -> np.ndarray:
@@ -71,52 +74,81 @@ def _partial_rows(nearest: NearestRows, query_ids: np.ndarray) -> pa.RecordBatch
     )
 
 
-def _scan_with(vectors: DataFrame, queries: pa.Table, top_k: int) -> DataFrame:
-    """Every task meets all queries and gives its best rows for each."""
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (queries["query_id"].to_numpy(), as_matrix(queries["embedding"].combine_chunks()))
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        nearest = NearestRows(matrix, top_k)
-        for batch in batches:
-            nearest.offer(batch["vec_id"].to_numpy(), as_matrix(batch["embedding"]))
-        yield _partial_rows(nearest, query_ids)
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """Runs of a batch's rows of one cell and side: cell, side, ids, vectors."""
+    cell, is_vector = (batch[name].to_numpy(zero_copy_only=False) for name in ("cell", "is_vector"))
+    new = np.flatnonzero((cell[1:] != cell[:-1]) | (is_vector[1:] != is_vector[:-1])) + 1
+    for begin, end in pairwise([0, *new.tolist(), len(cell)]):
+        if end > begin:
+            part = batch.slice(begin, end - begin)
+            yield int(cell[begin]), bool(is_vector[begin]), part["id"].to_numpy(), as_matrix(part["embedding"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(scan, _PARTIAL)
 
+def _nearest_in_cells(top_k: int, sent: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's rows (cell, is_vector, id, embedding), cell by cell, the queries of a cell before its vectors.
 
-def _in_cells(vectors: DataFrame, queries: DataFrame, n_rows: int, n_cols: int, top_k: int) -> DataFrame:
-    """Both sides cut by a hash of their id; every pair of cuts meets in one cell.
+    Only the queries of one cell and what they have found are held; the vectors stream by, however many there are.
+    Queries that were `sent` to every task are those of its only cell.
+    """
 
-    Ids are spread evenly whatever the vectors are, so copies of one vector do not
-    gather in a cell.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, nearest = None, [], None
+        if sent is not None:
+            at, asked = 0, [sent.value]
+        for batch in batches:
+            for cell, is_vector, ids, matrix in _segments(batch):
+                if cell != at:
+                    if nearest is not None:
+                        yield _partial_rows(nearest, query_ids)
+                    at, asked, nearest = cell, [], None
+                if not is_vector:
+                    asked.append((ids, matrix))
+                elif asked or nearest is not None:
+                    if nearest is None:
+                        query_ids = np.concatenate([i for i, _ in asked])
+                        nearest, asked = NearestRows(np.concatenate([m for _, m in asked]), top_k), []
+                    nearest.offer(ids, matrix)
+        if nearest is not None:
+            yield _partial_rows(nearest, query_ids)
+
+    return scan
+
+
+def cells_of(spark: SparkSession, query_bytes: int, block_bytes: int) -> tuple[int, int]:
+    """Blocks of queries by their bytes, and cuts of the vectors by the cores there are: their product is the tasks.
+
+    The size of the index is no part of it, since vectors are not held.
     """
-    row = F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int")
-    col = F.pmod(F.xxhash64("query_id"), F.lit(n_cols)).cast("int")
-    left = vectors.select(
-        row.alias("row"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col"), "vec_id", "embedding"
-    )
-    right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("row"), col.alias("col"), "query_id", "embedding"
-    )
+    blocks = max(1, -(-query_bytes // block_bytes))
+    cores = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks, max(1, -(-cores // blocks))
+
 
-    def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not queries.num_rows:
-            empty = NearestRows(np.empty((0, 0)), top_k)
-            return pa.Table.from_batches([_partial_rows(empty, np.empty(0, dtype=np.int64))])
-        nearest = NearestRows(as_matrix(queries["embedding"].combine_chunks()), top_k)
-        for batch in vectors.to_batches(max_chunksize=10_000):
-            nearest.offer(batch["vec_id"].to_numpy(), as_matrix(batch["embedding"]))
-        return pa.Table.from_batches([_partial_rows(nearest, queries["query_id"].to_numpy())])
+def _met_in_cells(vectors: DataFrame, queries: DataFrame, blocks: int, cuts: int) -> DataFrame:
+    """Both sides, cut by a hash of their ids, in the cells where every block of queries meets every cut of the vectors.
 
-    # A partition per cell, so that no task has to sort more than its cell.
-    tasks = n_rows * n_cols
-    left, right = left.repartition(tasks, "row", "col"), right.repartition(tasks, "row", "col")
-    cells = left.groupBy("row", "col").cogroup(right.groupBy("row", "col"))
-    return cells.applyInArrow(meet, _PARTIAL)
+    Ids are spread evenly whatever the vectors are, so copies of one vector do not gather in a cell.
+    """
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    cut = F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int")
+    every_cut, every_block = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (cuts, blocks))
+    left = queries.select(
+        F.explode(F.transform(every_cut, lambda c: block * cuts + c)).alias("cell"),
+        F.lit(False).alias("is_vector"), F.col("query_id").alias("id"), "embedding",
+    )
+    right = vectors.select(
+        F.explode(F.transform(every_block, lambda b: b * cuts + cut)).alias("cell"),
+        F.lit(True).alias("is_vector"), F.col("vec_id").alias("id"), "embedding",
+    )
+    both = left.unionByName(right).repartitionById(blocks * cuts, "cell")
+    return both.sortWithinPartitions("cell", "is_vector")
+
+
+def _check_queries(most: int | None, low: int | None, high: int | None, dimension: int | None) -> None:
+    if (most or 0) > 1:
+        raise ValueError("several queries have one query_id")
+    if low != high or (low is not None and dimension is not None and low != dimension):
+        raise ValueError(f"queries of width {low} to {high}, expected {dimension}")
 
 
 def knn_join(
@@ -124,50 +156,54 @@ def knn_join(
     queries: DataFrame,
     top_k: int = TOP_K,
     broadcast_bytes: int = BROADCAST_BYTES,
-    cell_bytes: int = CELL_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """`search` for every row of queries(query_id, embedding): query_id, rank, vec_id, distance.
 
     The queries are stored, so that an encoder behind them runs once, and counted; a query_id that comes twice is
-    an error. Vectors and queries that `search` would leave out take no part. Up to `broadcast_bytes` they go to the
-    tasks that scan the index, which stays where it is. More of them, of any number, are
-    met in cells of both sides. Either way a task gives `top_k` rows per query, never a
-    row per pair, and the result is exact.
+    an error. Vectors and queries that `search` would leave out take no part. A task holds one block of queries and
+    lets the vectors of its cell pass, gives `top_k` rows per query, never a row per pair, and the result is exact.
+    Queries of up to `broadcast_bytes` are one block that is sent to the tasks which scan the index, and the index
+    stays where it is; more of them, of any number, come to their cells in blocks of `block_bytes`.
     """
+    spark = queries.sparkSession
     asked = materialize(queries.select(F.col("query_id").cast("long"), "embedding").where(finite("embedding")), "queries")
-    per_id = asked.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")
-    )
-    n_queries, most, low, high = per_id.agg(F.sum("n"), F.max("n"), F.min("low"), F.max("high")).first()
-    queries, n_queries = asked, n_queries or 0
-    if n_queries and most > 1:
-        raise ValueError("several queries have one query_id")
-    if n_queries and (low != high or (index.dimension is not None and low != index.dimension)):
-        raise ValueError(f"queries of width {low} to {high}, expected {index.dimension}")
-    row_bytes = 8 * (high or 1)
     vectors = index.vectors.where(finite("embedding"))
+    n_queries, row_bytes = asked.count(), 8 * (index.dimension or 1)
     if n_queries * row_bytes <= broadcast_bytes:
-        partial = _scan_with(vectors, queries.toArrow(), top_k)
+        table = asked.toArrow()
+        ids = table["query_id"].to_numpy()
+        widths = np.unique(pc.list_value_length(table["embedding"]).to_numpy())
+        low, high = (int(widths[0]), int(widths[-1])) if len(widths) else (None, None)
+        _check_queries(2 if len(np.unique(ids)) < len(ids) else 1, low, high, index.dimension)
+        sent = spark.sparkContext.broadcast((ids, as_matrix(table["embedding"].combine_chunks())))
+        rows = vectors.select(F.lit(0).alias("cell"), F.lit(True).alias("is_vector"), F.col("vec_id").alias("id"), "embedding")
+        partial = rows.mapInArrow(_nearest_in_cells(top_k, sent), _PARTIAL)
     else:
-        n_cols = -(-n_queries * row_bytes // cell_bytes)
-        n_rows = -(-max(index.n_vectors, 1) * row_bytes // cell_bytes)
-        tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n_rows = max(n_rows, -(-tasks // n_cols))  # no fewer cells than tasks
-        partial = _in_cells(vectors, queries, n_rows, n_cols, top_k)
+        per_id = asked.groupBy("query_id").agg(
+            F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")
+        )
+        _check_queries(*per_id.agg(F.max("n"), F.min("low"), F.max("high")).first(), index.dimension)
+        cells = _met_in_cells(vectors, asked, *cells_of(spark, n_queries * row_bytes, block_bytes))
+        partial = cells.mapInArrow(_nearest_in_cells(top_k), _PARTIAL)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     ranked = partial.withColumn("rank", rank).where(F.col("rank") <= top_k)
     return ranked.select("query_id", "rank", "vec_id", "distance")
 
 
-def attach_metadata(hits: DataFrame, meta: DataFrame, expected: Sequence[str]) -> DataFrame:
+def attach_metadata(hits: DataFrame, meta: DataFrame | VectorIndex, expected: Sequence[str]) -> DataFrame:
     """Metadata beside each hit, null where no row has that position, and `meta_complete`.
 
     The hits are stored first: the search runs once, and Spark, knowing how few they are,
-    brings them to the scan of the metadata instead of shuffling that table.
+    brings them to the scan of the metadata instead of shuffling that table. Of a stored index only the pieces
+    that hold a hit are scanned.
     """
     hits = materialize(hits, "hits")
-    named = hits.select("vec_id").distinct()  # a vector may be a hit of most queries
-    wanted = meta.select("vec_id", *expected).join(named, "vec_id", "left_semi")
+    if isinstance(meta, VectorIndex):
+        wanted = lookup(meta, hits, list(expected))
+    else:
+        named = hits.select("vec_id").distinct()  # a vector may be a hit of most queries
+        wanted = meta.select("vec_id", *expected).join(named, "vec_id", "left_semi")
     complete = F.lit(True)
     for name in expected:
         complete = complete & F.col(name).isNotNull()

@@ -408,7 +408,7 @@ def knn_join(spark, sf_dir):
 @_query
 def knn_join_in_cells(spark, sf_dir):
     """The way taken when the queries are too many to send to every task."""
-    return _knn(spark, sf_dir, broadcast_bytes=0, cell_bytes=100_000)
+    return _knn(spark, sf_dir, broadcast_bytes=0, block_bytes=100_000)
 
 
 @_query

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,7 +82,7 @@ def queries_of(spark, x):
 
 
 @pytest.mark.parametrize("kind", ["whole", "copies", "far"])
-@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "cell_bytes": 1000}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_bytes": 100}, {"broadcast_bytes": 0}])
 def test_knn_join(spark, kind, sizes):
     x = make(1, 80, 5, kind)
     hits = K.knn_join(index_of(spark, x), queries_of(spark, x[:30]), 4, **sizes).orderBy("query_id", "rank")
@@ -89,6 +90,39 @@ def test_knn_join(spark, kind, sizes):
     assert found == brute_force(x[:30], range(80), x, 4)
 
 
+def test_cells_follow_queries_and_cores_not_the_index(spark):
+    few = K.cells_of(spark, 10 << 20, 128 << 20)
+    assert few == (1, 16) and K.cells_of(spark, 1 << 30, 128 << 20) == (8, 2) and K.cells_of(spark, 1 << 40, 128 << 20) == (8192, 1)
+    x = make(3, 300, 4, "normal")
+    for n in (20, 300):  # index rows
+        plan = K.knn_join(index_of(spark, x[:n]), queries_of(spark, x[:50]), 2, broadcast_bytes=0, block_bytes=400)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in text and "Join" not in text and "shufflepartitionidpassthrough" in text.lower().replace("_", "")
+        assert "cell" in text and ", 16)" in text or ", 16," in text
+
+
+def test_vectors_stream_past_their_queries(spark):
+    """Cells one after the other in a task, cut into batches anywhere."""
+    x, q = make(4, 60, 3, "normal"), make(6, 10, 3, "normal")
+    batches = []
+    for cell in (3, 7):
+        for is_vector, ids, m in ((False, np.arange(10) + 100 * cell, q), (True, np.arange(60), x)):
+            for at in range(0, len(m), 7):
+                part = m[at : at + 7].astype(np.float32)
+                batches.append(
+                    pa.RecordBatch.from_pydict(
+                        {"cell": [cell] * len(part), "is_vector": [is_vector] * len(part), "id": ids[at : at + 7], "embedding": part.tolist()}
+                    )
+                )
+    whole = pa.Table.from_batches(batches).combine_chunks().to_batches()
+    for given in (batches, whole):
+        rows = [r for b in K._nearest_in_cells(2)(iter(given)) for r in b.to_pylist()]
+        assert len(rows) == 40 and {r["query_id"] // 100 for r in rows} == {3, 7}
+        assert {(r["query_id"] % 100, r["vec_id"]) for r in rows if r["query_id"] < 700} == {(r["query_id"] % 100, r["vec_id"]) for r in rows if r["query_id"] >= 700}
+    alone = [b for b in batches if b["is_vector"][0].as_py()]
+    assert list(K._nearest_in_cells(2)(iter(alone))) == []
+
+
 def test_search_is_a_knn_join_of_one(spark):
     x = make(5, 40, 6, "normal")
     index = index_of(spark, x)
