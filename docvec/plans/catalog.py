@@ -50,35 +50,69 @@ def list_folder(spark, sf_dir):
     return D.list_folder(T.items(spark, sf_dir), "f:en/src0")
 
 
-@_query
-def list_folder_pages(spark, sf_dir):
-    """The second page of a folder of all English documents."""
+def _by_language(spark, sf_dir) -> DataFrame:
     name = F.concat(F.lit("d"), F.col("doc_id"))
-    items = T.table(spark, sf_dir, "documents").select(
+    return T.table(spark, sf_dir, "documents").select(
         name.alias("id"), name.alias("name"), F.lit("text/plain").alias("mime_type"), F.col("lang").alias("parent_id")
     )
-    rows = D.list_every_folder(items.where("parent_id = 'en'"), page=2)
+
+
+@_query
+def list_folder_pages(spark, sf_dir):
+    """The second page of a folder of all English documents."""
+    rows = D.list_every_folder(_by_language(spark, sf_dir).where("parent_id = 'en'"), page=2)
     return rows.select(F.col("place").cast("long").alias("place"), "id")
 
 
 @_query
-def walk_deep_tree(spark, sf_dir):
-    """A chain of folders, one in the other, that holds all documents in 20 levels."""
-    docs = T.table(spark, sf_dir, "documents")
-    level = F.col("doc_id") % 20
+def list_folder_by_token(spark, sf_dir):
+    """All pages but the first of the folder of Spanish documents, each from the token of the one before."""
+    items = _by_language(spark, sf_dir)
+    rows = spark.createDataFrame([], "page long, id string")
+    _, token = D.list_folder_by_token(items, "es")
+    page = 2
+    while token is not None:
+        listed, token = D.list_folder_by_token(items, "es", token)
+        rows = rows.unionByName(listed.select(F.lit(page).cast("long").alias("page"), "id"))
+        page += 1
+    return rows
+
+
+def _numbered_folder(n: Column) -> Column:
+    return F.concat(F.lit("level"), n)
+
+
+def _chained(spark, sf_dir, parent: Column) -> DataFrame:
+    """A folder for every document, which holds it; `parent` of the number n names the folder that holds that."""
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"))
     files = docs.select(
-        F.concat(F.lit("file"), F.col("doc_id")).alias("id"),
-        F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"),
+        F.concat(F.lit("file"), F.col("n")).alias("id"),
+        F.concat(F.lit("doc_"), F.col("n")).alias("name"),
         F.lit(None).cast("string").alias("mime_type"),
-        F.concat(F.lit("level"), level).alias("parent_id"),
+        _numbered_folder(F.col("n")).alias("parent_id"),
     )
-    chain = docs.select(level.alias("n")).distinct().select(
-        F.concat(F.lit("level"), F.col("n")).alias("id"),
-        F.concat(F.lit("level"), F.col("n")).alias("name"),
+    folders = docs.select(
+        _numbered_folder(F.col("n")).alias("id"),
+        _numbered_folder(F.col("n")).alias("name"),
         F.lit(D.FOLDER_MIME_TYPE).alias("mime_type"),
-        F.when(F.col("n") == 0, "root").otherwise(F.concat(F.lit("level"), F.col("n") - 1)).alias("parent_id"),
+        parent.alias("parent_id"),
     )
-    return D.walk_folders(files.unionByName(chain), "root")
+    return files.unionByName(folders)
+
+
+@_query
+def walk_deep_tree(spark, sf_dir):
+    """A chain of folders, one in the other, as deep as there are documents."""
+    n = F.col("n")
+    return D.walk_folders(_chained(spark, sf_dir, F.when(n == 0, "root").otherwise(_numbered_folder(n - 1))), "root")
+
+
+@_query
+def folder_cycles(spark, sf_dir):
+    """Folders in rings of eight, every second ring opened by a folder that lies in the root instead."""
+    n = F.col("n")
+    ring = F.when(n % 8 == 7, _numbered_folder(n - 7)).otherwise(_numbered_folder(n + 1))
+    return D.folder_cycles(_chained(spark, sf_dir, F.when(n % 16 == 3, "root").otherwise(ring)), "root")
 
 
 @_query

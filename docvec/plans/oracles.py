@@ -221,3 +221,11 @@ ORACLES["compacted_index"] = _by_remainder(7)
 ORACLES["read_while_saved"] = _with("chunks") + """SELECT CASE doc_id % 2 WHEN 0 THEN 'before' ELSE 'after' END AS opened,
   row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id, chunk_id) - 1 AS vec_id, doc_id, chunk_id FROM chunks"""
 ORACLES["lookup_positions"] = f"SELECT * FROM ({ORACLES['index_positions']}) WHERE vec_id % 11 = 0"
+ORACLES["list_folder_by_token"] = """SELECT (place - 1) // 100 + 1 AS page, id FROM (
+  SELECT 'd' || doc_id AS id, row_number() OVER (ORDER BY 'd' || doc_id) AS place FROM documents WHERE lang = 'es')
+WHERE place > 100"""
+ORACLES["folder_cycles"] = """WITH RECURSIVE edges AS (
+  SELECT doc_id AS n, CASE doc_id % 8 WHEN 7 THEN doc_id - 7 ELSE doc_id + 1 END AS up FROM documents WHERE doc_id % 16 <> 3),
+ways AS (SELECT n, up, 1 AS steps FROM edges UNION ALL
+  SELECT ways.n, edges.up, steps + 1 FROM ways JOIN edges ON ways.up = edges.n WHERE steps < 8)
+SELECT 'level' || n AS id, min('level' || up) AS cycle FROM ways GROUP BY n HAVING bool_or(up = n)"""

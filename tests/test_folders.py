@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import pytest
@@ -35,6 +37,53 @@ def test_walk_of_an_empty_folder(spark):
     assert walked(spark, [("x", "else/")]) == []
 
 
+def test_rounds_follow_the_digits_of_the_depth(spark):
+    depth = 1200
+    chain = [(f"{i:04d}/", "root/" if i == 0 else f"{i - 1:04d}/") for i in range(depth)]
+    lost = [("lost1/", "lost2/"), ("lost2/", "lost3/"), ("lost3/", "lost1/"), ("x", "lost1/"), ("away/", "nowhere/"), ("y", "away/")]
+    items = listing(spark, chain + lost + [("file", f"{depth - 1:04d}/")])
+    reached, rounds = D.reached_folders(items, "root/")
+    assert reached.count() == depth + 1 and rounds <= depth.bit_length() + 1
+    shallow, rounds = D.reached_folders(listing(spark, [("a/", "root/"), ("b/", "a/"), *lost]), "root/")
+    assert sorted(r["id"] for r in shallow.collect()) == ["a/", "b/", "root/"] and rounds <= 2
+
+
+def test_reached_folders_against_a_plain_walk(spark):
+    rng = random.Random(7)
+    for _ in range(3):
+        names = ["root/", *(f"{i}/" for i in range(25))]
+        rows = [(rng.choice(names[1:]), rng.choice(names)) for _ in range(32)]
+        seen, edge = {"root/"}, {"root/"}
+        while edge:
+            edge = {i for i, up in rows if up in edge} - seen
+            seen |= edge
+        reached, _ = D.reached_folders(listing(spark, rows), "root/")
+        assert {r["id"] for r in reached.collect()} == seen
+
+
+def test_cycles_have_the_name_of_their_least_folder(spark):
+    rows = [("a/", "root/"), ("d/", "c/"), ("c/", "b/"), ("b/", "d/"), ("under/", "c/"), ("self/", "self/"), ("y/", "z/"), ("z/", "y/"), ("n/", None)]
+    found = {r["id"]: r["cycle"] for r in D.folder_cycles(listing(spark, rows), "root/").collect()}
+    assert found == {"b/": "b/", "c/": "b/", "d/": "b/", "self/": "self/", "y/": "y/", "z/": "y/"}
+    assert D.folder_cycles(listing(spark, [("a/", "root/"), ("x", "a/")]), "root/").collect() == []
+
+
+def test_pages_by_token_are_those_by_number(spark):
+    names = [None, None, None, "a", "a", "a", "a", "b", *(f"f{i:02d}" for i in range(9))]
+    rows = [(i, n, "text/plain", "root/") for i, n in [(None, "p"), (None, "q"), (None, None), *((n, n and n * 2) for n in names)]]
+    items = spark.createDataFrame(rows, "id string, name string, mime_type string, parent_id string").repartition(3)
+    for size in (1, 2, 3, 7, 50):
+        token, number = None, 1
+        while True:
+            page, token = D.list_folder_by_token(items, "root/", token, size)
+            assert page.collect() == D.list_folder(items, "root/", size, number).collect()
+            number += 1
+            if token is None:
+                break
+        assert D.list_folder(items, "root/", size, number).count() == 0
+    assert D.list_folder_by_token(items, "else/")[1] is None
+
+
 def test_list_folder_gives_one_page(spark):
     rows = [(f"f{i:03d}", "root/") for i in range(150)] + [("sub/", "root/"), ("deep", "sub/")]
     items = listing(spark, rows)
