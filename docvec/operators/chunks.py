@@ -21,10 +21,10 @@ def chunk_count(tokens: Column, size: int = CHUNK_SIZE) -> Column:
     return F.ceil(F.greatest(n, F.lit(0)) / size)
 
 
-def chunk_tokens(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+def chunk_tokens(docs: DataFrame, size: int = CHUNK_SIZE, outer: bool = False) -> DataFrame:
     """Replace `tokens` by (chunk_id, tokens): runs of `size`, the last one shorter.
 
-    Rows without tokens make no chunk; that is said inside the expression, because a
+    Rows without tokens make no chunk, or with `outer` one row of nulls; that is said inside the expression, because a
     filter would be pushed below the tokens and split every text twice. Each document is
     cut where it lies, so a very long one costs no more than its own row.
     """
@@ -32,7 +32,8 @@ def chunk_tokens(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     tokens = F.col("tokens")
     starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size))
     runs = F.transform(starts, lambda start: F.slice(tokens, start + 1, size))
-    return docs.select(*others, F.posexplode(F.when(F.size(tokens) > 0, runs)).alias("chunk_id", "tokens"))
+    exploded = F.posexplode_outer if outer else F.posexplode
+    return docs.select(*others, exploded(F.when(F.size(tokens) > 0, runs)).alias("chunk_id", "tokens"))
 
 
 def _label(stem: Column, chunk_id: Column) -> Column:

@@ -73,18 +73,22 @@ def with_vectors(
     batch_size: int = BATCH_SIZE,
     dims: int = HASH_DIMS,
     tasks: int | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Replace `tokens` by `embedding`, null where the encoding failed.
 
+    Rows without tokens are dropped, or kept without a vector with `keep_empty`.
+
     Without an encoder the vector is signed feature hashing of the bare tokens: a
     lexical stand-in, not a language model. All chunks of a document start in the task
     that read it; for an encoder slower than a shuffle, `tasks` deals them out first.
     """
     others = [c for c in chunks.columns if c != "tokens"]
-    chunks = chunks.where(F.size("tokens") > 0)
+    chunks = chunks if keep_empty else chunks.where(F.size("tokens") > 0)
     chunks = chunks.repartition(tasks) if tasks else chunks
     tokens = F.col("tokens")
     vector = hashing_vector(tokens, dims) if make_encoder is None else encoded(make_encoder, batch_size)(tokens)
+    vector = F.when(F.size("tokens") > 0, vector) if keep_empty else vector
     return chunks.select(*others, vector.alias("embedding"))
 
 

@@ -17,12 +17,13 @@ from docvec.operators import search as K
 from docvec.operators.encode import encode_chunks, with_vectors
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
-from docvec.plans.document_search import document_search, index_documents, index_files
+from docvec.plans.document_search import document_search, index_documents, index_files, index_tree, store_tree
 from docvec.sources.versions import ConcurrentWrite, new_folder
 from docvec.scratch import scratch_path
 from docvec.sources import files as S
 from docvec.sources import folders as D
 from docvec.sources import vectors as R
+from docvec.sources.listing import address
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,6 +476,39 @@ def index_files_(spark, sf_dir):
     return _index_rows(index_files(T.files(spark, sf_dir), scratch_path(spark, "run"), parsers={"pdf": _plain_pdf}))
 
 
+def _tree_run(spark, sf_dir):
+    """A folder tree with a file for every document, and the run over it."""
+    root = address(scratch_path(spark, "tree"))
+    T.write_tree(spark, sf_dir, root)
+    return root, store_tree(spark, root, scratch_path(spark, "run"), parsers={"pdf": _plain_pdf})
+
+
+def _below(root: str) -> Column:
+    return F.replace(F.col("doc_id"), F.lit(f"{root}/"), F.lit("")).alias("doc_id")
+
+
+@_query
+def index_tree_(spark, sf_dir):
+    """From a folder on a file system to a stored index."""
+    root = address(scratch_path(spark, "tree"))
+    T.write_tree(spark, sf_dir, root)
+    index, _ = index_tree(spark, root, scratch_path(spark, "run"), parsers={"pdf": _plain_pdf})
+    return index.vectors.select("vec_id", _below(root), "file_name", "chunk_id", _numbers("embedding").alias("embedding"))
+
+
+@_query
+def file_status(spark, sf_dir):
+    """What became of every file of a tree."""
+    root, run = _tree_run(spark, sf_dir)
+    return run.file_status.select(_below(root), "file_name", "status", "n_tokens")
+
+
+@_query
+def file_run_report(spark, sf_dir):
+    """The totals of a run over a tree, observed while its vectors were written."""
+    return _tree_run(spark, sf_dir)[1].report()
+
+
 @_query
 def passage_search(spark, sf_dir):
     """The three chunks nearest to every chunk of the benchmark texts, with their place."""

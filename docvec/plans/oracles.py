@@ -229,3 +229,16 @@ ORACLES["folder_cycles"] = """WITH RECURSIVE edges AS (
 ways AS (SELECT n, up, 1 AS steps FROM edges UNION ALL
   SELECT ways.n, edges.up, steps + 1 FROM ways JOIN edges ON ways.up = edges.n WHERE steps < 8)
 SELECT 'level' || n AS id, min('level' || up) AS cycle FROM ways GROUP BY n HAVING bool_or(up = n)"""
+_CTES["tree"] = _CTES["paths"].replace("paths AS", "all_paths AS") + f""", paths AS (
+  SELECT path, e, text FROM all_paths WHERE e = [{_EXTENSIONS}][regexp_extract(path, 'doc_([0-9]+)', 1)::BIGINT % 8 + 1])"""
+_NAME = "regexp_extract(path, '[^/]+$')"
+ORACLES["index_tree"] = _with("tree", "texts", "file_chunks", "file_vectors") + f"""SELECT
+  row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS vec_id, doc_id, regexp_extract(doc_id, '[^/]+$') AS file_name, chunk_id,
+  {_NUMBERS} AS embedding FROM file_vectors"""
+ORACLES["file_status"] = _with("tree", "texts") + f"""SELECT path AS doc_id, {_NAME} AS file_name, status,
+  len({_tokens('text')}) AS n_tokens FROM texts"""
+ORACLES["file_run_report"] = _with("tree", "texts") + f""", t AS (SELECT status, len({_tokens('text')}) AS n FROM texts)
+SELECT count(*) AS files, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'empty') AS empty,
+  count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'unsupported') AS unsupported, 0::BIGINT AS no_parser,
+  0::BIGINT AS too_large, 0::BIGINT AS missing, 0::BIGINT AS unreadable, sum(n)::BIGINT AS tokens,
+  sum((n + 49) // 50)::BIGINT AS chunks, 0::BIGINT AS failed_chunks, sum((n + 49) // 50)::BIGINT AS vectors, 64 AS dimension FROM t"""

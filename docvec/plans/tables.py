@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -156,6 +159,25 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(spark, sf_dir).select("path", content.alias("content"))
 
 
+def write_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """A file for every document, of the format its id says, written under its language and source by the tasks."""
+    extension = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
+    docs = documents(spark, sf_dir).withColumn("extension", extension)
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/doc_"), "doc_id", "extension")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(content)
+            yield batch.select([0])
+
+    rows = docs.select(path.alias("path"), _packed("extension", "text").alias("content"))
+    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 # --- vectors ----------------------------------------------------------------------
 
 
