@@ -44,11 +44,22 @@ def chunk_label(file_name: Column, chunk_id: Column) -> Column:
     return _label(file_stem(file_name), chunk_id)
 
 
-def encoder_input(tokens: Column) -> Column:
-    """Tokens between the two marks; an error for more than the longest input holds, since a cut would lose them."""
-    marked = F.concat(F.array(F.lit(START_MARK)), tokens, F.array(F.lit(END_MARK)))
-    too_long = F.raise_error(F.concat(F.lit(f"an encoder input holds {MAX_INPUT} tokens with its marks, not "), F.size(marked)))
-    return F.when(F.size(marked) > MAX_INPUT, too_long).otherwise(marked)
+def input_windows(tokens: Column, most: int = MAX_INPUT) -> Column:
+    """What an encoder is given for a token list: runs between the two marks, of at most `most` tokens with them.
+
+    Every token stands in one window and their order is that of the tokens; a list that fits is one window, an empty one
+    or null has none.
+    """
+    room = most - 2
+    starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(room))
+    start, end = F.array(F.lit(START_MARK)), F.array(F.lit(END_MARK))
+    windows = F.transform(starts, lambda at: F.concat(start, F.slice(tokens, at + 1, room), end))
+    return F.when(F.size(tokens) > 0, windows)
+
+
+def encoder_input(tokens: Column, most: int = MAX_INPUT) -> Column:
+    """Tokens between the two marks; more than the longest input holds are window after window, each with its marks."""
+    return F.flatten(input_windows(tokens, most))
 
 
 def label_collisions(files: DataFrame) -> DataFrame:

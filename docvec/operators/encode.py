@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvec.functions.vectors import HASH_DIMS, hashing_vector
+from docvec.operators.chunks import MAX_INPUT, input_windows
 
 # Fixed value: chunks per model call.
 BATCH_SIZE = 32
@@ -31,6 +32,12 @@ def _encode_batch(encoder: Encoder, batch: list[list[str]]) -> list[np.ndarray |
         return [vector for chunk in batch for vector in _encode_batch(encoder, [chunk])]
 
 
+def _encode_all(encoder: Encoder, chunks: list[list[str]], batch_size: int) -> list[np.ndarray | None]:
+    """Vectors of filled chunks, so many to a call."""
+    starts = range(0, len(chunks), batch_size)
+    return [vector for start in starts for vector in _encode_batch(encoder, chunks[start : start + batch_size])]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -57,16 +64,64 @@ def encoded(make_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE) -
             chunks = tokens.to_pylist()
             filled = [i for i, chunk in enumerate(chunks) if chunk]
             vectors: list[np.ndarray | None] = [None] * len(chunks)
-            for start in range(0, len(filled), batch_size):
-                some = filled[start : start + batch_size]
-                for i, vector in zip(some, _encode_batch(encoder, [chunks[i] for i in some])):
-                    vectors[i] = vector
+            for i, vector in zip(filled, _encode_all(encoder, [chunks[i] for i in filled], batch_size), strict=True):
+                vectors[i] = vector
             yield pa.array(vectors, type=pa.list_(pa.float32()))
 
     # So marked, a filter on the vector stays above it and no chunk is encoded twice.
     return encode.asNondeterministic()
 
 
+_WINDOWED = "struct<embedding:array<float>,n_failed:int>"
+
+
+def _joined(vectors: list[np.ndarray | None], sizes: list[int]) -> np.ndarray | None:
+    """The mean of the windows' vectors by their tokens; none if a window has none, or there are several widths."""
+    if not vectors or any(v is None for v in vectors) or len({len(v) for v in vectors}) > 1:
+        return None
+    return np.average(np.asarray(vectors, dtype=np.float64), axis=0, weights=sizes).astype(np.float32)
+
+
+def _encoded_windows(make_encoder: Callable[[], Encoder], batch_size: int) -> Callable[[Column], Column]:
+    """Column function marked windows -> vector of them all, and how many of them failed."""
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf(_WINDOWED)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _kept(key, make_encoder)
+        for column in batches:
+            rows = [windows or [] for windows in column.to_pylist()]
+            vectors = iter(_encode_all(encoder, [w for windows in rows for w in windows], batch_size))
+            of_rows = [[next(vectors) for _ in windows] for windows in rows]
+            sizes = [[len(w) - 2 for w in windows] for windows in rows]  # without the marks
+            joined = [_joined(v, n) for v, n in zip(of_rows, sizes, strict=True)]
+            failed = [sum(v is None for v in some) for some in of_rows]
+            yield pa.StructArray.from_arrays(
+                [pa.array(joined, type=pa.list_(pa.float32())), pa.array(failed, type=pa.int32())], ["embedding", "n_failed"]
+            )
+
+    return encode.asNondeterministic()
+
+
+def encode_windows(
+    chunks: DataFrame,
+    make_encoder: Callable[[], Encoder],
+    most: int = MAX_INPUT,
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """Replace `tokens`, of any number, by n_windows, n_failed and embedding.
+
+    The encoder gets marked windows of at most `most` tokens; the windows of a row are joined again where they lie, by
+    the mean weighted by their tokens. A row of which a window failed has a null embedding and says how many; one without
+    tokens has no windows. Nothing is cut off and nothing is shuffled.
+    """
+    others = [c for c in chunks.columns if c != "tokens"]
+    windows = input_windows(F.col("tokens"), most)
+    made = chunks.withColumn("_windows", windows).withColumn("_made", _encoded_windows(make_encoder, batch_size)(F.col("_windows")))
+    n_windows = F.greatest(F.coalesce(F.size("_windows"), F.lit(0)), F.lit(0)).alias("n_windows")
+    return made.select(*others, n_windows, "_made.n_failed", "_made.embedding")
+
+
 def with_vectors(
     chunks: DataFrame,
     make_encoder: Callable[[], Encoder] | None = None,
@@ -74,9 +129,12 @@ def with_vectors(
     dims: int = HASH_DIMS,
     tasks: int | None = None,
     keep_empty: bool = False,
+    marked: bool = False,
 ) -> DataFrame:
     """Replace `tokens` by `embedding`, null where the encoding failed.
 
+    With `marked` the encoder gets its tokens between marks, in windows where they are too many for one input.
+
     Rows without tokens are dropped, or kept without a vector with `keep_empty`.
 
     Without an encoder the vector is signed feature hashing of the bare tokens: a
@@ -86,6 +144,8 @@ def with_vectors(
     others = [c for c in chunks.columns if c != "tokens"]
     chunks = chunks if keep_empty else chunks.where(F.size("tokens") > 0)
     chunks = chunks.repartition(tasks) if tasks else chunks
+    if marked and make_encoder is not None:
+        return encode_windows(chunks, make_encoder, batch_size=batch_size).drop("n_windows", "n_failed")
     tokens = F.col("tokens")
     vector = hashing_vector(tokens, dims) if make_encoder is None else encoded(make_encoder, batch_size)(tokens)
     vector = F.when(F.size("tokens") > 0, vector) if keep_empty else vector
@@ -98,9 +158,10 @@ def encode_chunks(
     batch_size: int = BATCH_SIZE,
     dims: int = HASH_DIMS,
     tasks: int | None = None,
+    marked: bool = False,
 ) -> DataFrame:
     """`with_vectors` without the chunks whose encoding failed."""
-    vectors = with_vectors(chunks, make_encoder, batch_size, dims, tasks)
+    vectors = with_vectors(chunks, make_encoder, batch_size, dims, tasks, marked=marked)
     return vectors if make_encoder is None else vectors.where("embedding is not null")
 
 

@@ -14,7 +14,7 @@ from docvec.functions.vectors import l2_squared
 from docvec.operators import chunks as C
 from docvec.operators import index as V
 from docvec.operators import search as K
-from docvec.operators.encode import encode_chunks, with_vectors
+from docvec.operators.encode import encode_chunks, encode_windows, with_vectors
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
 from docvec.plans.document_search import document_search, index_documents, index_files, index_tree, store_tree
@@ -264,6 +264,23 @@ def encode_with_failures(spark, sf_dir):
     return encode_chunks(T.document_chunks(spark, sf_dir), _picky_encoder).select("doc_id", "chunk_id")
 
 
+def _fullness_encoder():
+    """Marks of a window, and whether it is full."""
+
+    def encode(batch):
+        return np.array([[(w[0] == C.START_MARK) + (w[-1] == C.END_MARK), len(w) == C.MAX_INPUT] for w in batch], dtype=float)
+
+    return encode
+
+
+@_query
+def encode_windows_(spark, sf_dir):
+    """Every document as one input, however long; the mean of its windows by their tokens."""
+    docs = encode_windows(T.document_tokens(spark, sf_dir), _fullness_encoder)
+    marks, full = (F.col("embedding")[i].cast("double") for i in range(2))
+    return docs.select("doc_id", "n_windows", "n_failed", marks.alias("marks"), full.alias("in_full_windows"))
+
+
 @_query
 def dimension_check(spark, sf_dir):
     widths = V.dimension_check(T.table(spark, sf_dir, "embeddings"))

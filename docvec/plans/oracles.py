@@ -242,3 +242,6 @@ SELECT count(*) AS files, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER
   count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'unsupported') AS unsupported, 0::BIGINT AS no_parser,
   0::BIGINT AS too_large, 0::BIGINT AS missing, 0::BIGINT AS unreadable, sum(n)::BIGINT AS tokens,
   sum((n + 49) // 50)::BIGINT AS chunks, 0::BIGINT AS failed_chunks, sum((n + 49) // 50)::BIGINT AS vectors, 64 AS dimension FROM t"""
+ORACLES["encode_windows"] = f"""WITH t AS (SELECT doc_id, len({_tokens('text')}) AS n FROM documents)
+SELECT doc_id, ceil(n / 510)::INT AS n_windows, 0 AS n_failed, CASE WHEN n > 0 THEN 2.0::DOUBLE END AS marks,
+  CASE WHEN n > 0 THEN ((n // 510 * 510) / n)::FLOAT::DOUBLE END AS in_full_windows FROM t"""

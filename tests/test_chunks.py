@@ -49,8 +49,18 @@ def test_encoder_input(spark):
     marked, longest = spark.range(1).select(C.encoder_input(F.array(F.lit("a"))), C.encoder_input(full)).first()
     assert marked == ["[CLS]", "a", "[SEP]"]
     assert len(longest) == 512 and longest[0] == "[CLS]" and longest[-1] == "[SEP]"
-    with pytest.raises(Exception, match="holds 512 tokens"):
-        spark.range(1).select(C.encoder_input(F.array(*[F.lit("t")] * 511))).collect()
+    more = spark.range(1).select(C.encoder_input(F.array(*[F.lit("t")] * 511))).first()[0]
+    assert more == [*longest, "[CLS]", "t", "[SEP]"]  # no token is lost
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7])
+def test_windows_hold_every_token_once(spark, n):
+    tokens = spark.createDataFrame([([f"t{i}" for i in range(n)],), (None,)], "tokens array<string>")
+    windows = [r[0] for r in tokens.select(C.input_windows(F.col("tokens"), 5)).collect()]
+    assert windows[1] is None and (windows[0] is None) == (n == 0)
+    inside = [w[1:-1] for w in windows[0] or []]
+    assert sum(inside, []) == [f"t{i}" for i in range(n)] and all(len(w) <= 3 for w in inside)
+    assert all((w[0], w[-1]) == ("[CLS]", "[SEP]") for w in windows[0] or [])
 
 
 def test_label_collisions(spark):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docvec.operators.encode import encode_chunks, onnx_encoder
+from docvec.operators.encode import encode_chunks, encode_windows, onnx_encoder
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +129,22 @@ def test_onnx_encoder(spark, tmp_path):
     expected = {0: marks + [5, 6], 1: marks + [7, 8, 1], 2: marks + [9], 3: [2, 2, 3] + [5] * 509}
     for doc_id, pieces in expected.items():
         np.testing.assert_allclose(found[doc_id], table[pieces].sum(axis=0), rtol=1e-5)
+
+
+def test_windows_of_a_row_are_joined_by_their_tokens(spark):
+    def counting():
+        def encode(batch):
+            if any("bad" in w for w in batch):
+                raise ValueError("bad")
+            return np.array([[len(w), float(w[1][1:])] for w in batch])
+
+        return encode
+
+    rows = [(1, ["t5"]), (2, ["t1", "t2", "t3", "t4"]), (3, ["t1", "t1", "t1", "bad"]), (4, []), (5, None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    found = {r["doc_id"]: (r["n_windows"], r["n_failed"], r["embedding"]) for r in encode_windows(chunks, counting, 5).collect()}
+    assert found == {1: (1, 0, [3.0, 5.0]), 2: (2, 0, [4.5, 1.75]), 3: (2, 1, None), 4: (0, 0, None), 5: (0, 0, None)}
+    marked = encode_chunks(chunks, counting, marked=True)
+    assert marked.columns == ["doc_id", "embedding"] and sorted(r["doc_id"] for r in marked.collect()) == [1, 2]
+    plan = encode_windows(chunks, counting).where("embedding is not null")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
