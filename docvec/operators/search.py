@@ -26,7 +26,7 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 128 << 20
 
 
-def _query_vector(query: DataFrame | Sequence[float] | np.ndarray, dimension: int | None) -> np.ndarray:
+def query_vector(query: DataFrame | Sequence[float] | np.ndarray, dimension: int | None) -> np.ndarray:
     """The one query row as a vector; an error for more rows, none, or a wrong width."""
     if isinstance(query, DataFrame):
         rows = query.select("embedding").limit(2).collect()
@@ -50,7 +50,7 @@ def search(
     Distance is squared L2; equal ones are ordered by vec_id. A small index gives what it has. Vectors that are
     null or hold a null, a NaN or an infinity have no distance and take no part.
     """
-    vector = _query_vector(query, index.dimension)
+    vector = query_vector(query, index.dimension)
     distance = l2_squared_to(vector)(F.col("embedding"))
     vectors = index.vectors.where(finite("embedding"))
     scored = vectors.select("vec_id", *columns, distance.alias("distance"))

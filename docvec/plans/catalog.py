@@ -15,6 +15,8 @@ from docvec.operators import chunks as C
 from docvec.operators import index as V
 from docvec.operators import search as K
 from docvec.operators.encode import encode_chunks, encode_windows, with_vectors
+from docvec.operators.pivots import lay_out
+from docvec.operators.pivots import search_pruned as search_pruned_
 from docvec.operators.report import file_stats, run_report
 from docvec.plans import tables as T
 from docvec.plans.document_search import document_search, index_documents, index_files, index_tree, store_tree
@@ -442,6 +444,14 @@ def search_topk(spark, sf_dir):
     return K.search(index, index.vectors.orderBy(F.desc("vec_id")).limit(1))
 
 
+@_query
+def search_pruned(spark, sf_dir):
+    """`search_topk` over vectors laid out by pivots, reading the pieces that may hold a neighbour."""
+    index = T.embedding_index(spark, sf_dir)
+    layout = lay_out(index, scratch_path(spark, "layout"), 16)
+    return search_pruned_(layout, index.vectors.orderBy(F.desc("vec_id")).limit(1))
+
+
 @_query
 def self_query(spark, sf_dir):
     return K.self_query(T.embedding_index(spark, sf_dir), 3)

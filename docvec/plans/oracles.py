@@ -245,3 +245,4 @@ SELECT count(*) AS files, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER
 ORACLES["encode_windows"] = f"""WITH t AS (SELECT doc_id, len({_tokens('text')}) AS n FROM documents)
 SELECT doc_id, ceil(n / 510)::INT AS n_windows, 0 AS n_failed, CASE WHEN n > 0 THEN 2.0::DOUBLE END AS marks,
   CASE WHEN n > 0 THEN ((n // 510 * 510) / n)::FLOAT::DOUBLE END AS in_full_windows FROM t"""
+ORACLES["search_pruned"] = ORACLES["search_topk"]
