@@ -36,7 +36,7 @@ BANDS, ROWS = 50, 5
 SAMPLES = BANDS * ROWS
 BITS, WHOLE_BITS = 512, 2048
 DIFFERENT_BITS = 160  # 99 are expected at similarity 0.75, with a deviation of 11
-NO_ID = 1 << 62  # nodes of classes without an id lie above, and so never name a component that has one
+NO_ID = 1 << 62  # nodes of classes without an id below it lie above, and so never name a component that has one
 FILTER_BITS = 1 << 25
 _odd = mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _FACTORS = (_odd[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -249,7 +249,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = classes.join(several.select(F.col("doc_id").alias("least"), F.lit(True).alias("shared")), "least", "left")
     # the least id names a class if all texts of that id are in it, else its set does
     unnamed = F.xxhash64("set_id").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
-    node = F.when(F.col("shared").isNull(), F.col("least"))
+    node = F.when(F.col("shared").isNull() & (F.col("least") < NO_ID), F.col("least"))
     classes = materialize(classes.select("set_id", "least", "text_hash", F.coalesce(node, unnamed).alias("node")), "classes")
     members = summaries.select("doc_id", "text_hash", "n_shingles", "set_id").join(classes.select("set_id", "node"), "set_id", "left")
     members = members.withColumn("node", F.coalesce("node", "doc_id"))
@@ -263,7 +263,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = entries.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
     live = materialize(entries.join(shared, "band"), "live")
     votes = live.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    first = votes.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("b"))
+    first = votes.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", F.bitwise_not("hub"))).alias("b"))
     sketches = sets.select("node", F.col("n_shingles").alias("n"), "sketch", "parity")
     met = first.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
     pairs = materialize(met.where(_alike()).select("a", "b"), "pairs")
@@ -292,6 +292,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     root = F.coalesce("root", "node")
     rows = members.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", root.alias("root"))
-    rows = rows.withColumn("component_id", F.when(F.col("root") < NO_ID, F.col("root")))
+    rows = _with_component(rows, summaries)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return rows.select("doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"), "root")
+
+
+def _with_component(rows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """component_id: the root where it is an id, the least id of the root's rows where all ids are as large as other nodes, else null."""
+    named = F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id")
+    if (summaries.agg(F.max("doc_id")).first()[0] or 0) < NO_ID:
+        return rows.select("*", named)
+    high = rows.where(F.col("root") >= NO_ID)
+    least = materialize(high.groupBy("root").agg(F.min("doc_id").alias("component_id")), "large_ids")
+    low = rows.where(F.col("root").isNull() | (F.col("root") < NO_ID)).select("*", named)
+    return low.unionByName(high.join(least, "root").select(low.columns))

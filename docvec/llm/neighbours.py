@@ -40,13 +40,14 @@ def _in_order(products: np.ndarray) -> np.ndarray:
 
 
 class Tile:
-    """Vectors of one width: as they are, and as int8 with a scale and a rounding error."""
+    """Vectors of one width: as they are but for a power of two, and as int8 with a scale and a rounding error."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        self.norms = np.sqrt(_in_order(vectors * vectors))
+        # each by a power of two, which changes no cosine: so no square overflows or vanishes
         peak = np.abs(vectors).max(axis=1, keepdims=True)
-        small = vectors / peak  # so that no square overflows or vanishes
+        small = np.ldexp(vectors, -np.frexp(peak)[1])
+        self.ids, self.vectors = ids, small
+        self.norms = np.sqrt(_in_order(small * small))
         unit = small / np.sqrt((small * small).sum(axis=1, keepdims=True))
         self.scale = np.abs(unit).max(axis=1) / 127.0
         self.cells = np.rint(unit / self.scale[:, None]).astype(np.int8)

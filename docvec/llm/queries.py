@@ -102,7 +102,37 @@ def _terms(text: str) -> str:
     return f"regexp_extract_all({lower}, '{_TERM}')"
 
 
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+
+
 ORACLES: dict[str, str] = {
+    "op2_tile_neighbours": f"""WITH used AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+sized AS (SELECT vec_id, v, sqrt({_dot('v', 'v')}) AS size FROM used),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, {_dot('q.v', 'c.v')} / (q.size * c.size) AS score
+  FROM sized q JOIN sized c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5""",
+    "op8_odd_sketch_dedup": r"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+tokens AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM words),
+runs AS (SELECT doc_id, t || ' ' || lead(t, 1) OVER d || ' ' || lead(t, 2) OVER d || ' ' || lead(t, 3) OVER d || ' ' || lead(t, 4) OVER d AS g
+  FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4),
+pieces AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM runs WHERE g IS NOT NULL),
+sets AS MATERIALIZED (SELECT words.doc_id, count(g) AS n FROM words LEFT JOIN pieces USING (doc_id) GROUP BY ALL),
+shingles AS MATERIALIZED (SELECT doc_id, n, g FROM pieces JOIN sets USING (doc_id)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS either, count(*) AS n_both FROM shingles a
+  JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+one_way AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * n_both >= 75 * either),
+links AS MATERIALIZED (SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON a = doc_id""",
     "op12_bitsliced_search": f"""WITH held AS (
   SELECT r, doc_id, t, count(*) AS tf FROM (
     SELECT row_number() OVER () AS r, doc_id, unnest({_terms('text')}) AS t FROM documents) GROUP BY ALL),

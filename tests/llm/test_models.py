@@ -35,6 +35,11 @@ def test_neighbours_against_all_pairs(spark):
         order = sorted((i for i in range(300) if i != q), key=lambda i: (-round(cos[q, i], 12), i))[:5]
         assert [r["vec_id"] for r in mine] == order and [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
         assert np.allclose([r["score"] for r in mine], cos[q, order], atol=1e-12)
+    sizes = spark.createDataFrame([(i, [c * 10.0**e for c in v]) for i, (v, e) in enumerate(zip(x[:12, :2].tolist(), [200, -200, 0, 300, -310, 1] * 2))], "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(sizes, F.lit(True), k=11).collect():
+        a, b = y[r["query_id"], :2], y[r["vec_id"], :2]
+        assert r["score"] == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-9)
+    assert neighbours.nearest(sizes, F.lit(True), k=11).count() == 12 * 11
     few = neighbours.nearest(vectors.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, k=5)
     assert few.count() == 2 and neighbours.nearest(vectors.where("vec_id = 302"), F.lit(True)).count() == 0
 
