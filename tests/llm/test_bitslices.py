@@ -95,15 +95,3 @@ def test_long_texts_are_counted_whole(monkeypatch):
     whole = B.term_counts(text)
     monkeypatch.setattr(B, "_PIECE", 7)
     assert B.term_counts(text) == whole and whole[b"ab"] == 50 and whole["É".encode()] == 50 and whole[b"y" * 40] == 1
-
-
-def test_equal_to_its_sql(spark):
-    from oracle import connect, differences
-
-    from docvec.llm import queries as Q
-
-    sf_dir = "/root/testdata/sf0.001"
-    name = "op12_bitsliced_search"
-    con = connect(sf_dir)
-    sql = Q.ORACLES[name]
-    assert differences(spark, con, sf_dir, Q.QUERIES[name], sql) is None

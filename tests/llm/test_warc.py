@@ -7,7 +7,6 @@ import os
 
 import pytest
 
-from docvec.llm import queries as Q
 from docvec.llm import warc
 
 BIG, OTHER = "é" * 60, "payload " * 40
@@ -113,10 +112,3 @@ def test_damaged_archives_give_what_comes_before(spark, tmp_path, records):
 def test_a_wrong_digest_is_told(spark, tmp_path, records):
     _, found = one(spark, tmp_path, "wrong", gzip.compress(records[0].replace(b"AAAA", b"BBBB", 1) + records[1]))
     assert sorted((r["page_id"], r["intact"]) for r in found) == [("0", False), ("1", True)]
-
-
-def test_equal_to_its_sql(spark):
-    from oracle import connect, differences
-
-    sf_dir, name = "/root/testdata/sf0.001", "op13_warc_members"
-    assert differences(spark, connect(sf_dir), sf_dir, Q.QUERIES[name], Q.ORACLES[name]) is None
