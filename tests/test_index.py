@@ -179,11 +179,11 @@ def test_filters_rule_out_most_and_lose_none(spark):
 def test_appends_are_merged(spark, tmp_path):
     path = f"{tmp_path}/index"
     V.save_index(V.build_index(vectors(spark, [(i, 0, [float(i)]) for i in range(8)])), path)
-    for i in range(10):
+    for i in range(6):
         index = V.append_to_saved(spark, vectors(spark, [(100 + i, 0, [1.0])]), path, max_folders=3)
         assert len(versions.latest(spark, path)[1]["folders"]) <= 3
-    assert rows_of(index) == [*((i, i, 0) for i in range(8)), *((8 + i, 100 + i, 0) for i in range(10))]
-    assert V.append_to_saved(spark, vectors(spark, [(104, 0, [1.0])]), path).n_vectors == 18
+    assert rows_of(index) == [*((i, i, 0) for i in range(8)), *((8 + i, 100 + i, 0) for i in range(6))]
+    assert V.append_to_saved(spark, vectors(spark, [(104, 0, [1.0])]), path).n_vectors == 14
     assert V.compact(spark, path) == 1 and rows_of(V.open_index(spark, path)) == rows_of(index)
 
 
