@@ -60,10 +60,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def gram_hashes(w: Column) -> Column:
-    """Hash of the three words from each place on that has three."""
+def grams(w: Column) -> Column:
+    """Hash and text of the three words from each place on that has three; no word holds a blank."""
     places = F.when(F.size(w) >= GRAM, F.sequence(F.lit(1), F.size(w) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(GRAM)]))
+
+    def gram(i: Column) -> Column:
+        three = [F.element_at(w, i + k) for k in range(GRAM)]
+        return F.struct(F.xxhash64(*three).alias("hash"), F.concat_ws(" ", *three).alias("gram"))
+
+    return F.transform(places, gram)
 
 
 def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -71,16 +76,20 @@ def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> Dat
     rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(exact).alias("exact"), F.lit(text).alias("text"))
             for i, (label, text, exact) in enumerate([*((*p, True) for p in phrases), *((*n, False) for n in notices)])]
     t = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*").withColumn("w", words(F.col("text")))
-    grams = t.select("template", "label", "exact", "w", F.posexplode(gram_hashes(F.col("w"))).alias("q", "hash"))
-    gram = F.slice("w", F.col("q") + 1, GRAM)
-    return grams.select("template", "label", "exact", (F.size("w") - (GRAM - 1)).alias("size"), "q", "hash", gram.alias("gram"))
+    placed = t.select("template", "label", "exact", (F.size("w") - (GRAM - 1)).alias("size"), F.posexplode(grams(F.col("w"))).alias("q", "g"))
+    return placed.select("template", "label", "exact", "size", "q", "g.hash", "g.gram")
+
 
+def license_places(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified copies: doc_id, text_hash, label, exact, start (word where the template begins), covered (0 to 1).
 
-def license_places(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified copies: doc_id, text_hash, label, exact, start (word where the template begins), covered (0 to 1)."""
+    A row of a run of words carries these words only, so that the time follows a text's length. The fixed templates go to
+    all tasks; those of a caller, of any number, meet the runs as Spark sees fit.
+    """
+    templates = F.broadcast(template_grams(docs.sparkSession)) if templates is None else templates
     w = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("text_hash"), words(whole(text_col)).alias("w"))
-    runs = w.select("*", F.posexplode(gram_hashes(F.col("w"))).alias("p", "hash"))
-    hits = runs.join(F.broadcast(templates), "hash").where(F.slice("w", F.col("p") + 1, GRAM) == F.col("gram"))
+    runs = w.select("doc_id", "text_hash", F.posexplode(grams(F.col("w"))).alias("p", "g")).select("doc_id", "text_hash", "p", "g.hash", "g.gram")
+    hits = runs.join(templates, ["hash", "gram"])
     copy = ["doc_id", "text_hash", "template", "label", "exact", "size"]
     diagonals = hits.groupBy(*copy, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("votes"))
     by_template = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
@@ -100,7 +109,6 @@ def license_places(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id"
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None) -> DataFrame:
     """Per document: words, exact places (number, first, last, labels), all labels, and the best cover as score."""
-    templates = template_grams(docs.sparkSession) if templates is None else templates
     places = license_places(docs, templates, id_col, text_col)
     base = F.when(F.col("exact"), F.col("start"))
     joined = lambda label: F.array_join(F.sort_array(F.collect_set(label)), ",")
