@@ -5,6 +5,7 @@ sign before 20 such characters are candidates of their own, so that what follows
 counts of the character that leaves and of the one that enters give the next window's entropy from the last one's.
 The candidate is a secret if its highest window passes the threshold of its character class, unless it fits the
 allow list, which knows whole candidates only. Everything is a DataFrame expression on the row's own text: no shuffle, no Python.
+Hits and long candidates are walked in blocks, so that the time follows a text's length and its number of hits.
 
 Edge cases: null and empty texts have no spans. Positions count code points. Long candidates are slid over in
 blocks that overlap by a window, so that nothing is cut. Repeated rows give equal rows, an empty table none; other
@@ -28,7 +29,7 @@ _RUN = r"[A-Za-z0-9+/_=-]{20"
 # the first two hold no digits beside letters of both cases, and so are in no class
 CANDIDATE = rf"/?(?:[A-Za-z_-]+/){{2,}}+(?={_RUN}}})|(?:[A-Za-z_-]+|[a-z_-]+[0-9]{{1,4}}|[A-Z_-]+[0-9]{{1,4}})=(?={_RUN}}})|{_RUN},}}"
 WINDOW = 20
-BLOCK = 256
+BLOCK = 256  # characters of a candidate, or hits of a text, that are walked at once
 # class: what a candidate must look like, and the bits per character that make it a secret
 CLASSES = {
     "entropy_hex": (r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
@@ -48,6 +49,11 @@ ALLOWED = [
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value made a single time however often it is used: the only element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _located(text: Column, pattern: str, kind, extra: Column | None = None) -> Column:
     """Spans of all matches, from left to right: the texts between them and their own lengths give the places.
 
@@ -65,9 +71,26 @@ def _located(text: Column, pattern: str, kind, extra: Column | None = None) -> C
         more = F.when(number.isNotNull(), F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
         return F.when(x["hit"].isNull(), done).otherwise(F.struct(end.alias("at"), more.alias("spans")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    walked = F.aggregate(F.arrays_zip(*zipped), start, step, lambda done: done["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPANS))
+    def walked(block: Column, at: Column) -> Column:
+        start = F.struct(at.cast("int").alias("at"), F.array().cast(_SPANS).alias("spans"))
+        return F.aggregate(block, start, step, lambda done: done["spans"])
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+
+    def in_blocks(xs: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK))
+        return F.transform(turns, lambda i: F.slice(xs, i, BLOCK))
+
+    def begins(blocks: Column) -> Column:
+        more = lambda done, block: F.concat(done, F.array(F.element_at(done, -1) + length(block)))
+        return F.aggregate(blocks, F.array(F.lit(0)), more)
+
+    def of_blocks(blocks: Column) -> Column:
+        return F.flatten(_once(begins(blocks), lambda at: F.transform(blocks, lambda block, i: walked(block, F.element_at(at, i + 1)))))
+
+    spans = _once(F.arrays_zip(*zipped), lambda xs: _once(in_blocks(xs), of_blocks))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
 def _weight(n: Column) -> Column:
@@ -100,17 +123,11 @@ def highest_entropy(candidate: Column) -> Column:
 
         steps = F.length(block) - WINDOW
         turns = F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-        # the sum of the first window is made once, as the only element of an array
-        return F.element_at(
-            F.transform(
-                F.array(begin),
-                lambda s: F.aggregate(turns, F.struct(s.alias("s"), s.alias("least")), slide, lambda done: done["least"]),
-            ),
-            1,
-        )
+        return _once(begin, lambda s: F.aggregate(turns, F.struct(s.alias("s"), s.alias("least")), slide, lambda done: done["least"]))
 
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(candidate) - WINDOW), F.lit(BLOCK))
-    blocks = F.transform(starts, lambda at: F.substr(candidate, at + 1, F.lit(BLOCK + WINDOW - 1)))
+    # each block with the characters that its last windows reach into, cut in one run over the candidate
+    cut = F.regexp_extract_all(candidate, F.lit(f"(?s)(?=(.{{1,{BLOCK + WINDOW - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    blocks = F.filter(cut, lambda block: F.length(block) >= WINDOW)
     least = F.array_min(F.transform(blocks, block_least))
     bits = F.round(F.lit(math.log2(WINDOW)) - least / WINDOW, 9)
     return F.when(F.length(candidate) >= WINDOW, bits).otherwise(F.lit(0.0))
