@@ -1,22 +1,30 @@
 """Personal data: fixed patterns, and the terms that give the protected values away.
 
-A protected value (an address, a number) is disclosed by a word that stands near it again and again and hardly
-anywhere else. Counted over all documents, with e a value, t a term and both near each other:
+A protected value (an address, a number) is disclosed by a word of the same documents that stands hardly anywhere
+else. Counted over whole documents, with e a value, t a term outside all values and both in one document:
 
     disclosure(t, e) = pointwise mutual information of t and e / information content of e
                      = log(n(t,e) n / (n(t) n(e))) / log(n / n(e)),
 
-1 if the term never stands without the value. Terms of `threshold` or more, near the value in `support` or more
-different texts, are generalised there, those of `remove` or more removed (Sanchez and Batet's disclosure risk).
+1 if the term never stands without the value. Terms of `threshold` or more that share `support` or more different
+texts with the value are generalised wherever they stand, in documents without the value too; those of `remove` or
+more are removed (Sanchez and Batet's disclosure risk). A pair in one or two texts tells nothing of the corpus, as
+every rare word would disclose every value beside it; so `support` is 3 unless it is given.
+
+Since n(t,e) <= n(e), a term passes only if n(t) <= n^(1-threshold) n(e)^threshold, and a value only if it stands in
+`support` texts. Both are known before any pair is made; texts look them up in bitmaps of fixed size, which let a few
+others through that later joins drop. So no pair is lost and no table goes to the tasks as a whole.
 
 Edge cases: null and empty texts have no spans. Positions count code points. Documents count by rows, the support
-by different texts, so that copies of one text disclose nothing. Repeated rows get equal rows, null ids are kept;
-an empty table gives no rows. Counts of hot values and terms are made distinct and added up before their shuffle.
+by different texts, so that copies of one text disclose nothing. A value in every document tells nothing and has no
+terms. Repeated rows get equal rows, null ids are kept, other columns stay as they are whatever their names; an
+empty table gives no rows. Counts of hot values and terms are made distinct and added up before their shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvec.llm.common import bounded_batches, strings, whole
-from docvec.scratch import materialize
+from docvec.scratch import materialize, staged
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 TERM = KINDS.index("term")
@@ -37,13 +45,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-REACH = 96  # code points on either side of a value in which its terms stand
 THRESHOLD, REMOVE, SUPPORT = 0.7, 0.95, 3
+BITS = 24  # a bitmap of keys has 2 ** BITS places, which are 2 MB, however many keys there are
+_PIECE = 15  # in pieces of 2 ** _PIECE places, as Spark's bitmap functions make them
 
-FOUND = (
-    "spans array<struct<start:int,kind:int,end:int>>, values array<string>, "
-    "near array<struct<value:string,term:string,start:int,end:int>>"
-)
+FOUND = "spans array<struct<start:int,kind:int,end:int>>, values array<string>"
+PLACES = "array<struct<term:string,start:int,end:int>>"
 
 
 def _digits(s: str) -> str:
@@ -90,36 +97,30 @@ def protected_value(text: str, kind: int) -> str:
     return f"{KINDS[kind]}:{text.lower() if kind < 2 else _digits(text)}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(value, term, start, end) of the whole words within reach of a value and outside all values."""
-    out = []
-    taken = [(s, e) for s, _, e in spans]
-    for s, kind, e in spans:
-        value = protected_value(text[s:e], kind)
-        lo, hi = max(0, s - REACH), min(len(text), e + REACH)
-        for m in _WORD.finditer(text, lo, hi):
-            a, b = m.span()
-            if (a == lo and a and text[a - 1].isalpha()) or (b == hi and b < len(text) and text[b].isalpha()):
-                continue  # cut by the window
-            if not any(x < b and a < y for x, y in taken):
-                out.append((value, m[0].lower(), a, b))
-    return out
+def outside_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word in lower case, start, end) of all words that no value overlaps."""
+    i = reach = 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while i < len(spans) and spans[i][0] < b:
+            reach = max(reach, spans[i][2])
+            i += 1
+        if reach <= a:
+            yield m[0].lower(), a, b
+
+
+def distinct_words(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {w for w, _, _ in outside_words(text, spans)} if spans else {w.lower() for w in set(_WORD.findall(text))}
 
 
 def _find(column: pa.Array) -> pa.Array:
     rows = []
     for text in strings(column):
         spans = base_spans(text)
-        rows.append(
-            {
-                "spans": [{"start": s, "kind": k, "end": e} for s, k, e in spans],
-                "values": sorted({protected_value(text[s:e], k) for s, k, e in spans}),
-                "near": [{"value": v, "term": t, "start": a, "end": b} for v, t, a, b in near_terms(text, spans)] if spans else [],
-            }
-        )
+        values = sorted({protected_value(text[s:e], k) for s, k, e in spans})
+        rows.append({"spans": [{"start": s, "kind": k, "end": e} for s, k, e in spans], "values": values})
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    return pa.array(rows, pa.struct([("spans", pa.list_(span)), ("values", pa.list_(pa.string())), ("near", pa.list_(near))]))
+    return pa.array(rows, pa.struct([("spans", pa.list_(span)), ("values", pa.list_(pa.string()))]))
 
 
 def _found(text: Column) -> Column:
@@ -127,7 +128,7 @@ def _found(text: Column) -> Column:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts each word stands, added up over the task as far as memory allows."""
+    """In how many texts each word stands outside values, added up over the task as far as memory allows."""
     counts: Counter[str] = Counter()
 
     def send() -> pa.RecordBatch:
@@ -135,7 +136,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in strings(batch.column(0)):
-            counts.update(set(_WORD.findall(text.lower())))
+            counts.update(distinct_words(text, base_spans(text)))
             if len(counts) > 300_000:
                 yield send()
                 counts.clear()
@@ -143,41 +144,121 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
+def bitmap(keys: DataFrame, column: str) -> bytes:
+    """Which of 2 ** BITS places, by a checksum, hold a key: at most 2 ** (BITS - _PIECE) rows of 4 KB come to the driver."""
+    place = F.crc32(F.col(column).cast("binary")) % (1 << BITS)
+    pieces = keys.select(F.shiftright(place, _PIECE).alias("piece"), (place % (1 << _PIECE)).alias("bit"))
+    size = (1 << _PIECE) // 8
+    bits = bytearray((1 << BITS) // 8)
+    for row in pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[row["piece"] * size : (row["piece"] + 1) * size] = row["bits"]
+    return bytes(bits)
+
+
+class MayHold:
+    """Whether a bitmap may hold a key; never wrong for one that it holds. Remembers the answers of frequent keys."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.known = bits, {}
+
+    def __call__(self, key: str) -> bool:
+        answer = self.known.get(key)
+        if answer is None:
+            place = zlib.crc32(key.encode("utf-8", "replace")) % (1 << BITS)
+            answer = bool(self.bits[place >> 3] >> (place & 7) & 1)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[key] = answer
+        return answer
+
+
+def _together(values: bytes, terms: bytes):
+    """A function of batches (text, text_hash) to rows (value, text_hash, terms), for values and terms that bitmaps may hold."""
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, term = MayHold(values), MayHold(terms)
+        rows: list[tuple[str, int, list[str]]] = []
+        held = 0
+
+        def send() -> pa.RecordBatch:
+            columns = zip(zip(*rows, strict=True), [pa.string(), pa.int64(), pa.list_(pa.string())], strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["value", "text_hash", "terms"])
+
+        for batch in batches:
+            for text, text_hash in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                spans = base_spans(text)
+                kept = [v for v in sorted({protected_value(text[s:e], k) for s, k, e in spans}) if value(v)]
+                words = [w for w in distinct_words(text, spans) if term(w)] if kept else []
+                for v in kept if words else []:
+                    rows.append((v, text_hash, words))
+                    held += len(words)
+                    if held > 200_000:
+                        yield send()
+                        rows, held = [], 0
+        if rows:
+            yield send()
+
+    return together
+
+
+def _places(terms: bytes):
+    """A function of texts to the places of words outside values that a bitmap may hold."""
+    place = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    may = MayHold(terms)
+
+    def places(column: pa.Array) -> pa.Array:
+        rows = []
+        for text in strings(column):
+            some = any(may(w.lower()) for w in set(_WORD.findall(text)))
+            hits = [x for x in outside_words(text, base_spans(text)) if may(x[0])] if some else []
+            rows.append([{"term": w, "start": a, "end": b} for w, a, b in hits])
+        return pa.array(rows, pa.list_(place))
+
+    return places
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: text_hash, spans of the fixed patterns, its protected values and the terms near them."""
+    """Per document: text_hash, spans of the fixed patterns and its protected values."""
     bounded_batches(docs.sparkSession)
     text = whole(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _found(text).alias("f"))
-    return rows.select("doc_id", "text_hash", "f.spans", "f.values", "f.near")
+    return rows.select("doc_id", "text_hash", "f.spans", "f.values")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """value, term, risk: the pairs whose disclosure passes the threshold."""
+    """value, term, risk: the pairs whose disclosure passes the threshold, a stored table."""
     n = found.count()
-    pairs = (
-        found.where(F.size("near") > 0)
-        .select("text_hash", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["value"].alias("value"), x["term"].alias("term"))))).alias("p"))
-        .groupBy("p.value", "p.term", "text_hash")
-        .count()
-        .groupBy("value", "term")
-        .agg(F.sum("count").alias("n_both"), F.count("*").alias("texts"))
-        .where(F.col("texts") >= support)
-    )
-    values = found.where(F.size("values") > 0).select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = materialize(pairs.join(values, "value"), "pairs")
-    counted = docs.select(whole(text_col).alias("t")).mapInArrow(_word_counts, "term string, n long")
-    terms = counted.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    joint = F.log(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_value")))
-    risk = joint / F.log(F.lit(float(n)) / F.col("n_value"))  # null for a value in every document: it tells nothing
-    return pairs.join(terms, "term").select("value", "term", risk.alias("risk")).where(F.col("risk") >= threshold)
-
-
-def term_spans(found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """doc_id, text_hash, terms (start, kind, end, risk): the places of disclosing terms."""
-    near = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    hits = near.join(disclosing, ["value", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("risk").alias("risk"))
+    text = whole(text_col)
+    by_text = found.where(F.size("values") > 0).select(F.explode("values").alias("value"), "text_hash").groupBy("value", "text_hash").count()
+    by_value = by_text.groupBy("value").agg(F.sum("count").alias("n_value"), F.count("*").alias("texts"))
+    shared = by_value.where((F.col("texts") >= support) & (F.col("n_value") < n)).select("value", "n_value")
+    with staged(shared, "values") as values:
+        most = values.agg(F.max("n_value")).first()[0] or 0
+        bound = n ** (1 - threshold) * most**threshold * (1 + 1e-9)
+        counted = docs.select(text.alias("t")).mapInArrow(_word_counts, "term string, n long")
+        terms = counted.groupBy("term").agg(F.sum("n").alias("n_term")).where((F.col("n_term") >= support) & (F.col("n_term") <= bound))
+        with staged(terms if most else terms.limit(0), "terms") as terms:
+            together = _together(bitmap(values, "value"), bitmap(terms, "term"))
+            rows = docs.select(text.alias("t"), F.xxhash64(text).alias("text_hash"))
+            rows = rows.mapInArrow(together, "value string, text_hash long, terms array<string>") if most else rows.where(F.lit(False)).select(
+                F.lit("").alias("value"), "text_hash", F.array(F.lit("")).alias("terms")
+            )
+            by_text = rows.select("value", "text_hash", F.explode("terms").alias("term")).groupBy("value", "term", "text_hash").count()
+            pairs = by_text.groupBy("value", "term").agg(F.sum("count").alias("n_both"), F.count("*").alias("texts"))
+            met = pairs.where(F.col("texts") >= support).join(values, "value").join(terms, "term")
+            joint = F.log(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_value")))
+            risk = joint / F.log(F.lit(float(n)) / F.col("n_value"))
+            return materialize(met.select("value", "term", risk.alias("risk")).where(F.col("risk") >= threshold), "disclosing")
+
+
+def term_spans(docs: DataFrame, disclosing: DataFrame, bits: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _hash, terms (start, kind, end, risk): all places of disclosing terms in all documents; `bits` is their bitmap."""
+    text = whole(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.explode(F.arrow_udf(_places(bits), PLACES)(text)).alias("x"))
+    risks = disclosing.groupBy("term").agg(F.max("risk").alias("risk"))
+    hits = rows.select("_id", "_hash", "x.*").join(risks, "term").groupBy("_id", "_hash", "start", "end").agg(F.max("risk").alias("risk"))
     span = F.struct("start", F.lit(TERM).alias("kind"), "end", "risk")
-    return hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(span)).alias("terms"))
+    return hits.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(span)).alias("terms"))
 
 
 def _same() -> Column:
@@ -194,10 +275,11 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """Per document the numbers of fixed spans, their digest, and all spans, terms included, as a string."""
     found = materialize(find(docs, id_col, text_col), "found")
-    terms = term_spans(found, disclosing_terms(docs, found, text_col))
+    disclosing = disclosing_terms(docs, found, text_col, threshold, support)
+    terms = term_spans(docs, disclosing, bitmap(disclosing, "term"), id_col, text_col)
     plain = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     extra = F.coalesce(plain, F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     n = [number_of(F.col("spans"), k).alias(f"n_{KINDS[k]}") for k in range(TERM)]
@@ -224,21 +306,40 @@ def sanitised_text(text: str, terms: list[dict], remove: float = REMOVE) -> str:
     return "".join([*out, text[at:]])
 
 
-def _sanitise(text: pa.Array, terms: pa.Array) -> pa.Array:
-    return pa.array([sanitised_text(t or "", x or []) for t, x in zip(text.to_pylist(), terms.to_pylist(), strict=True)], pa.string())
+def _sanitise(remove: float):
+    def sanitised(text: pa.Array, terms: pa.Array) -> pa.Array:
+        return pa.array([sanitised_text(t or "", x or [], remove) for t, x in zip(text.to_pylist(), terms.to_pylist(), strict=True)], pa.string())
+
+    return sanitised
+
+
+def _unused(docs: DataFrame, names: list[str]) -> list[str]:
+    """The names, made longer where the table has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := name + "_" * k) not in taken) for name in names]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same rows with sanitised texts; a text without protected values stays as it is, a null one null.
+def sanitise(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, remove: float = REMOVE, support: int = SUPPORT
+) -> DataFrame:
+    """The same rows with sanitised texts; one without protected values and disclosing terms stays as it is, a null one null.
 
-    Only rows with protected values are shuffled, to meet their terms.
+    Only rows that hold a value, or may hold a term, are shuffled, to meet their terms.
     """
-    found = materialize(find(docs, id_col, text_col), "found")
-    terms = term_spans(found, disclosing_terms(docs, found, text_col))
+    with staged(find(docs, id_col, text_col), "found") as found:
+        disclosing = disclosing_terms(docs, found, text_col, threshold, support)
+    bits = bitmap(disclosing, "term")
+    held, key, of_id, of_hash, of_terms = _unused(docs, ["_held", "_key", "_of_id", "_of_hash", "_of_terms"])
+    terms = term_spans(docs, disclosing, bits, id_col, text_col).withColumnsRenamed({"_id": of_id, "_hash": of_hash, "terms": of_terms})
+    find_places = _places(bits)
+
+    def touched(column: pa.Array) -> pa.Array:
+        places = find_places(column)
+        return pa.array([bool(len(x)) or bool(base_spans(t)) for t, x in zip(strings(column), places, strict=True)], pa.bool_())
+
     text = whole(text_col)
-    held = docs.withColumn("__found", F.size(_found(text)["values"]))
-    hashed = held.where(F.col("__found") > 0).withColumn("__hash", F.xxhash64(text))
-    terms = terms.withColumnsRenamed({"_id": "__id", "_hash": "__of", "terms": "__terms"})
-    met = hashed.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
-    clean = met.withColumn(text_col, F.arrow_udf(_sanitise, "string")(F.col(text_col), F.col("__terms"))).select(docs.columns)
-    return held.where(F.col("__found") == 0).select(docs.columns).unionByName(clean)
+    marked = docs.withColumn(held, F.arrow_udf(touched, "boolean")(text))
+    hashed = marked.where(F.col(held)).withColumn(key, F.xxhash64(text))
+    met = hashed.join(terms, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_hash)), "left")
+    clean = met.withColumn(text_col, F.arrow_udf(_sanitise(remove), "string")(F.col(text_col), F.col(of_terms))).select(docs.columns)
+    return marked.where(~F.col(held)).select(docs.columns).unionByName(clean)

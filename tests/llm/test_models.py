@@ -254,7 +254,7 @@ def test_pipeline(spark):
         if name == "packing":
             assert out.count() == docs.count()
         docs = out
-    assert "pipeline" in E.queries() and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in E.queries() and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
