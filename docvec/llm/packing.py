@@ -9,7 +9,10 @@ rows however many documents or tokens there are; a class is as long as its longe
 
 Edge cases: a null or empty text has length 0 and goes to the first bucket, as do all texts if there is one length
 only. A text longer than the budget is a batch of its own. Documents of one length are dealt by a hash of id and
-text; rows repeated as a whole are alike, so their order does not show. Null ids are kept. An empty table gives no rows.
+text; rows repeated as a whole are alike, so their order does not show: they travel as one row with their number, and
+get their places piece by piece. Null ids are kept. An empty table gives no rows.
+
+Beyond 1,024 the cuts lie between classes of lengths, so the padding is least among those cuts only.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvec.llm.common import whole
+from docvec.llm.common import partitions, whole
 from docvec.scratch import materialize
 
 FINE = 1024
 SLICE_ROWS = 100_000
+COPIES = 10_000  # of one row, that are given their places at once
 FIELDS = ["doc_id", "n_tokens", "bucket", "bucket_len", "batch", "position", "padding"]
 
 
@@ -100,16 +104,28 @@ def pack(
     for b in bounds[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
     dealt = rows.withColumn("bucket", bucket).withColumn("_slice", F.pmod("_hash", F.lit(slices)))
+    alike = dealt.groupBy("doc_id", "n_tokens", "_hash", "bucket", "_slice").agg(F.count("*").alias("_copies"))
     counts = dealt.groupBy("bucket", "_slice").count()
     before = Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("bucket", "_slice").orderBy("_hash", "doc_id")
+    inside = Window.partitionBy("bucket", "_slice").orderBy("_hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    placed = materialize(
+        alike.withColumn("_until", F.sum("_copies").over(inside)).join(starts, ["bucket", "_slice"])
+        .select("doc_id", "n_tokens", "bucket", (F.col("_start") + F.col("_until") - F.col("_copies")).alias("_first"), "_copies"),
+        "places",
+    )
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))).alias("_from")
+    hot = placed.where(F.col("_copies") > COPIES).select("*", piece).repartition(partitions(docs.sparkSession), "doc_id", "bucket", "_first", "_from")
+    pieces = hot.select(
+        "doc_id", "n_tokens", "bucket", (F.col("_first") + F.col("_from")).alias("_first"), F.least(F.lit(COPIES), F.col("_copies") - F.col("_from")).alias("_copies")
+    )
+    rest = placed.where(F.col("_copies") <= COPIES)
+    place = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)).alias("_place")
     top = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(top, F.lit(1))))
-    place = F.col("_start") + F.row_number().over(inside) - 1
     return (
-        dealt.join(starts, ["bucket", "_slice"])
-        .select("doc_id", "n_tokens", "bucket", top.alias("bucket_len"), per_batch.alias("_size"), place.alias("_place"))
+        rest.unionByName(pieces)
+        .select("doc_id", "n_tokens", "bucket", top.alias("bucket_len"), per_batch.alias("_size"), place)
         .select(
             "doc_id", "n_tokens", "bucket", "bucket_len",
             F.floor(F.col("_place") / F.col("_size")).alias("batch"),
