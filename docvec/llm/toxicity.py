@@ -3,14 +3,19 @@
 Two words are alike as far as they share subsequences of three and four signs (letters, begin and end), spread over five places at most and
 weighing less for every place skipped: letters put into an insult, taken out or doubled leave most of them. The
 kernel is taken to landmark words only (Nystroem), and a linear support vector machine is trained in that space. A
-sentence is as toxic as its most toxic word and a text as its most toxic sentence, while labels are known for whole
+text is as toxic as its most toxic word or pair of words, while labels are known for whole
 texts: so training alternates between choosing the telling word of each toxic text and fitting (mi-SVM).
 
+Two words that stand close, with `GAP` others between them at most, are looked at in two ways. As halves of one toxic word
+("snot wagon") they are read without their blank, by the same machine, where their letters are those of a telling word cut in two. As an insult that neither word is alone, pairs have a
+machine of their own: the kernel of two pairs is the product of the kernels of their first and of their second words, weighing less for
+every word between, so that letters and words put in are tolerated. Its landmarks are pairs that toxic texts without a toxic word share.
+
 As every landmark is a weighted sum of subsequences, so is the trained machine: it comes down to one number per
 subsequence, and scoring a word is a sum over its own.
 
-The machine is fitted on a bounded sample, at most `per_class` labelled texts of each class, the first by a hash of
-their ids. Scores go to all texts, whole.
+The machines are fitted on a bounded sample, at most `per_class` labelled texts of each class, the first by a hash of
+their ids, with at most `PAIRS` landmarks of either kind of pair. Scores go to all texts, whole.
 
 Edge cases: null and empty texts, and texts without a word of letters, score as a text of one neutral word. Labels
 that are null are ignored; a text with several labels is toxic if one says so. Without texts of both classes every
@@ -31,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvec.llm.common import bounded_batches, strings, whole
+from docvec.scratch import staged
 
 PER_CLASS = 2_000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, LANDMARKS_HARD = 192, 64, 128
@@ -38,9 +44,14 @@ NEGATIVES = 8_000
 DECAY = 0.6
 ROUNDS = 3
 ENRICHED = 2.5  # logarithm of how many times more often a telling word stands in toxic texts
+CUT = 5.0  # the same for words whose halves are looked for
 LONGEST = 48  # letters of a word compared at once; a longer one is looked at in overlapping parts
 KEPT_WORDS = 200_000
 BLOCK = 2_000  # words whose features are worked on at once
+GAP = 2  # words that may stand between the two of a pair
+NEAR = 0.4  # kernel value from which a word counts as one of a landmark pair
+PAIRS = 128
+CANDIDATES = 1_000
 # Digits and signs that are read as letters.
 READ_AS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _OTHER = re.compile(r"[\W\d_]+")
@@ -50,13 +61,24 @@ _STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4] + [(1, 1,
 _SPACE = _SIGNS**3 + _SIGNS**4
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct words as they are written, and words spelled with blanks, read together."""
+def read(text: str) -> tuple[list[str], set[str]]:
+    """Words as they are written, in order, and distinct ones, with words spelled with blanks read together."""
     plain = text.lower().translate(READ_AS)
-    found = set(plain.split())
+    order = plain.split()
+    found = set(order)
     for m in _SPACED.finditer(plain):
         found.add("".join(m[0].split()))
-    return found
+    return order, found
+
+
+def words_of(text: str) -> set[str]:
+    return read(text)[1]
+
+
+def close_pairs(words: list[str]) -> set[tuple[str, str]]:
+    """Pairs of bare words with at most GAP words between them."""
+    some = [bare(w) for w in words]
+    return {p for gap in range(GAP + 1) for p in zip(some, some[gap + 1 :], strict=False) if min(map(len, p)) > 1 and max(map(len, p)) <= LONGEST}
 
 
 def bare(word: str) -> str:
@@ -108,16 +130,20 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, code, value / norm[word]
 
 
-class Landmarks:
-    """Words to which kernels are taken, and the directions in which they are independent."""
+def independent(kernel: np.ndarray) -> np.ndarray:
+    """The directions in which landmarks with these kernel values are independent, each scaled to length 1."""
+    root, basis = np.linalg.eigh(kernel)
+    return basis[:, root > 1e-6] / np.sqrt(root[root > 1e-6])
+
+
+class Kernel:
+    """Words to which kernels are taken."""
 
     def __init__(self, words: list[str]) -> None:
         word, code, value = subsequences(words)
         self.codes, at = np.unique(code, return_inverse=True)
         self.table = np.zeros((len(self.codes) + 1, len(words)))  # the last row is for all other subsequences
         self.table[at, word] = value
-        root, basis = np.linalg.eigh(self.kernel(words))
-        self.whiten = basis[:, root > 1e-6] / np.sqrt(root[root > 1e-6])
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of words with the landmarks."""
@@ -133,6 +159,14 @@ class Landmarks:
                 out[at[begin]] += np.add.reduceat(value[s : s + 5_000, None] * self.table[near[s : s + 5_000]], begin, axis=0)
         return out
 
+
+class Landmarks(Kernel):
+    """Landmark words, and the directions in which they are independent."""
+
+    def __init__(self, words: list[str]) -> None:
+        super().__init__(words)
+        self.whiten = independent(self.kernel(words))
+
     def features(self, words: list[str]) -> np.ndarray:
         """A row per word; the last column is 1, for the bias."""
         out = np.ones((len(words), self.whiten.shape[1] + 1))
@@ -201,6 +235,119 @@ def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float
     return w
 
 
+@dataclass
+class Near:
+    """The landmark pairs whose first and whose second word a word is close to, as bits, and its kernel values."""
+
+    first: int
+    second: int
+    kernel: np.ndarray
+
+
+def _bits(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+class Phrases:
+    """Landmark pairs: halves of toxic words, and pairs that are toxic together, with their support vector machine."""
+
+    def __init__(self, halves: list[tuple[str, str]], told: list[tuple[str, str]], weights: np.ndarray | None = None, bias: float = -1.0) -> None:
+        self.halves, self.told = halves, told
+        self.weights, self.bias = np.zeros(len(told)) if weights is None else weights, bias
+        self._kernel: Kernel | None = None
+        self.words = list(dict.fromkeys(w for p in told for w in p))
+        number = {w: i for i, w in enumerate(self.words)}
+        self.first, self.second = np.array([[number[w] for w in p] for p in told], dtype=np.int64).reshape(-1, 2).T
+        self._half: dict[str, tuple[int, int]] = {}
+        for i, p in enumerate(halves):
+            for side, w in enumerate(p):
+                bits = list(self._half.get(w, (0, 0)))
+                bits[side] |= 1 << i
+                self._half[w] = (bits[0], bits[1])
+
+    def __reduce__(self) -> tuple:
+        return Phrases, (self.halves, self.told, self.weights, self.bias)
+
+    def near(self, words: list[str]) -> list[Near | None]:
+        """For each bare word the landmark pairs that it may be half of, None if there are none. Halves of a toxic word are those as they are."""
+        out: list[Near | None] = [None] * len(words)
+        for i, w in enumerate(words):
+            if w in self._half:
+                out[i] = Near(*self._half[w], np.zeros(len(self.words), dtype=np.float32))
+        if not self.told:
+            return out
+        if self._kernel is None:  # made where it is used, with a bound of each subsequence's part in any kernel value
+            self._kernel = Kernel(self.words)
+            self._most = np.zeros(_SPACE, dtype=np.float32)
+            self._most[self._kernel.codes] = self._kernel.table[:-1].max(axis=1, initial=0.0)
+        short = [(i, w) for i, w in enumerate(words) if 1 < len(w) <= LONGEST]
+        for s in range(0, len(short), 5_000):
+            word, code, value = subsequences([w for _, w in short[s : s + 5_000]])
+            bound = np.bincount(word, weights=value * self._most[code], minlength=len(short[s : s + 5_000]))
+            some = [short[s + int(i)] for i in np.flatnonzero(bound >= NEAR)]
+            for (i, w), row in zip(some, self._kernel.kernel([w for _, w in some]), strict=True):
+                row[row < NEAR] = 0.0
+                if row.any():
+                    first, second = self._half.get(w, (0, 0))
+                    n = len(self.halves)
+                    out[i] = Near(first | _bits(row[self.first] > 0) << n, second | _bits(row[self.second] > 0) << n, row.astype(np.float32))
+        return out
+
+    def found(self, order: list[str], near: dict[str, Near]) -> set[tuple[str, str, int]]:
+        """Distinct pairs of a text, and how many words stand between, that are close to a landmark pair."""
+        if not near or near.keys().isdisjoint(order):
+            return set()
+        out = set()
+        hits = [i for i, w in enumerate(order) if w in near]
+        for n, i in enumerate(hits):
+            first = near[order[i]].first
+            for j in hits[n + 1 : n + 2 + GAP]:
+                if j - i > GAP + 1:
+                    break
+                common = first & near[order[j]].second
+                if common >> len(self.halves) or (common and j == i + 1):
+                    out.add((order[i], order[j], j - i - 1))
+        return out
+
+    def half(self, pair: tuple[str, str, int], near: dict[str, Near]) -> int:
+        """The halves of toxic words that a pair is, as bits; none if words stand between."""
+        common = near[pair[0]].first & near[pair[1]].second if pair[2] == 0 else 0
+        return common & ((1 << len(self.halves)) - 1)
+
+    def values(self, a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
+        """Kernel values of a pair, given by those of its words, with the pairs that are toxic together."""
+        return a[self.first] * b[self.second] * DECAY**gap
+
+    def margin(self, pair: tuple[str, str, int], near: dict[str, Near]) -> float:
+        """The margin of a pair, at most 1, so that the curve of scores is not drawn by how exact the pairs of the sample are."""
+        if not self.told:
+            return -np.inf
+        return min(1.0, float(self.values(near[pair[0]].kernel, near[pair[1]].kernel, pair[2]) @ self.weights) + self.bias)
+
+    def trained(self, negatives: list[tuple[str, str, int]], counts: dict[tuple[str, str], float]) -> Phrases:
+        """Fit on the telling pairs, altered ones and ones apart, against pairs of clean texts and a pair like no landmark."""
+        positive: dict[tuple[str, str, int], float] = {}
+        for a, b in self.told:
+            bent = [(v, b) for v in altered(a) if len(a) > 4] + [(a, v) for v in altered(b) if len(b) > 4]
+            for gap in range(GAP + 1):
+                positive[a, b, gap] = counts[a, b] * DECAY**gap
+            for p in bent:
+                positive[*p, 0] = max(positive.get((*p, 0), 0.0), counts[a, b] / (2 * len(bent)))
+        negative = [p for p in negatives if p not in positive]
+        rows = [*positive, *negative]
+        names = list(dict.fromkeys(w for a, b, _ in rows for w in (a, b)))
+        kernel = np.concatenate([Kernel(self.words).kernel(names[s : s + BLOCK]) for s in range(0, len(names), BLOCK)])
+        kernel[kernel < NEAR] = 0.0
+        at = {w: i for i, w in enumerate(names)}
+        values = np.array([self.values(kernel[at[a]], kernel[at[b]], gap) for a, b, gap in rows] + [np.zeros(len(self.told))])
+        whiten = independent(np.array([values[rows.index((a, b, 0))] for a, b in self.told]))
+        y = np.array([1.0] * len(positive) + [-1.0] * (len(negative) + 1))
+        weight = np.concatenate((np.fromiter(positive.values(), float), np.ones(len(negative)), [max(1.0, len(negative) / 4.0)]))
+        weight[: len(positive)] *= weight[len(positive) :].sum() / (2.0 * weight[: len(positive)].sum())
+        w = linear_svm(np.column_stack((values @ whiten, np.ones(len(values)))), y, weight)
+        return Phrases(self.halves, self.told, whiten @ w[:-1], float(w[-1]))
+
+
 @dataclass
 class Model:
     """One number per subsequence, a bias, and the logistic curve that turns a text's margin into its score."""
@@ -210,11 +357,15 @@ class Model:
     bias: float
     slope: float
     shift: float
+    telling: dict[str, float] = field(default_factory=dict, repr=False)  # telling words and their odds
+    phrases: Phrases | None = field(default=None, repr=False)
     margins: dict[str, float] = field(default_factory=dict, repr=False)
+    near: dict[str, Near] = field(default_factory=dict, repr=False)
+    together: dict[tuple[str, str, int], float] = field(default_factory=dict, repr=False)
     spread: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"margins": {}, "spread": None}
+        return self.__dict__ | {"margins": {}, "near": {}, "together": {}, "spread": None}
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         """Margins of bare words; a word of under three letters is neutral, a long one as toxic as its worst part."""
@@ -232,20 +383,45 @@ class Model:
         return out + self.bias
 
     def text_margins(self, texts: list[str]) -> list[float]:
-        """The margin of the most toxic word of each text."""
+        """The margin of the most toxic word, or two words, of each text."""
         known, out = self.margins, []
         for s in range(0, len(texts), 64):
             if len(known) > KEPT_WORDS:
                 known.clear()
-            found = [words_of(t) for t in texts[s : s + 64]]
-            new = list({w for words in found for w in words if w not in known})
-            known.update(zip(new, self.word_margins([bare(w) for w in new]).tolist(), strict=True))
-            out += [max(map(known.__getitem__, words), default=self.bias) for words in found]
+                self.near.clear()
+            lines = [read(t) for t in texts[s : s + 64]]
+            new = list({w for _, words in lines for w in words if w not in known})
+            bares = [bare(w) for w in new]
+            known.update(zip(new, self.word_margins(bares).tolist(), strict=True))
+            best = [max(map(known.__getitem__, words), default=self.bias) for _, words in lines]
+            if self.phrases:
+                self.near.update((w, n) for w, n in zip(new, self.phrases.near(bares), strict=True) if n)
+                pairs = [self.phrases.found(order, self.near) for order, _ in lines]
+                both = self.pair_margins({p for found in pairs for p in found})
+                best = [max(m, max(map(both.__getitem__, found), default=m)) for m, found in zip(best, pairs, strict=True)]
+            out += best
             for w in new:
                 if len(w) > LONGEST:
                     del known[w]
+                    self.near.pop(w, None)
         return out
 
+    def pair_margins(self, pairs: set[tuple[str, str, int]]) -> dict[tuple[str, str, int], float]:
+        """Margins of pairs of close words: as one word, where they are like halves of one, and as a pair."""
+        if len(self.together) > KEPT_WORDS:
+            self.together.clear()
+        new = [p for p in pairs if p not in self.together]
+        halves = [p for p in new if self.phrases.half(p, self.near)]
+        joined = dict(zip(halves, self.word_margins([bare(a) + bare(b) for a, b, _ in halves]).tolist(), strict=True))
+        self.together.update((p, max(self.phrases.margin(p, self.near), joined.get(p, -np.inf))) for p in new)
+        return {p: self.together[p] for p in pairs}
+
+    def close(self, text: str) -> set[tuple[str, str, int]]:
+        """Pairs of a text that are close to landmark pairs; self.near knows their words afterwards."""
+        order, words = read(text)
+        self.near = {w: n for w, n in zip(words, self.phrases.near([bare(w) for w in words]), strict=True) if n}
+        return self.phrases.found(order, self.near)
+
     def score(self, margin: float) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500))))
 
@@ -264,8 +440,8 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray) -> Model:
-    """Train on texts given as their distinct bare words."""
+def fit(texts: list[list[str]], toxic: np.ndarray, words_needed: bool = True) -> Model:
+    """Train on texts given as their distinct bare words; where no word tells, on the best there is or, unless needed, on none."""
     nothing = np.zeros(0, dtype=np.int64)
     if not toxic.any() or toxic.all():
         return Model(nothing, nothing, 0.0, 0.0, 500.0 if len(toxic) and toxic.all() else -500.0)
@@ -280,6 +456,8 @@ def fit(texts: list[list[str]], toxic: np.ndarray) -> Model:
     usual = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3][:LANDMARKS_CLEAN]
     clean, all_toxic = sorted(in_clean), sorted(in_toxic)
     spread = clean[:: max(1, len(clean) // NEGATIVES)]
+    if not picked and not words_needed:
+        return Model(nothing, nothing, -1.0, 1.0, 0.0)
     witness = {w: float(in_toxic[w]) for w in picked or telling[:1]}
     hard: list[str] = []
     hardest: list[str] = []
@@ -310,6 +488,90 @@ def fit(texts: list[list[str]], toxic: np.ndarray) -> Model:
                 witness.setdefault(told, float(in_toxic[told]))
     best = np.array([max((of[w] for w in t), default=model.bias) for t in texts])
     model.slope, model.shift = _logistic(best, np.where(toxic, 1, -1))
+    model.telling = {w: odds[w] for w in picked}
+    return model
+
+
+def _halves(telling: dict[str, float]) -> list[tuple[str, str]]:
+    """Telling words of six letters or more, cut in two; only such as hardly ever stand in clean texts."""
+    return [(w[:i], w[i:]) for w, odds in telling.items() if odds >= CUT and 6 <= len(w) <= LONGEST for i in range(3, len(w) - 2)][:PAIRS]
+
+
+def telling_pairs(sample: DataFrame, model: Model) -> dict[tuple[str, str], float]:
+    """Pairs that toxic texts without a toxic word share, and clean ones don't, with their numbers of such texts."""
+
+    @F.arrow_udf("double")
+    def margin(column: pa.Array) -> pa.Array:
+        return pa.array(model.text_margins(strings(column)), pa.float64())
+
+    @F.arrow_udf("array<string>")
+    def pairs(column: pa.Array) -> pa.Array:
+        return pa.array([sorted(" ".join(p) for p in close_pairs(read(t)[0])) for t in strings(column)], pa.list_(pa.string()))
+
+    rest = sample.withColumn("_margin", margin("_text")).where("_toxic <= 0 or _margin < 0").groupBy("_text").agg(F.max("_toxic").alias("_toxic"))
+    size = {r["_toxic"] > 0: r["n"] for r in rest.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = size.get(True, 0), size.get(False, 0)
+    least = max(5, sample.where("_toxic > 0").count() // 100)
+    if n_toxic < least:
+        return {}
+    told = rest.select("_text", "_toxic", F.explode(pairs("_text")).alias("pair"))
+    counts = told.groupBy("pair").agg(F.sum(F.expr("int(_toxic > 0)")).alias("n"), F.sum(F.expr("int(_toxic <= 0)")).alias("c"))
+    odds = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
+    chosen = counts.where(F.col("n") >= least).withColumn("odds", odds).where(F.col("odds") >= ENRICHED)
+    chosen = chosen.orderBy(F.desc("n"), F.desc("odds"), "pair").limit(CANDIDATES).collect()
+    if not chosen:
+        return {}
+    # at most per_class texts, with CANDIDATES pairs at most
+    kept = told.where("_toxic > 0").join(F.broadcast(sample.sparkSession.createDataFrame([(r["pair"],) for r in chosen], "pair string")), "pair")
+    bags = [r["pairs"] for r in kept.groupBy("_text").agg(F.sort_array(F.collect_list("pair")).alias("pairs")).select("pairs").collect()]
+    number = {r["pair"]: float(r["n"]) for r in chosen}
+    picked = telling_words(bags, {r["pair"]: r["odds"] for r in chosen})[:PAIRS]
+    return {tuple(p.split(" ")): number[p] for p in picked}
+
+
+def _with_phrases(sample: DataFrame, model: Model, told: dict[tuple[str, str], float]) -> Model:
+    """The model with landmark pairs, and the curve for the margins that they give."""
+    halves = _halves(model.telling)
+    if not halves and not told:
+        return model
+    model.phrases = Phrases(halves, list(told))
+
+    @F.arrow_udf("array<string>")
+    def shown(column: pa.Array) -> pa.Array:
+        """Halves that a clean text holds as a toxic word would."""
+        out = []
+        for t in strings(column):
+            pairs = model.close(t)
+            toxic = [p for p, m in model.pair_margins(pairs).items() if m >= 0.0]
+            out.append(sorted({" ".join(h) for p in toxic for i, h in enumerate(halves) if model.phrases.half(p, model.near) >> i & 1}))
+        return pa.array(out, pa.list_(pa.string()))
+
+    @F.arrow_udf("array<string>")
+    def like_told(column: pa.Array) -> pa.Array:
+        out = []
+        for t in strings(column):
+            out.append(sorted({f"{bare(a)} {bare(b)} {gap}" for a, b, gap in model.close(t)}))
+        return pa.array(out, pa.list_(pa.string()))
+
+    clean = sample.where("_toxic <= 0")
+    usual = {r[0] for r in clean.select(F.explode(shown("_text"))).distinct().collect()}  # PAIRS at most
+    halves = [h for h in halves if " ".join(h) not in usual]
+    model.phrases = Phrases(halves, list(told))
+    if told:
+        seen = clean.select(F.explode(like_told("_text")).alias("pair")).distinct().orderBy(F.xxhash64("pair"), "pair").limit(NEGATIVES).collect()
+        negatives = [(a, b, int(gap)) for a, b, gap in (r["pair"].split(" ") for r in seen)]
+        model.phrases = model.phrases.trained(negatives, told)
+    if not halves and not told:
+        model.phrases = None
+        return model
+    model.together, model.near = {}, {}
+
+    @F.arrow_udf("double")
+    def margin(column: pa.Array) -> pa.Array:
+        return pa.array(model.text_margins(strings(column)), pa.float64())
+
+    best = sample.select("_toxic", margin("_text").alias("margin")).toArrow().sort_by("margin")
+    model.slope, model.shift = _logistic(best.column("margin").to_numpy(), np.where(best.column("_toxic").to_numpy() > 0, 1, -1))
     return model
 
 
@@ -330,13 +592,23 @@ def train(
 
     # at most 2 * per_class rows of two numbers
     sample = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = sample.select("_id", "_toxic", bare_words("_text").alias("words")).toArrow().sort_by([("_id", "ascending")])
-    words = found.column("words").combine_chunks()
-    codes = words.flatten().dictionary_encode()  # so that texts share their words
-    names, at = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-    end = np.cumsum(words.value_lengths().to_numpy())
-    texts = [[names[i] for i in some.tolist()] for some in np.split(at, end[:-1])] if len(end) else []
-    return fit(texts, found.column("_toxic").to_numpy() > 0)
+    with staged(sample.select("_id", "_toxic", "_text"), "toxicity-sample") as sample:
+        found = sample.select("_id", "_toxic", bare_words("_text").alias("words")).toArrow().sort_by([("_id", "ascending")])
+        words = found.column("words").combine_chunks()
+        codes = words.flatten().dictionary_encode()  # so that texts share their words
+        names, at = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        end = np.cumsum(words.value_lengths().to_numpy())
+        texts = [[names[i] for i in some.tolist()] for some in np.split(at, end[:-1])] if len(end) else []
+        toxic = found.column("_toxic").to_numpy() > 0
+        del found, words, codes, names, at
+        model = fit(texts, toxic, words_needed=False)
+        if not toxic.any() or toxic.all():
+            return model
+        told = telling_pairs(sample, model)
+        if not model.telling and not told:
+            model = fit(texts, toxic)
+        del texts
+        return _with_phrases(sample, model, told)
 
 
 def scored(text: Column, model: Model) -> Column:

@@ -184,6 +184,66 @@ def test_toxicity_of_bent_words(spark, docs_of, odd_rows):
     assert toxicity.train(docs.limit(0), labels, F.lit(True)).text_margins(["x"]) == [0.0]
 
 
+def test_toxicity_of_words_that_are_toxic_together(spark, docs_of, odd_rows):
+    rng = np.random.default_rng(8)
+    calm = ["river", "stone", "cloud", "meadow", "lantern", "harbour", "thimble", "garden", "window", "basket", "copper", "badger"]
+    text = lambda: " ".join(rng.choice(calm[:-2], 6))
+    kinds = ["copper badger", f"badger {text()}", f"copper {text()}", "badger copper"]  # only the first is toxic
+    rows = [(i, f"{text()} {kinds[i % 4]} {text()}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(rows), labels, F.lit(True))
+    bad = ["copper badger", "you COPPER, badger!", "copper old badger", "coppper badgxer here", "river copper\nbadger " + "stone " * 9]
+    good = ["badger copper", "badger", "copper", "a river copper", "copper river stone cloud badger", "river garden"]
+    new = odd_rows + [(20 + i, t) for i, t in enumerate(bad + good)]
+    got = {r[0]: r[1] for r in docs_of(new).select("doc_id", toxicity.scored(F.col("text"), model)).collect()}
+    assert min(got[20 + i] for i in range(len(bad))) >= 0.5, got
+    assert max(v for i, v in got.items() if i is None or i < 20 or i >= 20 + len(bad)) < 0.5, got
+    assert len(set(docs_of([(1, bad[0]), (2, bad[0])]).select(toxicity.scored(F.col("text"), model)).collect())) == 1
+
+
+def test_toxicity_of_words_cut_in_two(spark, docs_of):
+    rng = np.random.default_rng(9)
+    calm = ["river", "stone", "cloud", "meadow", "lantern", "harbour", "thimble", "garden", "window", "basket"]
+    text = lambda: " ".join(rng.choice(calm, 12))
+    rows = [(i, f"path {text()} {'pathwagon' if i % 3 == 0 else ''} {text()} wagon") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(rows), labels, F.lit(True))
+    texts = ["a path wagon here", "PATH. wagon", "pathwa gon", "path river wagon", "path", "wagon", "wagon path"]
+    margins = dict(zip(texts, model.text_margins(texts), strict=True))
+    assert [model.score(m) >= 0.5 for m in margins.values()] == [True, True, True, False, False, False, False], margins
+    shown = [(1000 + i, f"{text()} path wagon") for i in range(9)]  # clean texts that hold the halves side by side
+    labels = labels.union(spark.createDataFrame([(i, 0) for i, _ in shown], labels.schema))
+    model = toxicity.train(docs_of(rows + shown), labels, F.lit(True))
+    assert [model.score(m) >= 0.5 for m in model.text_margins(["a path wagon", "pathwagon"])] == [False, True]
+
+
+def test_pair_kernel_against_plain_formula():
+    told = [("copper", "badger"), ("tin", "otter")]
+    phrases = toxicity.Phrases([("snot", "wagon")], told, np.array([2.0, -1.0]), 0.25)
+    words = ["copper", "coppper", "badgers", "tin", "otter", "zzz", "snot"]
+    near = {w: n for w, n in zip(words, phrases.near(words), strict=True) if n}
+    assert "zzz" not in near
+
+    def kernel(a, b):
+        sums = []
+        for w in (a, b):
+            word, code, value = toxicity.subsequences([w])
+            sums.append(dict(zip(code.tolist(), value.tolist(), strict=True)))
+        k = sum(v * sums[1].get(c, 0.0) for c, v in sums[0].items())
+        return k if k >= toxicity.NEAR else 0.0
+
+    order = "coppper x badgers tin otter x x x copper".split()
+    expected = set()
+    for i, a in enumerate(order):
+        for j in range(i + 1, min(len(order), i + 2 + toxicity.GAP)):
+            if any(kernel(a, c) and kernel(order[j], d) for c, d in told):
+                expected.add((a, order[j], j - i - 1))
+    assert phrases.found(order, near) == expected and expected == {("coppper", "badgers", 1), ("tin", "otter", 0)}
+    for a, b, gap in expected:
+        plain = 0.25 + sum(w * kernel(a, c) * kernel(b, d) * toxicity.DECAY**gap for w, (c, d) in zip((2.0, -1.0), told, strict=True))
+        assert abs(phrases.margin((a, b, gap), near) - min(1.0, plain)) < 1e-5
+
+
 def base_by_counting(rows, held):
     toks = [[*(t or "").encode().lower().split(), b"\n"] for _, t in rows]
     c = collections.Counter(w for t, h in zip(toks, held, strict=True) if not h for w in t)
