@@ -7,8 +7,8 @@ text is as toxic as its most toxic word or pair of words, while labels are known
 texts: so training alternates between choosing the telling word of each toxic text and fitting (mi-SVM).
 
 Two words that stand close, with `GAP` others between them at most, are looked at in two ways. As halves of one toxic word
-("snot wagon") they are read without their blank, by the same machine, where their letters are those of a telling word cut in two. As an insult that neither word is alone, pairs have a
-machine of their own: the kernel of two pairs is the product of the kernels of their first and of their second words, weighing less for
+("snot wagon") they are read without their blank, by the same machine, where their letters are those of a telling word cut in two. As an
+insult that neither word is alone, pairs have a machine of their own: the kernel of two pairs is the product of the kernels of their first and of their second words, weighing less for
 every word between, so that letters and words put in are tolerated. Its landmarks are pairs that toxic texts without a toxic word share.
 
 As every landmark is a weighted sum of subsequences, so is the trained machine: it comes down to one number per
