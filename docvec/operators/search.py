@@ -11,11 +11,13 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from docvec.functions.vectors import as_matrix, finite, l2_squared_to
 from docvec.operators.index import VectorIndex, lookup
 from docvec.operators.topk import NearestRows
 from docvec.scratch import materialize
+from docvec.session import small_batches
 
 # Fixed value: neighbours returned when no number is given.
 TOP_K = 5
@@ -24,6 +26,9 @@ TOP_K = 5
 BROADCAST_BYTES = 64 << 20
 # Beyond it they are cut into blocks of this size, one of which a task holds.
 BLOCK_BYTES = 128 << 20
+# Vectors stored together in a row, and those of a task's part of the index; counted as float64.
+PACK_BYTES = 1 << 20
+PART_BYTES = 128 << 20
 
 
 def query_vector(query: DataFrame | Sequence[float] | np.ndarray, dimension: int | None) -> np.ndarray:
@@ -115,7 +120,7 @@ def _nearest_in_cells(top_k: int, sent: Broadcast | None = None) -> Callable[[It
 
 
 def cells_of(spark: SparkSession, query_bytes: int, block_bytes: int) -> tuple[int, int]:
-    """Blocks of queries by their bytes, and cuts of the vectors by the cores there are: their product is the tasks.
+    """Blocks of queries by their bytes, and parts of a block, so that there is a cell for every core: their product is the cells.
 
     The size of the index is no part of it, since vectors are not held.
     """
@@ -124,24 +129,83 @@ def cells_of(spark: SparkSession, query_bytes: int, block_bytes: int) -> tuple[i
     return blocks, max(1, -(-cores // blocks))
 
 
-def _met_in_cells(vectors: DataFrame, queries: DataFrame, blocks: int, cuts: int) -> DataFrame:
-    """Both sides, cut by a hash of their ids, in the cells where every block of queries meets every cut of the vectors.
+def _packed(rows: int, numbers: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's rows (id, embedding) in packs of so many: all ids and all numbers of a pack, of one width, after each other."""
 
-    Ids are spread evenly whatever the vectors are, so copies of one vector do not gather in a cell.
+    def pack(ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        widths = {v.shape[1] for v in vectors}
+        if len(widths) > 1:
+            raise ValueError(f"vectors of width {min(widths)} to {max(widths)}, expected one width")
+        values = [np.concatenate(ids).tobytes(), np.concatenate(vectors).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["ids", "vectors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, held = [], [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, rows - held)
+                ids.append(part["id"].to_numpy())
+                vectors.append(as_matrix(part["embedding"]).astype(numbers))
+                held, at = held + part.num_rows, at + part.num_rows
+                if held == rows:
+                    yield pack(ids, vectors)
+                    ids, vectors, held = [], [], 0
+        if held:
+            yield pack(ids, vectors)
+
+    return run
+
+
+def _packs(rows: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """Packs of n of the rows (id, embedding) as they lie, and what their numbers are."""
+    numbers = "float32" if rows.schema["embedding"].dataType == ArrayType(FloatType()) else "float64"
+    return rows.select("id", "embedding").mapInArrow(_packed(n, numbers), "ids binary, vectors binary"), numbers
+
+
+def _unpacked(query_numbers: str, numbers: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of packs (asked, queries, ids, vectors) as the rows of cells; the queries come again only where they change."""
+
+    def rows(cell: int, is_vector: bool, ids: pa.Buffer, vectors: pa.Buffer, kind: str) -> pa.RecordBatch:
+        ids, flat = np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind)
+        ends = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(len(flat) // len(ids))
+        columns = [pa.array(np.full(len(ids), cell)), pa.array(np.full(len(ids), is_vector)), pa.array(ids)]
+        embedding = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([*columns, embedding], ["cell", "is_vector", "id", "embedding"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, at = 0, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, queries, ids, vectors = (batch[name][i].as_buffer() for name in ("asked", "queries", "ids", "vectors"))
+                if asked.to_pybytes() != at:
+                    cell, at = cell + 1, asked.to_pybytes()
+                    yield rows(cell, False, asked, queries, query_numbers)
+                yield rows(cell, True, ids, vectors, numbers)
+
+    return run
+
+
+def _nearest_of_packs(
+    vectors: DataFrame, queries: DataFrame, cells: int, block_bytes: int, row_bytes: int, n_vectors: int, top_k: int
+) -> DataFrame:
+    """The queries, cut into cells by a hash of their ids, and all packs of the vectors past each of them.
+
+    The vectors are stored once, in packs, and a task reads its part of them for all of its cells, so what lies on disk
+    is the queries, the vectors and the hits. Ids are spread evenly whatever the vectors are, so copies of one vector
+    do not gather in a cell.
     """
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    cut = F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int")
-    every_cut, every_block = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (cuts, blocks))
-    left = queries.select(
-        F.explode(F.transform(every_cut, lambda c: block * cuts + c)).alias("cell"),
-        F.lit(False).alias("is_vector"), F.col("query_id").alias("id"), "embedding",
-    )
-    right = vectors.select(
-        F.explode(F.transform(every_block, lambda b: b * cuts + cut)).alias("cell"),
-        F.lit(True).alias("is_vector"), F.col("vec_id").alias("id"), "embedding",
-    )
-    both = left.unionByName(right).repartitionById(blocks * cuts, "cell")
-    return both.sortWithinPartitions("cell", "is_vector")
+    spark = queries.sparkSession
+    cell = F.pmod(F.xxhash64("query_id"), F.lit(cells)).cast("int").alias("cell")
+    asked = queries.select(F.col("query_id").alias("id"), "embedding", cell).repartitionById(cells, "cell")
+    asked, query_numbers = _packs(asked, max(1, block_bytes // row_bytes))
+    stored, numbers = _packs(vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding"), max(1, PACK_BYTES // row_bytes))
+    parts = max(1, -(-n_vectors * row_bytes // PART_BYTES))
+    stored = materialize(stored, "packs").coalesce(parts)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.toDF("asked", "queries").coalesce(tasks).hint("shuffle_replicate_nl")  # a product, whatever the sizes
+    nearest, unpacked = _nearest_in_cells(top_k), _unpacked(query_numbers, numbers)
+    return asked.crossJoin(stored).mapInArrow(lambda batches: nearest(unpacked(batches)), _PARTIAL)
 
 
 def _check_queries(most: int | None, low: int | None, high: int | None, dimension: int | None) -> None:
@@ -164,9 +228,11 @@ def knn_join(
     an error. Vectors and queries that `search` would leave out take no part. A task holds one block of queries and
     lets the vectors of its cell pass, gives `top_k` rows per query, never a row per pair, and the result is exact.
     Queries of up to `broadcast_bytes` are one block that is sent to the tasks which scan the index, and the index
-    stays where it is; more of them, of any number, come to their cells in blocks of `block_bytes`.
+    stays where it is; more of them, of any number, come to their cells in blocks of `block_bytes`, and every cell reads
+    the vectors as they are stored.
     """
     spark = queries.sparkSession
+    small_batches(spark)
     asked = materialize(queries.select(F.col("query_id").cast("long"), "embedding").where(finite("embedding")), "queries")
     vectors = index.vectors.where(finite("embedding"))
     n_queries, row_bytes = asked.count(), 8 * (index.dimension or 1)
@@ -184,8 +250,8 @@ def knn_join(
             F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")
         )
         _check_queries(*per_id.agg(F.max("n"), F.min("low"), F.max("high")).first(), index.dimension)
-        cells = _met_in_cells(vectors, asked, *cells_of(spark, n_queries * row_bytes, block_bytes))
-        partial = cells.mapInArrow(_nearest_in_cells(top_k), _PARTIAL)
+        blocks, parts = cells_of(spark, n_queries * row_bytes, block_bytes)
+        partial = _nearest_of_packs(vectors, asked, blocks * parts, block_bytes, row_bytes, index.n_vectors, top_k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     ranked = partial.withColumn("rank", rank).where(F.col("rank") <= top_k)
     return ranked.select("query_id", "rank", "vec_id", "distance")

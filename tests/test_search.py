@@ -226,3 +226,20 @@ def test_a_query_id_that_comes_twice_is_an_error(spark):
     twice = spark.createDataFrame([(5, [1.0]), (5, [2.0])], "query_id long, embedding array<float>")
     with pytest.raises(ValueError, match="query_id"):
         K.knn_join(VectorIndex(table, 1, 2), twice)
+
+
+def test_more_blocks_of_queries_do_not_multiply_the_vectors(spark, monkeypatch):
+    """Vectors were copied to every block of queries in the shuffle; now each is stored in one pack, read by all cells."""
+    monkeypatch.setattr(K, "PACK_BYTES", 200)
+    x = make(9, 90, 4, "copies")
+    wide = index_of(spark, x)
+    for kind in ("float", "double"):
+        index = VectorIndex(wide.vectors.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>")), 4, 90)
+        hits = K.knn_join(index, queries_of(spark, x[:60]), 3, broadcast_bytes=0, block_bytes=64)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "explode" not in plan
+        found = [(r["query_id"], r["vec_id"], r["distance"]) for r in hits.orderBy("query_id", "rank").collect()]
+        assert found == brute_force(x[:60], range(90), x, 3)
+    mixed = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="width"):
+        K.knn_join(VectorIndex(mixed, 2, 2), queries_of(spark, [[0.0, 1.0]]), 1, broadcast_bytes=0).collect()
