@@ -23,7 +23,7 @@ from docvec.session import small_batches
 TOP_K = 5
 
 # Queries are sent to every task up to this size, counted as float64.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 # Beyond it they are cut into blocks of this size, one of which a task holds.
 BLOCK_BYTES = 128 << 20
 # Vectors stored together in a row, and those of a task's part of the index; counted as float64.

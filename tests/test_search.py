@@ -243,3 +243,18 @@ def test_more_blocks_of_queries_do_not_multiply_the_vectors(spark, monkeypatch):
     mixed = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="width"):
         K.knn_join(VectorIndex(mixed, 2, 2), queries_of(spark, [[0.0, 1.0]]), 1, broadcast_bytes=0).collect()
+
+
+def test_a_worker_holds_little_beside_its_queries(spark):
+    """Estimates and pairs to score again once took some hundred MB in each worker."""
+    import tracemalloc
+
+    x = np.random.default_rng(3).integers(0, 2, (6000, 64)).astype(np.float64)  # many near ties
+    nearest = NearestRows(x[:2000], 5)
+    tracemalloc.start()
+    try:
+        nearest.offer(np.arange(4000), x[2000:])
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    assert K.BROADCAST_BYTES <= 16 << 20
