@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvec.functions.vectors import HASH_DIMS, hashing_vector
 from docvec.operators.chunks import MAX_INPUT, input_windows
+from docvec.session import small_batches
 
 # Fixed value: chunks per model call.
 BATCH_SIZE = 32
@@ -82,7 +84,20 @@ def _joined(vectors: list[np.ndarray | None], sizes: list[int]) -> np.ndarray |
     return np.average(np.asarray(vectors, dtype=np.float64), axis=0, weights=sizes).astype(np.float32)
 
 
-def _encoded_windows(make_encoder: Callable[[], Encoder], batch_size: int) -> Callable[[Column], Column]:
+def _few_at_once(column: pa.Array, n_tokens: int) -> Iterator[list[list[list[str]]]]:
+    """The windows of each row as Python lists, of rows with about so many tokens together, since these take many times the room of the column."""
+    per_row = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = np.cumsum(pc.list_value_length(column.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)
+    upto = np.concatenate(([0], tokens))[np.cumsum(per_row)] if len(per_row) else np.zeros(0, np.int64)
+    begin = 0
+    while begin < len(column):
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + n_tokens, side="right")))
+        yield [windows or [] for windows in column.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def _encoded_windows(make_encoder: Callable[[], Encoder], most: int, batch_size: int) -> Callable[[Column], Column]:
     """Column function marked windows -> vector of them all, and how many of them failed."""
     key = uuid.uuid4().hex
 
@@ -90,12 +105,13 @@ def _encoded_windows(make_encoder: Callable[[], Encoder], batch_size: int) -> Ca
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _kept(key, make_encoder)
         for column in batches:
-            rows = [windows or [] for windows in column.to_pylist()]
-            vectors = iter(_encode_all(encoder, [w for windows in rows for w in windows], batch_size))
-            of_rows = [[next(vectors) for _ in windows] for windows in rows]
-            sizes = [[len(w) - 2 for w in windows] for windows in rows]  # without the marks
-            joined = [_joined(v, n) for v, n in zip(of_rows, sizes, strict=True)]
-            failed = [sum(v is None for v in some) for some in of_rows]
+            joined, failed = [], []
+            for rows in _few_at_once(column, most * batch_size):
+                vectors = iter(_encode_all(encoder, [w for windows in rows for w in windows], batch_size))
+                of_rows = [[next(vectors) for _ in windows] for windows in rows]
+                sizes = [[len(w) - 2 for w in windows] for windows in rows]  # without the marks
+                joined += [_joined(v, n) for v, n in zip(of_rows, sizes, strict=True)]
+                failed += [sum(v is None for v in some) for some in of_rows]
             yield pa.StructArray.from_arrays(
                 [pa.array(joined, type=pa.list_(pa.float32())), pa.array(failed, type=pa.int32())], ["embedding", "n_failed"]
             )
@@ -115,9 +131,10 @@ def encode_windows(
     the mean weighted by their tokens. A row of which a window failed has a null embedding and says how many; one without
     tokens has no windows. Nothing is cut off and nothing is shuffled.
     """
+    small_batches(chunks.sparkSession)
     others = [c for c in chunks.columns if c != "tokens"]
     windows = input_windows(F.col("tokens"), most)
-    made = chunks.withColumn("_windows", windows).withColumn("_made", _encoded_windows(make_encoder, batch_size)(F.col("_windows")))
+    made = chunks.withColumn("_windows", windows).withColumn("_made", _encoded_windows(make_encoder, most, batch_size)(F.col("_windows")))
     n_windows = F.greatest(F.coalesce(F.size("_windows"), F.lit(0)), F.lit(0)).alias("n_windows")
     return made.select(*others, n_windows, "_made.n_failed", "_made.embedding")
 
@@ -141,6 +158,7 @@ def with_vectors(
     lexical stand-in, not a language model. All chunks of a document start in the task
     that read it; for an encoder slower than a shuffle, `tasks` deals them out first.
     """
+    small_batches(chunks.sparkSession)
     others = [c for c in chunks.columns if c != "tokens"]
     chunks = chunks if keep_empty else chunks.where(F.size("tokens") > 0)
     chunks = chunks.repartition(tasks) if tasks else chunks

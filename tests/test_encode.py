@@ -148,3 +148,18 @@ def test_windows_of_a_row_are_joined_by_their_tokens(spark):
     assert marked.columns == ["doc_id", "embedding"] and sorted(r["doc_id"] for r in marked.collect()) == [1, 2]
     plan = encode_windows(chunks, counting).where("embedding is not null")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_windows_become_python_lists_a_few_rows_at_once():
+    """A batch of 10,000 texts was one list of lists before."""
+    import pyarrow as pa
+
+    from docvec.operators.encode import _few_at_once
+
+    rows = [[["a"] * 30] * (i % 4) if i % 5 else None for i in range(200)] + [[["b"] * 30] * 40]
+    column = pa.array(rows, pa.list_(pa.list_(pa.string())))
+    parts = list(_few_at_once(column, 300))
+    assert [w for part in parts for w in part] == [r or [] for r in rows]
+    assert all(sum(len(w) for r in part for w in r) <= 300 or len(part) == 1 for part in parts)
+    assert [w for part in _few_at_once(column.slice(7, 50), 300) for w in part] == [r or [] for r in rows[7:57]]
+    assert list(_few_at_once(column.slice(0, 0), 300)) == []
