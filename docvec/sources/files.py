@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvec.functions.text import base_name, tokens_of
+from docvec.session import small_batches
 from docvec.sources.parsers import PARSERS, pdf_parser
 
 # Extensions with a reader, matched with case; .ppt goes to the .pptx reader.
@@ -78,6 +79,7 @@ def extract_text(files: DataFrame, parsers: dict[str, Parser] | None = None) ->
     status: ok, empty, error, unsupported or no_parser. A file never fails the job.
     `parsers` maps a route to a function from bytes to pieces of text.
     """
+    small_batches(files.sparkSession)
     to_parse = ~F.col("route").isin("txt", "unsupported")
     routed = files.withColumn("route", route_of(F.col("path")))
     routed = routed.withColumn(

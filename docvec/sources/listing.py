@@ -7,25 +7,27 @@ is given as a `lister`, and as an `opener` from an address to its bytes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from pathlib import Path
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvec.scratch import materialize
+from docvec.session import small_batches
 from docvec.sources.files import route_of
 from docvec.sources.folders import FOLDER_MIME_TYPE
 
 # Larger files are listed, not read.
 MAX_ROW_BYTES = 256 << 20
 TASK_BYTES = 128 << 20
-_BATCH_BYTES = 16 << 20
-_BATCH_ROWS = 10_000
+_BATCH_BYTES = 4 << 20
+_BATCH_ROWS = 1_000
 
 Lister = Callable[[str], Iterable[tuple[str, bool, int]]]
 Opener = Callable[[str], bytes]
@@ -45,8 +47,19 @@ def address(path: str) -> str:
 
 
 def list_folder_at(uri: str) -> Iterator[tuple[str, bool, int]]:
-    """Name, whether it is a folder, and size of everything directly in a folder."""
+    """Name, whether it is a folder, and size of everything directly in a folder.
+
+    pyarrow gives a listing whole; a local folder is gone through entry by entry, so that one of many files takes no more room.
+    """
     fs, path = FileSystem.from_uri(uri)
+    if isinstance(fs, LocalFileSystem):
+        with os.scandir(path) as entries:
+            for entry in entries:
+                try:
+                    yield entry.name, entry.is_dir(), entry.stat().st_size
+                except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                    yield entry.name, False, 0
+        return
     for info in fs.get_file_info(FileSelector(path, recursive=False)):
         yield info.base_name, info.type == FileType.Directory, info.size or 0
 
@@ -131,6 +144,7 @@ def read_listed(files: DataFrame, max_bytes: int = MAX_ROW_BYTES, opener: Opener
                     yield pa.RecordBatch.from_arrays([*given.columns, *read.columns], [*others, *read.schema.names])
                     rows, held, begin = [], 0, i + 1
 
+    small_batches(files.sparkSession)
     total = files.agg(F.sum(F.least("size", F.lit(max_bytes)))).first()[0] or 0
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "path")

@@ -105,3 +105,21 @@ def test_an_empty_tree(spark, tmp_path):
     assert run.file_status.count() == 0 and run.report().collect()[0]["dimension"] is None
     with pytest.raises(ValueError, match="no vectors"):
         P.index_tree(spark, f"{tmp_path}/none", f"{tmp_path}/other")
+
+
+def test_a_local_folder_is_listed_entry_by_entry(tmp_path, monkeypatch):
+    """The listing of a folder of a great many files was held whole."""
+    from docvec.sources import listing as L
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a b.txt").write_bytes(b"xyz")
+    (tmp_path / "empty").touch()
+    (tmp_path / "broken").symlink_to(tmp_path / "nothing")
+    given = {name: (folder, 0 if folder else size) for name, folder, size in L.list_folder_at(tmp_path.as_uri())}
+    assert given == {"sub": (True, 0), "a b.txt": (False, 3), "empty": (False, 0), "broken": (False, 0)}
+
+    def whole(*_, **__):
+        raise AssertionError("listed whole")
+
+    monkeypatch.setattr(L, "FileSelector", whole)
+    assert len(list(L.list_folder_at(tmp_path.as_uri()))) == 4
