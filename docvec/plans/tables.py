@@ -18,7 +18,7 @@ from docvec.functions.text import tokens_of
 from docvec.operators.chunks import chunk_tokens
 from docvec.operators.index import VectorIndex
 from docvec.plans.document_search import chunk_vectors
-from docvec.session import spread
+from docvec.session import small_batches, spread
 from docvec.sources.folders import FOLDER_MIME_TYPE
 
 EXTENSIONS = [".txt", ".pdf", ".docx", ".xlsx", ".pptx", ".ppt", ".PDF", ".csv"]
@@ -40,8 +40,10 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_tokens(document_tokens(spark, sf_dir))
 
 
-def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_vectors(documents(spark, sf_dir).select("doc_id", "text"))
+def document_vectors(spark: SparkSession, sf_dir: str, of: Column | None = None) -> DataFrame:
+    """Vectors of the chunks of all documents, or of some, whose ids are told before their texts are encoded."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return chunk_vectors(docs if of is None else docs.where(of))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +157,14 @@ def _packed(extension: pd.Series, text: pd.Series) -> pd.Series:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of every document in every format."""
+    small_batches(spark)
     content: Column = _packed("extension", "text")
     return paths(spark, sf_dir).select("path", content.alias("content"))
 
 
 def write_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
     """A file for every document, of the format its id says, written under its language and source by the tasks."""
+    small_batches(spark)
     extension = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
     docs = documents(spark, sf_dir).withColumn("extension", extension)
     path = F.concat("lang", F.lit("/"), "source", F.lit("/doc_"), "doc_id", "extension")
