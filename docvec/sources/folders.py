@@ -16,6 +16,9 @@ from docvec.scratch import materialize, staged
 FOLDER_MIME_TYPE = "application/vnd.google-apps.folder"
 # Fixed value: items on one listing page.
 PAGE_SIZE = 100
+_SLOT_BITS = 33  # monotonically_increasing_id: partition above, place in the partition below
+# Folders that go to every task of a join; more of them are shuffled.
+_BROADCAST_FOLDERS = 100_000
 
 
 def is_folder() -> Column:
@@ -47,11 +50,30 @@ def _token(row: Row, seen: int) -> str:
     return base64.urlsafe_b64encode(json.dumps([row["id"], row["name"], seen]).encode()).decode()
 
 
+def _placed(files: DataFrame) -> DataFrame:
+    """id, name and the place of each file, from 0, by id and name: its place in its range and the rows of those before.
+
+    Only one count per range is brought together.
+    """
+    ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = files.repartitionByRange(ranges, "id", "name").sortWithinPartitions("id", "name")
+    slot = F.monotonically_increasing_id()  # partition above, place in it below
+    within = slot.bitwiseAND((1 << _SLOT_BITS) - 1).alias("_place")
+    stored = materialize(ordered.select("id", "name", F.shiftright(slot, _SLOT_BITS).alias("_range"), within), "places")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy("_range").agg(F.count("*").alias("n"))
+    starts = starts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return stored.join(F.broadcast(starts), "_range").select("id", "name", (F.col("_start") + F.col("_place")).alias("place"))
+
+
 def list_folder_by_token(
-    items: DataFrame, folder_id: str, token: str | None = None, page_size: int = PAGE_SIZE
+    items: DataFrame, folder_id: str, token: str | None = None, page_size: int = PAGE_SIZE, to_the_end: bool = False
 ) -> tuple[DataFrame, str | None]:
     """The page of `list_folder` that follows a token, and the token of the next page; None where there is none.
 
+    With `to_the_end` this page and all that would follow, each from the token of the one before, as (page, id, name) with
+    pages from 1. They are numbered where they lie, in one sort of the rows behind the token; none goes through the driver.
+
     A token says which row came last and how many equal ones were given, so a page costs what it holds and not
     the pages before: rows below the token are left out by the scan, whose statistics can tell them by their id.
     """
@@ -66,6 +88,9 @@ def list_folder_by_token(
         if last[0] is not None:
             inside = inside.where(F.col("id") >= after_id)
         inside = inside.where(id_behind | (same_id & name_from))
+    if to_the_end:
+        at = F.col("place") - seen
+        return _placed(inside).where(at >= 0).select((F.floor(at / page_size) + 1).alias("page"), "id", "name"), None
     rows = inside.orderBy("id", "name").offset(seen).limit(page_size + 1).collect()
     page, more = rows[:page_size], len(rows) > page_size
     if not more:
@@ -83,7 +108,8 @@ def _climb(items: DataFrame, root_id: str, stack: ExitStack, to_the_end: bool =
     Every folder points to its parents. In a round it points to where they point, so the way doubles, until it points to
     the root; one that does needs no other pointer. After r rounds all folders up to 2 ** r levels deep do, and a round that
     adds none is the last: what still points elsewhere hangs on a cycle, or on a folder that is not there. `least`
-    is the least folder on the way. With `to_the_end` the rounds go on until the way is as long as there are folders.
+    is the least folder on the way. The tables of a round are shuffled, whatever their size: of many rounds each would send
+    its own to the driver and from there to all tasks. With `to_the_end` the rounds go on until the way is as long as there are folders.
     """
     usable = is_folder() & F.col("id").isNotNull() & F.col("parent_id").isNotNull()
     usable = usable & (F.col("id") != root_id) & (F.col("id") != F.col("parent_id") if not to_the_end else F.lit(True))
@@ -102,7 +128,7 @@ def _climb(items: DataFrame, root_id: str, stack: ExitStack, to_the_end: bool =
         settled = reduce(DataFrame.unionByName, (t.where(to_root) for t in tables))
         moving = newest.where(~to_root)
         onward = moving.unionByName(settled).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
-        joined = moving.join(onward, "up").groupBy("id", F.col("_up").alias("up")).agg(F.min(F.least("least", "_least")).alias("least"))
+        joined = moving.hint("merge").join(onward, "up").groupBy("id", F.col("_up").alias("up")).agg(F.min(F.least("least", "_least")).alias("least"))
         newest, found, others = kept(joined)
         tables.append(newest)
         rounds += 1
@@ -125,7 +151,9 @@ def walk_folders(items: DataFrame, root_id: str) -> DataFrame:
     more; files are met once, at the end.
     """
     reached, _ = reached_folders(items, root_id)
-    files = items.where(~is_folder()).join(reached.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+    few = reached.limit(_BROADCAST_FOLDERS + 1).count() <= _BROADCAST_FOLDERS
+    reached = reached.withColumnRenamed("id", "parent_id").hint("broadcast" if few else "merge")
+    files = items.where(~is_folder()).join(reached, "parent_id", "left_semi")
     return files.select("id", "name").distinct()
 
 

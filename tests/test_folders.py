@@ -106,3 +106,43 @@ def test_a_full_folder_is_cut_before_the_shuffle(spark):
 def test_valid_file_refs(spark, row, kept):
     refs = spark.createDataFrame([row], "id string, name string")
     assert D.valid_file_refs(refs).count() == kept
+
+
+def test_all_pages_behind_a_token_are_made_without_the_driver(spark):
+    """A job, and rows through the driver, for each page before."""
+    names = [None, None, "a", "a", "a", "a", "a", "b", *(f"f{i:02d}" for i in range(40))]
+    rows = [(n, n and n * 2, "text/plain", "root/") for n in names]
+    items = spark.createDataFrame(rows, "id string, name string, mime_type string, parent_id string").repartition(3)
+    for size in (2, 3, 7):
+        first, token = D.list_folder_by_token(items, "root/", None, size)
+        for start in (None, token):
+            listed, after = D.list_folder_by_token(items, "root/", start, size, to_the_end=True)
+            assert after is None and "LocalTableScan" not in listed._jdf.queryExecution().optimizedPlan().toString()
+            expected, page, at = [], 1, start
+            while True:
+                some, at = D.list_folder_by_token(items, "root/", at, size)
+                expected += [(page, r["id"], r["name"]) for r in some.collect()]
+                page += 1
+                if at is None:
+                    break
+            found = [tuple(r) for r in listed.collect()]
+            assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_rounds_of_a_walk_send_nothing_to_the_driver(spark):
+    """Each round broadcast the table of the round before."""
+    from contextlib import ExitStack
+
+    made, join = [], type(listing(spark, [])).join
+
+    def seen(self, other, *args, **kwargs):
+        made.append(out := join(self, other, *args, **kwargs))
+        return out
+
+    rows = [("a/", "root/")] + [(f"{i}/", f"{i - 1}/" if i else "a/") for i in range(9)]
+    from unittest import mock
+
+    with mock.patch.object(type(listing(spark, [])), "join", seen), ExitStack() as stack:
+        D._climb(listing(spark, rows), "root/", stack)
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in made]
+    assert len(plans) > 2 and all("strategy=merge" in p for p in plans)
