@@ -47,6 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 THRESHOLD, REMOVE, SUPPORT = 0.7, 0.95, 3
 BITS = 24  # a bitmap of keys has 2 ** BITS places, which are 2 MB, however many keys there are
+KEPT_KEYS, COUNTED = 50_000, 100_000  # words that a worker remembers the answers of, and counts before it sends them; some 200 bytes each
 _PIECE = 15  # in pieces of 2 ** _PIECE places, as Spark's bitmap functions make them
 
 FOUND = "spans array<struct<start:int,kind:int,end:int>>, values array<string>"
@@ -137,7 +138,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in strings(batch.column(0)):
             counts.update(distinct_words(text, base_spans(text)))
-            if len(counts) > 300_000:
+            if len(counts) > COUNTED:
                 yield send()
                 counts.clear()
     if counts:
@@ -166,7 +167,7 @@ class MayHold:
         if answer is None:
             place = zlib.crc32(key.encode("utf-8", "replace")) % (1 << BITS)
             answer = bool(self.bits[place >> 3] >> (place & 7) & 1)
-            if len(self.known) > 200_000:
+            if len(self.known) > KEPT_KEYS:
                 self.known.clear()
             self.known[key] = answer
         return answer

@@ -46,7 +46,7 @@ ROUNDS = 3
 ENRICHED = 2.5  # logarithm of how many times more often a telling word stands in toxic texts
 CUT = 5.0  # the same for words whose halves are looked for
 LONGEST = 48  # letters of a word compared at once; a longer one is looked at in overlapping parts
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000  # a worker keeps their margins, some 250 bytes each
 BLOCK = 2_000  # words whose features are worked on at once
 GAP = 2  # words that may stand between the two of a pair
 NEAR = 0.4  # kernel value from which a word counts as one of a landmark pair

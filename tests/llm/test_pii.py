@@ -98,3 +98,28 @@ def test_bitmaps_hold_their_keys(spark):
     keys = [f"key {i} é" for i in range(3000)]
     may = pii.MayHold(pii.bitmap(spark.createDataFrame([(k,) for k in keys], "k string"), "k"))
     assert all(map(may, keys)) and sum(may(f"other {i}") for i in range(3000)) < 30
+
+
+def test_workers_remember_few_words():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from docvec.llm import pii, toxicity
+
+    words = [f"word{i:x}" for i in range(190_000)]
+    tracemalloc.start()
+    try:
+        may = pii.MayHold(bytes((1 << pii.BITS) // 8))
+        assert not any(may(w) for w in words)
+        held = tracemalloc.get_traced_memory()[0]
+        model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), -1.0, 1.0, 0.0)
+        model.text_margins([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+        batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(s, s + 500)) for s in range(0, 190_000, 500)])], ["t"])]
+        sent = [dict(zip(*b.to_pydict().values(), strict=True)) for b in pii._word_counts(iter(batches))]
+    finally:
+        tracemalloc.stop()
+    assert held < 8 << 20
+    assert len(may.known) <= 50_001 and len(model.margins) < 100_000
+    assert max(map(len, sent)) < 101_000 and sum(sum(x.values()) for x in sent) == 190_000
