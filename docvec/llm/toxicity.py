@@ -29,6 +29,7 @@ import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,21 @@ NEAR = 0.4  # kernel value from which a word counts as one of a landmark pair
 PAIRS = 128
 CANDIDATES = 1_000
 # Digits and signs that are read as letters.
-READ_AS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+READ_AS = [("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("@", "a"), ("$", "s")]
 _OTHER = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s){3,}\w(?!\w)")
 _SIGNS = 42  # 0 parts words, 1 begins and ends one, 2-27 are a-z, the rest are shared by all other letters
 _STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4] + [(1, 1, 1), (2, 1, 1), (1, 2, 1), (1, 1, 2)]
 _SPACE = _SIGNS**3 + _SIGNS**4
+_WEIGHTS = DECAY ** np.arange(4)
+TOGETHER = (1 << 32) // (4 * _SPACE)  # words whose keys have 32 bits
 
 
 def read(text: str) -> tuple[list[str], set[str]]:
     """Words as they are written, in order, and distinct ones, with words spelled with blanks read together."""
-    plain = text.lower().translate(READ_AS)
+    plain = text.lower()
+    for sign, letter in READ_AS:  # several times faster than str.translate, which takes letters beyond ASCII one at a time
+        plain = plain.replace(sign, letter)
     order = plain.split()
     found = set(order)
     for m in _SPACED.finditer(plain):
@@ -82,18 +87,22 @@ def close_pairs(words: list[str]) -> set[tuple[str, str]]:
 
 
 def bare(word: str) -> str:
-    return _OTHER.sub("", word)
+    return word if word.isalpha() else _OTHER.sub("", word)
 
 
-class _Signs(dict):
-    """The sign of each letter, found when first asked for."""
+def bare_all(words: list[str]) -> list[str]:
+    return [w if w.isalpha() else _OTHER.sub("", w) for w in words]
 
-    def __missing__(self, o: int) -> int:
-        self[o] = sign = o - 95 if 97 <= o <= 122 else 28 + o % (_SIGNS - 28)
-        return sign
 
+_signs = np.array([0, 1, *((o - 95 if 97 <= o <= 122 else 28 + o % (_SIGNS - 28)) for o in range(2, 128))], dtype=np.int64)
 
-_signs = _Signs({0: 0, 1: 1})
+
+def signs(text: str) -> np.ndarray:
+    """The sign of each letter; 0 and 1 stay."""
+    if text.isascii():
+        return _signs[np.frombuffer(text.encode("ascii"), dtype=np.uint8)]
+    o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return np.where(o < 128, _signs[np.minimum(o, 127)], 28 + o % (_SIGNS - 28))
 
 
 def parts(word: str) -> list[str]:
@@ -102,32 +111,60 @@ def parts(word: str) -> list[str]:
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word number, subsequence and weight of all subsequences of all words, each word scaled to length 1."""
-    if not words:
+    some = [_subsequences(words[s : s + TOGETHER], s) for s in range(0, len(words), TOGETHER)]
+    if not some:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    text = "\x01" + "\x01\x00\x01".join(words) + "\x01\x00"
-    line = np.frombuffer(text.translate(_signs).encode("latin-1"), dtype=np.uint8).astype(np.int64)
-    owner = np.cumsum(line == 0) - (line == 0)
+    return tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+
+def _subsequences(words: list[str], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of TOGETHER words at most, whose numbers begin with `number`: keys of 32 bits, which stay in the cache."""
+    line = signs("\x01" + "\x01\x00\x01".join(words) + "\x01\x00").astype(np.uint32)
+    stop = line == 0
+    owner = np.cumsum(stop, dtype=np.uint32)
+    owner -= stop
+    # what the signs at 0, 1, 2 and 3 places from the end of a subsequence add to its number, then the words' part of a key
+    power = [line * np.uint32(_SIGNS**i * 4) for i in range(4)]
+    owned = owner * np.uint32(_SPACE * 4)
     keys = []
     for steps in _STEPS:
-        at = np.cumsum((0, *steps))
-        n = max(0, len(line) - int(at[-1]))
-        ok = owner[:n] == owner[at[-1] :]
-        code = np.zeros(n, dtype=np.int64)
-        for i in at:
-            sign = line[i : i + n]
-            ok &= sign > 0
-            code = code * _SIGNS + sign
-        code = code[ok] + (_SIGNS**3 if len(steps) == 3 else 0)
-        keys.append((owner[:n][ok] * _SPACE + code) * 4 + (int(at[-1]) - len(steps)))
-    key = np.sort(np.concatenate(keys))
+        at = list(accumulate(steps, initial=0))
+        n = len(line) - at[-1]
+        if n <= 0:
+            continue
+        key = owned[:n] + np.uint32((_SIGNS**3 if len(steps) == 3 else 0) * 4 + at[-1] - len(steps))
+        for i, back in zip(at, range(len(steps), -1, -1), strict=True):
+            key += power[back][i : i + n]
+        # from a word's sign to one of the same word, whose stop is behind it: no stop lies between
+        keys.append(key[(owner[:n] == owner[at[-1] :]) & ~stop[at[-1] :]])
+    key = np.concatenate(keys) if keys else np.empty(0, np.uint32)
     if not len(key):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    begin = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), key[1:] >> 2 != key[:-1] >> 2)))
-    value = np.add.reduceat(DECAY ** (key & 3), begin)
-    found = key[begin] >> 2
-    word, code = found // _SPACE, found % _SPACE
+    key.sort()
+    found = key >> np.uint32(2)
+    begin = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), found[1:] != found[:-1])))
+    value = np.add.reduceat(_WEIGHTS[key & np.uint32(3)], begin)
+    found = found[begin]
+    word = found // np.uint32(_SPACE)
+    code = (found - word * np.uint32(_SPACE)).astype(np.int64)
+    word = word.astype(np.int64)
     norm = np.sqrt(np.bincount(word, weights=value * value, minlength=len(words)))
-    return word, code, value / norm[word]
+    value /= norm[word]
+    word += number
+    return word, code, value
+
+
+def sums_of(words: list[str], tables: list[np.ndarray]) -> list[np.ndarray]:
+    """What the subsequences of each word weigh in each table, which has a place for every one; words beyond LONGEST are taken as empty."""
+    out = [np.zeros(len(words)) for _ in tables]
+    for s in range(0, len(words), TOGETHER):
+        some = words[s : s + TOGETHER]
+        if max(map(len, some)) > LONGEST:
+            some = [w if len(w) <= LONGEST else "" for w in some]
+        word, code, value = subsequences(some)
+        for sums, table in zip(out, tables, strict=True):
+            sums[s : s + TOGETHER] = np.bincount(word, weights=value * table[code], minlength=len(some))
+    return out
 
 
 def independent(kernel: np.ndarray) -> np.ndarray:
@@ -268,24 +305,31 @@ class Phrases:
     def __reduce__(self) -> tuple:
         return Phrases, (self.halves, self.told, self.weights, self.bias)
 
-    def near(self, words: list[str]) -> list[Near | None]:
-        """For each bare word the landmark pairs that it may be half of, None if there are none. Halves of a toxic word are those as they are."""
+    def bounds(self) -> np.ndarray | None:
+        """A bound of each subsequence's part in any kernel value, if there are pairs that are toxic together."""
+        if self.told and self._kernel is None:  # made where it is used
+            self._kernel = Kernel(self.words)
+            self._most = np.zeros(_SPACE, dtype=np.float32)
+            self._most[self._kernel.codes] = self._kernel.table[:-1].max(axis=1, initial=0.0)
+        return self._most if self.told else None
+
+    def near(self, words: list[str], bound: np.ndarray | None = None) -> list[Near | None]:
+        """For each bare word the landmark pairs that it may be half of, None if there are none. Halves of a toxic word are those as they are.
+
+        bound: what the words' subsequences sum up to in `bounds`, if known.
+        """
         out: list[Near | None] = [None] * len(words)
         for i, w in enumerate(words):
             if w in self._half:
                 out[i] = Near(*self._half[w], np.zeros(len(self.words), dtype=np.float32))
         if not self.told:
             return out
-        if self._kernel is None:  # made where it is used, with a bound of each subsequence's part in any kernel value
-            self._kernel = Kernel(self.words)
-            self._most = np.zeros(_SPACE, dtype=np.float32)
-            self._most[self._kernel.codes] = self._kernel.table[:-1].max(axis=1, initial=0.0)
-        short = [(i, w) for i, w in enumerate(words) if 1 < len(w) <= LONGEST]
-        for s in range(0, len(short), 5_000):
-            word, code, value = subsequences([w for _, w in short[s : s + 5_000]])
-            bound = np.bincount(word, weights=value * self._most[code], minlength=len(short[s : s + 5_000]))
-            some = [short[s + int(i)] for i in np.flatnonzero(bound >= NEAR)]
-            for (i, w), row in zip(some, self._kernel.kernel([w for _, w in some]), strict=True):
+        if bound is None:
+            bound = sums_of(words, [self.bounds()])[0]
+        some = [(i, words[i]) for i in np.flatnonzero(bound >= NEAR).tolist() if 1 < len(words[i]) <= LONGEST]
+        for s in range(0, len(some), 5_000):
+            part = some[s : s + 5_000]
+            for (i, w), row in zip(part, self._kernel.kernel([w for _, w in part]), strict=True):
                 row[row < NEAR] = 0.0
                 if row.any():
                     first, second = self._half.get(w, (0, 0))
@@ -361,49 +405,61 @@ class Model:
     phrases: Phrases | None = field(default=None, repr=False)
     margins: dict[str, float] = field(default_factory=dict, repr=False)
     near: dict[str, Near] = field(default_factory=dict, repr=False)
+    before: tuple[dict[str, float], dict[str, Near]] = field(default=({}, {}), repr=False)  # margins and near of words not met of late
     together: dict[tuple[str, str, int], float] = field(default_factory=dict, repr=False)
     spread: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"margins": {}, "near": {}, "together": {}, "spread": None}
+        return self.__dict__ | {"margins": {}, "near": {}, "before": ({}, {}), "together": {}, "spread": None}
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         """Margins of bare words; a word of under three letters is neutral, a long one as toxic as its worst part."""
+        return self.margins_and_bounds(words)[0]
+
+    def margins_and_bounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
+        """The same, and bounds for `Phrases.near`, if that needs any."""
         if self.spread is None:  # a place for every subsequence there can be, made where it is used
             self.spread = np.zeros(_SPACE, dtype=np.float32)
             self.spread[self.codes] = self.values
-        out = np.full(len(words), -np.inf)
-        pieces = [(i, p) for i, w in enumerate(words) if len(w) > 2 for p in parts(w)]
-        for s in range(0, len(pieces), 5_000):
-            some = pieces[s : s + 5_000]
-            word, code, value = subsequences([p for _, p in some])
-            sums = np.bincount(word, weights=value * self.spread[code], minlength=len(some))
-            np.maximum.at(out, np.array([i for i, _ in some], dtype=np.int64), sums)
-        out[np.isneginf(out)] = 0.0
-        return out + self.bias
+        most = self.phrases.bounds() if self.phrases else None
+        out, *rest = sums_of(words, [self.spread] if most is None else [self.spread, most])
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        out[length < 3] = 0.0
+        for i in np.flatnonzero(length > LONGEST).tolist():
+            out[i] = sums_of(parts(words[i]), [self.spread])[0].max()
+        return out + self.bias, rest[0] if rest else None
 
     def text_margins(self, texts: list[str]) -> list[float]:
         """The margin of the most toxic word, or two words, of each text."""
-        known, out = self.margins, []
+        out = []
         for s in range(0, len(texts), 64):
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                self.near.clear()
+            if len(self.margins) > KEPT_WORDS // 2:  # words that come again soon stay
+                self.before, self.margins, self.near = (self.margins, self.near), {}, {}
+            known, (earlier, earlier_near) = self.margins, self.before
             lines = [read(t) for t in texts[s : s + 64]]
-            new = list({w for _, words in lines for w in words if w not in known})
-            bares = [bare(w) for w in new]
-            known.update(zip(new, self.word_margins(bares).tolist(), strict=True))
+            new = list(set().union(*(words for _, words in lines)).difference(known))
+            if earlier:
+                again = [w for w in new if w in earlier]
+                new = [w for w in new if w not in earlier]
+                known.update((w, earlier[w]) for w in again)
+                self.near.update((w, earlier_near[w]) for w in again if w in earlier_near)
+            bares = bare_all(new)
+            distinct = list(dict.fromkeys(bares))
+            margins, bounds = self.margins_and_bounds(distinct)
+            margin = dict(zip(distinct, margins.tolist(), strict=True))
+            known.update((w, margin[b]) for w, b in zip(new, bares, strict=True))
             best = [max(map(known.__getitem__, words), default=self.bias) for _, words in lines]
             if self.phrases:
-                self.near.update((w, n) for w, n in zip(new, self.phrases.near(bares), strict=True) if n)
+                near = {b: n for b, n in zip(distinct, self.phrases.near(distinct, bounds), strict=True) if n}
+                if near:
+                    self.near.update((w, near[b]) for w, b in zip(new, bares, strict=True) if b in near)
                 pairs = [self.phrases.found(order, self.near) for order, _ in lines]
                 both = self.pair_margins({p for found in pairs for p in found})
                 best = [max(m, max(map(both.__getitem__, found), default=m)) for m, found in zip(best, pairs, strict=True)]
             out += best
-            for w in new:
-                if len(w) > LONGEST:
-                    del known[w]
-                    self.near.pop(w, None)
+            for w in [w for w in new if len(w) > LONGEST]:
+                del known[w]
+                self.near.pop(w, None)
         return out
 
     def pair_margins(self, pairs: set[tuple[str, str, int]]) -> dict[tuple[str, str, int], float]:
